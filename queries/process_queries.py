@@ -373,7 +373,7 @@ def filter_decisions(t: Tables):
 @query(
     "formula_arith",
     """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS net,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS net,
   CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 6) END AS ratio,
   CAST(((l_partkey - 50) % 7 + 7) % 7 AS BIGINT) AS remainder, pow(CAST(l_linenumber AS DOUBLE), 2) AS square,
   CASE WHEN 1 < l_linenumber AND l_linenumber < 4 THEN 'mid' ELSE 'edge' END AS band
@@ -387,7 +387,7 @@ def formula_arith(t: Tables):
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
-        F.round(formula(df, "l_extendedprice * (1 - l_discount) * (1 + l_tax)"), 4).alias("net"),
+        F.round(formula(df, "l_extendedprice * (1 - l_discount) * (1 + l_tax)"), 6).alias("net"),
         F.round(float_divide(F.col("l_quantity"), F.col("l_discount")), 6).alias("ratio"),
         signed_modulo(F.col("l_partkey") - 50, F.lit(7)).cast("bigint").alias("remainder"),
         formula(df, "power(l_linenumber, 2)").alias("square"),
@@ -541,7 +541,7 @@ def effective_revision(t: Tables):
 
 @query(
     "condition_split",
-    "SELECT branch, count(*) AS rows, sum(o_orderkey) AS keys FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 AND o_totalprice > 200000 "
+    "SELECT branch, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 AND o_totalprice > 200000 "
     "THEN 'true' ELSE 'false' END AS branch FROM orders) GROUP BY branch",
 )
 def condition_split(t: Tables):
@@ -551,7 +551,7 @@ def condition_split(t: Tables):
         no.select("o_orderkey", F.lit("false").alias("branch"))
     )
     return both.groupBy("branch").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").cast("decimal(38,0)").alias("keys")
+        F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")
     )
 
 

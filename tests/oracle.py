@@ -58,7 +58,8 @@ def check(spark, con, query, sql, folder):
     have = {f.name: kind(f.dataType.typeName() if not f.dataType.typeName().startswith("decimal") else "decimal") for f in df.schema}
     differing = {n: (have[n], types[n]) for n in names if have[n] != types[n]}
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lost = [r for r in want if r not in set(got)][:3]
+        mine, theirs = set(got), set(want)
+        extra = [r for r in got if r not in theirs][:3]
+        lost = [r for r in want if r not in mine][:3]
         raise AssertionError(f"{len(got)} rows vs {len(want)}\n only spark: {extra}\n only oracle: {lost}")
     return len(got), differing
