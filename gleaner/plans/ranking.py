@@ -24,6 +24,12 @@ def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Col
     )
 
 
+def nth_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The ``n``-th row of every key that has so many."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") == F.lit(n)).drop("__rank")
+
+
 def running_total(
     df: DataFrame,
     order: Sequence[str],
