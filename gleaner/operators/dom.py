@@ -36,7 +36,7 @@ NODE_COLUMNS = (
     "classes array<string>, attrs map<string,string>, path array<int>, text string"
 )
 CELL_COLUMNS = (
-    "table_index int, row_index int, column_index int, row_span_copy boolean, in_head boolean, is_header boolean, text string"
+    "table_index int, row_index int, column_index int, copied boolean, in_head boolean, is_header boolean, text string"
 )
 
 
@@ -72,7 +72,7 @@ class _Builder(HTMLParser):
             self._close_top()
         if tag in ("li", "dt", "dd", "td", "th", "tr", "tbody", "tfoot"):
             self._close_implied(tag)
-        node = _Node(len(self.nodes), self.open[-1] if self.open else None, tag, {k: v or "" for k, v in attrs})
+        node = _Node(len(self.nodes), self.open[-1] if self.open else None, tag, {k: v or "" for k, v in reversed(attrs)})
         self.nodes.append(node)
         self.starts.append(len(self.pieces))
         self.stops.append(len(self.pieces))
@@ -188,8 +188,8 @@ def _cell_rows(html: str | None) -> Iterator[tuple]:
                     column += 1
                 text = tree.text_of(cell)
                 rows = _span(cell, "rowspan", 65534)
-                for _ in range(_span(cell, "colspan", 1000)):
-                    yield (table_index, row_index, column, False, head, cell.tag == "th", text)
+                for repeat in range(_span(cell, "colspan", 1000)):
+                    yield (table_index, row_index, column, repeat > 0, head, cell.tag == "th", text)
                     if rows > 1:
                         carried[column] = (text, rows - 1, cell.tag == "th")
                     column += 1
@@ -215,7 +215,7 @@ _CELL_SCHEMA = pa.schema(
         ("table_index", pa.int32()),
         ("row_index", pa.int32()),
         ("column_index", pa.int32()),
-        ("row_span_copy", pa.bool_()),
+        ("copied", pa.bool_()),
         ("in_head", pa.bool_()),
         ("is_header", pa.bool_()),
         ("text", pa.string()),

@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles keep their parallelism; parse stages after them are CPU-bound.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
 }
 
 

@@ -193,3 +193,16 @@ def raw_strings(t: Tables):
 
 
 RAW = "WITH raw AS (" + plain(RAW_STRINGS) + ")"
+
+
+# Oracle side of the canonical address, over rows ``src(…, url)``.
+CANON_STEPS = """
+parts AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS place,
+  regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/+$', '') AS path,
+  regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query FROM src),
+pairs AS (SELECT *, list_sort(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x:
+   {'k': url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '=(.*)$', 1), '+', ' '))}),
+   lambda p: NOT (lower(p.k) IN ('utm', 'gclid', 'fbclid', 'yclid', 'mc_cid', 'mc_eid') OR lower(p.k) LIKE 'utm\\_%' ESCAPE '\\'))) AS kept FROM parts),
+canon AS (SELECT *, scheme || '://' || place || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda p:
+   replace(replace(url_encode(p.k), '%20', '+'), '%7E', '~') || '=' || replace(replace(url_encode(p.v), '%20', '+'), '%7E', '~')), '&') ELSE '' END AS canonical FROM pairs)
+"""
