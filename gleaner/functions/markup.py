@@ -17,7 +17,7 @@ ENTITIES = (
     ("&quot;", '"'),
     ("&#39;", "'"),
     ("&apos;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&copy;", "©"),
     ("&middot;", "·"),
     ("&laquo;", "«"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.binding import let
-from gleaner.plans.ranking import nth_per_key
+from gleaner.plans.ranking import nth_per_key, previous_value
 
 REDACTED = "[REDACTED]"
 
@@ -257,9 +257,8 @@ def fetch_rollup(fetches: DataFrame, retry_statuses: Sequence[int] = (429, 500,
     )
 
 
-def changed_only(feed: DataFrame, key: str, order: Sequence[str], digest: str) -> DataFrame:
+def changed_only(feed: DataFrame, keys: Sequence[str], order: Sequence[str], digest: str) -> DataFrame:
     """Status feed rows whose payload differs from the one before for the same key."""
-    from pyspark.sql import Window
-
-    previous = F.lag(digest).over(Window.partitionBy(key).orderBy(*order))
-    return feed.withColumn("__previous", previous).where(~F.col("__previous").eqNullSafe(F.col(digest))).drop("__previous")
+    marked = previous_value(feed, keys, order, digest, "__previous")
+    fresh = ~F.col("__seen") | ~F.col("__previous").eqNullSafe(F.col(digest))
+    return marked.where(fresh).drop("__previous", "__seen")

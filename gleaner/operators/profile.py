@@ -147,7 +147,7 @@ def metadata_candidates(pages: DataFrame, key: str = "page_id", html: str = "htm
 
     options = [F.when(page.rlike(p), candidate(t, "selector", s, 0.9)) for t, s, _, p in SEMANTIC_DATES]
     for target, field in (("source_published_at", "datePublished"), ("source_modified_at", "dateModified")):
-        has = F.exists(markup.json_ld(page), lambda b, f=field: b.contains(f'"{f}"'))
+        has = F.array_join(markup.json_ld(page), " ").contains(f'"{field}"')
         options.append(F.when(has, candidate(target, "json_ld", f"$..{field}", 0.95)))
     return pages.select(key, F.explode(F.array_compact(F.array(*options))).alias("c")).select(key, "c.*")
 

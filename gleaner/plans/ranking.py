@@ -66,3 +66,35 @@ def running_total(
         .withColumn(name, F.col("__inside") + F.col("__offset"))
         .drop("__measure", "__range", "__inside", "__offset")
     )
+
+
+def previous_value(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``lag(value)`` per key in ``order``, plus ``__seen`` (whether a row came before).
+
+    A key of any size is cut over several ranges: rows are sorted by (keys, order)
+    over range partitions, and each range's first row looks at the last row of the
+    range before it.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [*keys, *order]
+    ranged = pin(df.repartitionByRange(n, *sort).withColumn("__range", F.spark_partition_id()))
+    here = F.struct(*[F.col(k) for k in keys])
+    whole = F.struct(*[F.col(c) for c in sort])
+    # One row per range, so the window and the broadcast below are bounded by ``n``.
+    tails = ranged.groupBy("__range").agg(
+        F.max_by(F.struct(here.alias("k"), F.col(value).alias("v")), whole).alias("__tail")
+    )
+    before = tails.select("__range", F.lag("__tail").over(Window.orderBy("__range")).alias("__tail"))
+    inside = Window.partitionBy("__range").orderBy(*sort)
+    row = F.struct(here.alias("k"), F.col(value).alias("v"))
+    joined = ranged.withColumn("__row", F.lag(row).over(inside)).join(F.broadcast(before), "__range")
+    last = F.coalesce("__row", "__tail")
+    same = F.coalesce(last["k"].eqNullSafe(here) & last.isNotNull(), F.lit(False))
+    return joined.withColumns({"__seen": same, name: F.when(same, last["v"])}).drop("__range", "__row", "__tail")

@@ -8,7 +8,7 @@ from gleaner.functions import jsontext, markup as flat, urls
 from gleaner.operators import dom, markup, profile
 from gleaner.sources import pages as page_sources
 from queries.derived import CANON_STEPS
-from queries.process_queries import ORDER_LINES_ORACLE, clean, order_lines, strip
+from queries.process_queries import DOC_LINES_ORACLE, clean, doc_lines, strip
 from queries.registry import Tables, plain, query
 
 # The given pages link only from their navigation; article links, dates and
@@ -25,7 +25,7 @@ SELECT page_id, url, replace(replace(html, '</article>', concat(
 FROM {pages}
 """
 LINKED_ORACLE = "WITH linked AS (" + plain(LINKED).replace("{{", "{").replace("}}", "}") + ")"
-UNESCAPED = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 def linked(t: Tables):
@@ -178,30 +178,30 @@ def card_postprocess(t: Tables):
     return markup.finish_cards(cards, t.pages).select("row_index", "url", "title", "page_url")
 
 
-def order_tables(t: Tables):
-    """Every order as a page with one HTML table of its lines; the key spans all rows."""
+def doc_tables(t: Tables):
+    """Every document as a page with one HTML table of its lines; the key spans all rows."""
     row = lambda l, i: F.concat(
         F.lit("<tr>"),
-        F.when(i == 0, F.concat(F.lit('<td rowspan="'), F.size("lines"), F.lit('">'), "l_orderkey", F.lit("</td>"))).otherwise(F.lit("")),
-        F.lit("<td colspan=2>"), l["l_partkey"], F.lit("</td><td> "), l["l_suppkey"], F.lit(" </td></tr>"),
+        F.when(i == 0, F.concat(F.lit('<td rowspan="'), F.size("lines"), F.lit('">'), "doc_id", F.lit("</td>"))).otherwise(F.lit("")),
+        F.lit("<td colspan=2>"), l["size"], F.lit("</td><td> "), l["code"], F.lit(" </td></tr>"),
     )
     html = F.concat(
-        F.lit("<html><body><table class='data-table'><thead><tr><th>Order</th><th>Part</th><th>Part<th></th></thead><tr><td></td></tr>"),
+        F.lit("<html><body><table class='data-table'><thead><tr><th>Doc</th><th>Part</th><th>Part<th></th></thead><tr><td></td></tr>"),
         F.array_join(F.transform("lines", row), ""),
         F.lit("</table></body></html>"),
     )
-    lines = order_lines(t)
-    return lines.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("/orders/"), "l_orderkey").alias("url"), html.alias("html"))
+    lines = doc_lines(t)
+    return lines.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("/docs/"), "doc_id").alias("url"), html.alias("html"))
 
 
 @query(
     "table_rows",
-    ORDER_LINES_ORACLE
-    + """ SELECT l_orderkey AS page_id, CAST(item AS BIGINT) AS row_index, 'table:0' AS table_id, '/orders/' || l_orderkey AS page_url, CAST(l_orderkey AS VARCHAR) AS "order",
-  CAST(l_partkey AS VARCHAR) AS part, CAST(l_partkey AS VARCHAR) AS part_2, CAST(l_suppkey AS VARCHAR) AS column_4 FROM lines""",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id AS page_id, CAST(item AS BIGINT) AS row_index, 'table:0' AS table_id, '/docs/' || doc_id AS page_url, CAST(doc_id AS VARCHAR) AS "doc",
+  CAST(size AS VARCHAR) AS part, CAST(size AS VARCHAR) AS part_2, CAST(code AS VARCHAR) AS column_4 FROM lines""",
 )
 def table_rows(t: Tables):
-    pages = order_tables(t)
+    pages = doc_tables(t)
     out = markup.table_records(dom.table_cells(pages), pages)
     record = markup.normalized_record(F.col("record"))
     return out.select(
@@ -209,17 +209,17 @@ def table_rows(t: Tables):
         F.col("row_index").cast("bigint").alias("row_index"),
         "table_id",
         "page_url",
-        *[F.try_element_at(record, F.lit(n)).alias(n) for n in ("order", "part", "part_2", "column_4")],
+        *[F.try_element_at(record, F.lit(n)).alias(n) for n in ("doc", "part", "part_2", "column_4")],
     )
 
 
 @query(
     "table_structures",
-    ORDER_LINES_ORACLE
-    + """ SELECT l_orderkey AS page_id, 'Order|Part|Part_2|column_4' AS headers, count(*) AS data_rows, string_agg(l_suppkey, ',' ORDER BY item) AS suppliers FROM lines GROUP BY l_orderkey""",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id AS page_id, 'Doc|Part|Part_2|column_4' AS headers, count(*) AS data_rows, string_agg(code, ',' ORDER BY item) AS suppliers FROM lines GROUP BY doc_id""",
 )
 def table_structures(t: Tables):
-    return markup.table_structures(dom.table_cells(order_tables(t))).select(
+    return markup.table_structures(dom.table_cells(doc_tables(t))).select(
         "page_id",
         F.array_join("headers", "|").alias("headers"),
         F.size("rows").cast("bigint").alias("data_rows"),
@@ -229,48 +229,47 @@ def table_structures(t: Tables):
 
 @query(
     "dedupe_headers",
-    """
-WITH h AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem),
-r AS (SELECT l_orderkey, CAST(i AS INT) AS i, CASE WHEN h.l_returnflag = 'N' THEN 'column_' || i ELSE h.l_returnflag END AS base,
-  l_returnflag FROM h)
-SELECT l_orderkey, CAST(i AS BIGINT) AS position, CASE WHEN row_number() OVER (PARTITION BY l_orderkey, base ORDER BY i) = 1 THEN base
-  ELSE base || '_' || row_number() OVER (PARTITION BY l_orderkey, base ORDER BY i) END AS header FROM r
+    DOC_LINES_ORACLE
+    + """, h AS (SELECT doc_id, flag, line_no AS i FROM lines),
+r AS (SELECT doc_id, CAST(i AS INT) AS i, CASE WHEN h.flag = 'N' THEN 'column_' || i ELSE h.flag END AS base,
+  flag FROM h)
+SELECT doc_id, CAST(i AS BIGINT) AS position, CASE WHEN row_number() OVER (PARTITION BY doc_id, base ORDER BY i) = 1 THEN base
+  ELSE base || '_' || row_number() OVER (PARTITION BY doc_id, base ORDER BY i) END AS header FROM r
 """,
 )
 def dedupe_headers(t: Tables):
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    raw = F.transform("lines", lambda x: F.when(x["l_returnflag"] == "N", "  ").otherwise(F.concat(F.lit(" "), x["l_returnflag"])))
-    return lines.select("l_orderkey", F.posexplode(markup.dedupe_headers(raw)).alias("n", "header")).select(
-        "l_orderkey", (F.col("n") + 1).cast("bigint").alias("position"), "header"
+    lines = doc_lines(t)
+    raw = F.transform("lines", lambda x: F.when(x["flag"] == "N", "  ").otherwise(F.concat(F.lit(" "), x["flag"])))
+    return lines.select("doc_id", F.posexplode(markup.dedupe_headers(raw)).alias("n", "header")).select(
+        "doc_id", (F.col("n") + 1).cast("bigint").alias("position"), "header"
     )
 
 
-def order_cards(t: Tables):
+def doc_cards(t: Tables):
     card = lambda l: F.concat(
-        F.lit('<div class="offer b"><h3>Part number '), l["l_partkey"], F.lit("</h3> <span class='w-1/2'>supplied by someone</span>"),
-        F.when(l["l_suppkey"] % 2 == 0, F.concat(F.lit('<a href="/p/'), l["l_partkey"], F.lit('">open</a>'))).otherwise(F.lit("")),
-        F.when(l["l_linenumber"] % 3 == 0, F.lit(" 12.5 %")).otherwise(F.lit("")), F.lit("</div>"),
+        F.lit('<div class="offer b"><h3>Part number '), l["size"], F.lit("</h3> <span class='w-1/2'>supplied by someone</span>"),
+        F.when(l["code"] % 2 == 0, F.concat(F.lit('<a href="/p/'), l["size"], F.lit('">open</a>'))).otherwise(F.lit("")),
+        F.when(l["line_no"] % 3 == 0, F.lit(" 12.5 %")).otherwise(F.lit("")), F.lit("</div>"),
     )
     html = F.concat(
         F.lit('<body><ul><li class="m"><a href=/a>a</a><li class="m">b<li class="m">c</ul>'), F.array_join(F.transform("lines", card), "\n"), F.lit("</body>")
     )
-    return order_lines(t).select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+    return doc_lines(t).select(F.col("doc_id").alias("page_id"), html.alias("html"))
 
 
 @query(
     "card_clusters",
-    ORDER_LINES_ORACLE
-    + """, c AS (SELECT l_orderkey, item, length('Part number ' || l_partkey || ' supplied by someone' || CASE WHEN l_suppkey % 2 = 0 THEN ' open' ELSE '' END
-   || CASE WHEN l_linenumber % 3 = 0 THEN ' 12.5 %' ELSE '' END) AS n, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS link, CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS signal FROM lines),
-g AS (SELECT l_orderkey, count(*) AS c, avg(n) FILTER (item < 20) AS a, avg(link) FILTER (item < 20) AS l, avg(signal) FILTER (item < 20) AS s,
-  avg(2 + link) FILTER (item < 5) AS d FROM c GROUP BY l_orderkey)
-SELECT l_orderkey AS page_id, 'div.b.offer' AS selector, c AS count, round_even(a, 1) AS avg_text_length, round_even(l, 3) AS link_fraction, round_even(s, 3) AS signal_fraction,
+    DOC_LINES_ORACLE
+    + """, c AS (SELECT doc_id, item, length('Part number ' || size || ' supplied by someone' || CASE WHEN code % 2 = 0 THEN ' open' ELSE '' END
+   || CASE WHEN line_no % 3 = 0 THEN ' 12.5 %' ELSE '' END) AS n, CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END AS link, CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END AS signal FROM lines),
+g AS (SELECT doc_id, count(*) AS c, avg(n) FILTER (item < 20) AS a, avg(link) FILTER (item < 20) AS l, avg(signal) FILTER (item < 20) AS s,
+  avg(2 + link) FILTER (item < 5) AS d FROM c GROUP BY doc_id)
+SELECT doc_id AS page_id, 'div.b.offer' AS selector, c AS count, round_even(a, 1) AS avg_text_length, round_even(l, 3) AS link_fraction, round_even(s, 3) AS signal_fraction,
   round_even(d, 1) AS descendant_count, (a >= 40 AND l >= 0.2) OR (a >= 60 AND s >= 0.3) AS passes FROM g WHERE c BETWEEN 3 AND 500
 """,
 )
 def card_clusters(t: Tables):
-    found = markup.card_clusters(dom.dom_nodes(order_cards(t)))
+    found = markup.card_clusters(dom.dom_nodes(doc_cards(t)))
     return found.select(
         "page_id", "selector", "count", "avg_text_length", "link_fraction", "signal_fraction", "descendant_count",
         markup.cluster_passes().alias("passes"),
@@ -279,16 +278,16 @@ def card_clusters(t: Tables):
 
 @query(
     "auto_cards",
-    ORDER_LINES_ORACLE
-    + """, c AS (SELECT *, 'Part number ' || l_partkey || ' supplied by someone' || CASE WHEN l_suppkey % 2 = 0 THEN ' open' ELSE '' END
-   || CASE WHEN l_linenumber % 3 = 0 THEN ' 12.5 %' ELSE '' END AS text FROM lines),
-g AS (SELECT l_orderkey FROM c GROUP BY l_orderkey HAVING count(*) BETWEEN 3 AND 500 AND ((round_even(avg(length(text)) FILTER (item < 20), 1) >= 40
-  AND round_even(avg(CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 20), 3) >= 0.2)
-  OR (avg(length(text)) FILTER (item < 20) >= 60 AND avg(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) FILTER (item < 20) >= 0.3)))
-SELECT l_orderkey AS page_id, text, CASE WHEN l_suppkey % 2 = 0 THEN '/p/' || l_partkey END AS url, CASE WHEN l_suppkey % 2 = 0 THEN 'open' END AS title FROM c WHERE l_orderkey IN (SELECT l_orderkey FROM g)""",
+    DOC_LINES_ORACLE
+    + """, c AS (SELECT *, 'Part number ' || size || ' supplied by someone' || CASE WHEN code % 2 = 0 THEN ' open' ELSE '' END
+   || CASE WHEN line_no % 3 = 0 THEN ' 12.5 %' ELSE '' END AS text FROM lines),
+g AS (SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) BETWEEN 3 AND 500 AND ((round_even(avg(length(text)) FILTER (item < 20), 1) >= 40
+  AND round_even(avg(CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 20), 3) >= 0.2)
+  OR (avg(length(text)) FILTER (item < 20) >= 60 AND avg(CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END) FILTER (item < 20) >= 0.3)))
+SELECT doc_id AS page_id, text, CASE WHEN code % 2 = 0 THEN '/p/' || size END AS url, CASE WHEN code % 2 = 0 THEN 'open' END AS title FROM c WHERE doc_id IN (SELECT doc_id FROM g)""",
 )
 def auto_cards(t: Tables):
-    return markup.auto_cards(dom.dom_nodes(order_cards(t))).select("page_id", "text", "url", "title")
+    return markup.auto_cards(dom.dom_nodes(doc_cards(t))).select("page_id", "text", "url", "title")
 
 
 @query(
@@ -466,9 +465,9 @@ def pagination_candidates(t: Tables):
     return profile.pagination_candidates(linked(t)).select("page_id", "url", "mode", "parameter", "confidence")
 
 
-@query("table_candidates", "SELECT l_orderkey AS page_id, 'table:nth-of-type(1)' AS selector, 'Order|Part|Part|' AS headers, count(*) + 2 AS row_count, 0.95::DOUBLE AS confidence FROM lineitem GROUP BY l_orderkey")
+@query("table_candidates", DOC_LINES_ORACLE + " SELECT doc_id AS page_id, 'table:nth-of-type(1)' AS selector, 'Doc|Part|Part|' AS headers, count(*) + 2 AS row_count, 0.95::DOUBLE AS confidence FROM lines GROUP BY doc_id")
 def table_candidates(t: Tables):
-    pages = order_tables(t)
+    pages = doc_tables(t)
     return profile.table_candidates(dom.table_cells(pages), dom.dom_nodes(pages, tags=("table",))).select(
         "page_id", "selector", F.array_join("headers", "|").alias("headers"), "row_count", "confidence"
     )
@@ -476,14 +475,14 @@ def table_candidates(t: Tables):
 
 @query(
     "repeating_candidates",
-    ORDER_LINES_ORACLE
-    + """, g AS (SELECT l_orderkey, count(*) AS c, max(CASE WHEN item = 0 AND l_suppkey % 2 = 0 THEN 1 ELSE 0 END) AS f, avg(CASE WHEN l_suppkey % 2 = 0 THEN 1.0 ELSE 0 END) FILTER (item < 10) AS s,
-  min(2 + CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 10) AS d FROM lines GROUP BY l_orderkey HAVING count(*) BETWEEN 2 AND 500)
-SELECT l_orderkey AS page_id, unnest(['div.offer', '.offer.b']) AS selector, c AS count, CASE WHEN f = 1 THEN 2 ELSE 1 END::BIGINT AS field_count,
+    DOC_LINES_ORACLE
+    + """, g AS (SELECT doc_id, count(*) AS c, max(CASE WHEN item = 0 AND code % 2 = 0 THEN 1 ELSE 0 END) AS f, avg(CASE WHEN code % 2 = 0 THEN 1.0 ELSE 0 END) FILTER (item < 10) AS s,
+  min(2 + CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 10) AS d FROM lines GROUP BY doc_id HAVING count(*) BETWEEN 2 AND 500)
+SELECT doc_id AS page_id, unnest(['div.offer', '.offer.b']) AS selector, c AS count, CASE WHEN f = 1 THEN 2 ELSE 1 END::BIGINT AS field_count,
   CASE WHEN f = 1 THEN round(s, 6) ELSE 1.0 END::DOUBLE AS field_population, d::BIGINT AS descendant_count FROM g""",
 )
 def repeating_candidates(t: Tables):
-    found = profile.repeating_candidates(dom.dom_nodes(order_cards(t)))
+    found = profile.repeating_candidates(dom.dom_nodes(doc_cards(t)))
     return found.where(F.col("selector").contains("offer")).select("page_id", "selector", "count", "field_count", "field_population", "descendant_count")
 
 
@@ -503,18 +502,18 @@ def rss_feed(t: Tables):
 
 
 def payloads(t: Tables):
-    """Nested JSON per order: two url-bearing lists and plain addresses."""
-    items = F.transform("lines", lambda l: F.struct(F.concat(F.lit("/p/"), l["l_partkey"]).alias("url"), l["l_quantity"].alias("q")))
-    links = F.transform("lines", lambda l: F.to_json(F.struct(F.concat(F.lit("/p/"), l["l_partkey"]).alias("href"))))
-    more = F.concat(F.lit('{"links":['), F.array_join(links, ","), F.lit(',"http://h.example/'), "l_orderkey", F.lit('","plain"]}'))
-    body = F.concat(F.lit('{"id":'), "l_orderkey", F.lit(',"items":'), F.to_json(items), F.lit(',"more":'), more, F.lit("}"))
-    return order_lines(t).select("l_orderkey", body.alias("payload"))
+    """Nested JSON per document: two url-bearing lists and plain addresses."""
+    items = F.transform("lines", lambda l: F.struct(F.concat(F.lit("/p/"), l["size"]).alias("url"), l["amount"].alias("q")))
+    links = F.transform("lines", lambda l: F.to_json(F.struct(F.concat(F.lit("/p/"), l["size"]).alias("href"))))
+    more = F.concat(F.lit('{"links":['), F.array_join(links, ","), F.lit(',"http://h.example/'), "doc_id", F.lit('","plain"]}'))
+    body = F.concat(F.lit('{"id":'), "doc_id", F.lit(',"items":'), F.to_json(items), F.lit(',"more":'), more, F.lit("}"))
+    return doc_lines(t).select("doc_id", body.alias("payload"))
 
 
-@query("json_path", ORDER_LINES_ORACLE + " SELECT l_orderkey, l_quantity AS q FROM lines")
+@query("json_path", DOC_LINES_ORACLE + " SELECT doc_id, amount AS q FROM lines")
 def json_path(t: Tables):
     values = jsontext.path_values(payloads(t), "payload", "$.items[*].q")
-    return values.select("l_orderkey", F.try_variant_get("value", "$", "double").alias("q"))
+    return values.select("doc_id", F.try_variant_get("value", "$", "double").alias("q"))
 
 
 @query("props_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
@@ -525,25 +524,26 @@ def props_path(t: Tables):
 
 @query(
     "merge_url_lists",
-    "SELECT DISTINCT l_orderkey, '/p/' || l_partkey AS url FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'http://h.example/' || l_orderkey FROM lineitem",
+    DOC_LINES_ORACLE + " SELECT DISTINCT doc_id, '/p/' || size AS url FROM lines UNION ALL SELECT DISTINCT doc_id, 'http://h.example/' || doc_id FROM lines",
 )
 def merge_url_lists(t: Tables):
-    return jsontext.merge_url_lists(payloads(t), "payload", "l_orderkey").select("l_orderkey", "url")
+    return jsontext.merge_url_lists(payloads(t), "payload", "doc_id").select("doc_id", "url")
 
 
-@query("largest_url_list", "SELECT l_orderkey, '$.items' AS path, count(*) AS urls FROM lineitem GROUP BY l_orderkey")
+@query("largest_url_list", DOC_LINES_ORACLE + " SELECT doc_id, '$.items' AS path, count(*) AS urls FROM lines GROUP BY doc_id")
 def largest_url_list(t: Tables):
-    found = jsontext.largest_url_list(payloads(t), "payload", "l_orderkey")
-    return found.select("l_orderkey", "path", F.col("urls").cast("bigint").alias("urls"))
+    found = jsontext.largest_url_list(payloads(t), "payload", "doc_id")
+    return found.select("doc_id", "path", F.col("urls").cast("bigint").alias("urls"))
 
 
 @query(
     "json_schema_hints",
-    """SELECT l_orderkey, '$.items[*]' AS json_path, count(*) AS length, 'q:number,url:string' AS fields FROM lineitem GROUP BY l_orderkey
-UNION ALL SELECT l_orderkey, '$.more.links[*]', count(*) + 2, 'href:string' FROM lineitem GROUP BY l_orderkey""",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id, '$.items[*]' AS json_path, count(*) AS length, 'q:number,url:string' AS fields FROM lines GROUP BY doc_id
+UNION ALL SELECT doc_id, '$.more.links[*]', count(*) + 2, 'href:string' FROM lines GROUP BY doc_id""",
 )
 def json_schema_hints(t: Tables):
-    return jsontext.schema_hints(payloads(t), "payload", "l_orderkey")
+    return jsontext.schema_hints(payloads(t), "payload", "doc_id")
 
 
 @query(

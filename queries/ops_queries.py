@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import dedupe, ops
 from queries import derived
 from queries.derived import STATE
+from queries.process_queries import DOC_LINES_ORACLE, doc_lines
 from queries.registry import Tables, query
 
 
@@ -219,30 +220,30 @@ def audit_recent(t: Tables):
 
 @query(
     "emit_on_change",
-    STATE + " SELECT natural_key, run_id, data FROM observations WHERE content_changed",
+    """SELECT event_id, user_id, event_type, bucket FROM (SELECT *, lag(bucket) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before
+  FROM (SELECT *, CAST(floor(value / 10) AS BIGINT) AS bucket FROM events)) WHERE bucket IS DISTINCT FROM before""",
 )
 def emit_on_change(t: Tables):
-    return ops.changed_only(derived.incoming(t), "natural_key", ["run_id"], "data_hash").select("natural_key", "run_id", "data")
+    feed = t.events.select("event_id", "ts", "user_id", "event_type", F.floor(F.col("value") / 10).cast("bigint").alias("bucket"))
+    return ops.changed_only(feed, ["user_id", "event_type"], ["ts", "event_id"], "bucket").select(
+        "event_id", "user_id", "event_type", "bucket"
+    )
 
 
 @query(
     "fetch_attempts",
-    """
-WITH a AS (SELECT l_orderkey, concat('h', l_orderkey % 50) AS domain, CASE WHEN l_returnflag = 'A' THEN 503 WHEN l_returnflag = 'N' THEN 200 ELSE 429 END AS status,
-  row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) - 1 AS last
-  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))
+    DOC_LINES_ORACLE
+    + """, a AS (SELECT concat('h', doc_id % 50) AS domain, CASE flag WHEN 'A' THEN 503 WHEN 'N' THEN 200 ELSE 429 END AS status, item AS n,
+  count(*) OVER (PARTITION BY doc_id) - 1 AS last FROM lines WHERE item < 6)
 SELECT domain, CAST(status AS BIGINT) AS status, count(*) AS attempts, count(*) FILTER (n < last AND status <> 200) AS retries,
   count(*) FILTER (n = last AND status = 200) AS succeeded, sum(CASE WHEN n < last AND status <> 200 THEN 0.5 * pow(2.0, n) ELSE 0 END)::DOUBLE AS backoff_seconds FROM a GROUP BY ALL
 """,
 )
 def fetch_attempts(t: Tables):
-    # The attempts of one url are few (the retry limit); here the lines of one order.
-    status = F.when(F.col("l_returnflag") == "A", 503).when(F.col("l_returnflag") == "N", 200).otherwise(429).cast("bigint")
-    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", status.alias("status"))
-    nested = t.lineitem.groupBy(F.col("l_orderkey").alias("url")).agg(F.array_sort(F.collect_list(one)).alias("lines"))
-    fetches = nested.select(
-        "url",
-        F.concat(F.lit("h"), F.col("url") % 50).alias("domain"),
-        F.transform("lines", lambda x: F.struct(x["status"].alias("status"), F.lit(None).cast("string").alias("error"))).alias("attempts"),
+    status = lambda x: F.when(x["flag"] == "A", 503).when(x["flag"] == "N", 200).otherwise(429).cast("bigint")
+    # A fetch policy tries a page at most six times.
+    attempts = F.transform(F.slice("lines", 1, 6), lambda x: F.struct(status(x).alias("status"), F.lit(None).cast("string").alias("error")))
+    fetches = doc_lines(t).select(
+        F.col("doc_id").alias("url"), F.concat(F.lit("h"), F.col("doc_id") % 50).alias("domain"), attempts.alias("attempts")
     )
     return ops.fetch_rollup(fetches)

@@ -463,39 +463,44 @@ def dedupe_decisions(t: Tables):
     )
 
 
-ORDER_LINES_ORACLE = """
-WITH lines AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS item FROM lineitem)
+DOC_LINES_ORACLE = """
+WITH lines AS (SELECT doc_id, item, item + 1 AS line_no, CAST(length(line) AS BIGINT) AS size, (doc_id * 31 + item * 7) % 100 AS code,
+  CAST(length(line) % 50 AS DOUBLE) AS amount, length(line) * 1.5::DOUBLE AS price, ['A', 'N', 'R'][item % 3 + 1] AS flag
+  FROM (SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS item, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))
 """
 
 
-def order_lines(t: Tables):
-    """Orders with their lines nested.  An order holds a handful of lines, so the list is bounded."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+def doc_lines(t: Tables):
+    """Documents with their lines as nested rows; each list comes from one input row."""
+    size = lambda x: F.char_length(x).cast("bigint")
+    line = lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("line_no"),
+        size(x).alias("size"),
+        ((F.col("doc_id") * 31 + i * 7) % 100).alias("code"),
+        (size(x) % 50).cast("double").alias("amount"),
+        (size(x) * F.lit(1.5)).alias("price"),
+        F.get(F.array(F.lit("A"), F.lit("N"), F.lit("R")), i % 3).alias("flag"),
+    )
+    return t.documents.select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
 
 
 @query(
     "explode_items",
-    ORDER_LINES_ORACLE + " SELECT l_orderkey AS source_row, CAST(item AS BIGINT) AS source_item, l_partkey, l_quantity FROM lines",
+    DOC_LINES_ORACLE + " SELECT doc_id AS source_row, item AS source_item, size, amount FROM lines",
 )
 def explode_items(t: Tables):
-    df = order_lines(t).withColumn("_seq", F.col("l_orderkey"))
+    df = doc_lines(t).withColumn("_seq", F.col("doc_id"))
     out = collection.explode_field(df, "lines", "line")
-    return out.select("_collection.source_row", "_collection.source_item", "line.l_partkey", "line.l_quantity")
+    return out.select("_collection.source_row", "_collection.source_item", "line.size", "line.amount")
 
 
 @query(
     "expand_tiers",
-    ORDER_LINES_ORACLE
-    + " SELECT l_orderkey, CAST(item AS BIGINT) AS source_item, l_quantity, l_extendedprice, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lines",
+    DOC_LINES_ORACLE + " SELECT doc_id, item AS source_item, amount, price, line_no FROM lines",
 )
 def expand_tiers(t: Tables):
-    df = order_lines(t).withColumns({"_seq": F.col("l_orderkey"), "l_quantity": F.lit(-1.0)})
-    out = collection.expand_tiers(df, "lines")
-    return out.select(
-        "l_orderkey", "_collection.source_item", "l_quantity", "l_extendedprice", F.col("l_linenumber").cast("bigint").alias("l_linenumber")
-    )
+    df = doc_lines(t).withColumns({"_seq": F.col("doc_id"), "amount": F.lit(-1.0)})
+    return collection.expand_tiers(df, "lines").select("doc_id", "_collection.source_item", "amount", "price", "line_no")
 
 
 @query(
@@ -522,18 +527,21 @@ def unpivot_matrix(t: Tables):
 @query(
     "effective_revision",
     """
-WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS f, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS e FROM orders),
-v AS (SELECT * FROM r WHERE f <= TIMESTAMP '1996-06-15' AND (e IS NULL OR TIMESTAMP '1996-06-15' < e)),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY f DESC, o_orderkey) AS rn FROM v) WHERE rn = 1)
+WITH r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS f, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 300 DAY END AS e FROM orders),
+v AS (SELECT * FROM r WHERE (f IS NULL OR f <= TIMESTAMP '1996-06-15') AND (e IS NULL OR TIMESTAMP '1996-06-15' < e)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY f DESC NULLS LAST, o_orderkey) AS rn FROM v) WHERE rn = 1)
 SELECT o_custkey, o_orderkey FROM b
 UNION ALL SELECT o_custkey, o_orderkey FROM r WHERE o_custkey NOT IN (SELECT o_custkey FROM b)
 """,
 )
 def effective_revision(t: Tables):
-    # lead() runs inside one customer; the revisions of one customer are the unit here.
-    revisions = t.sql(
-        "SELECT o_custkey, o_orderkey, o_orderkey AS _seq, o_orderdate AS effective_from, "
-        "lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS effective_to FROM {orders}"
+    key = F.col("o_orderkey")
+    revisions = t.orders.select(
+        "o_custkey",
+        "o_orderkey",
+        key.alias("_seq"),
+        F.when(key % 6 != 0, F.col("o_orderdate")).alias("effective_from"),
+        F.when(key % 5 != 0, F.expr("o_orderdate + interval 300 days")).alias("effective_to"),
     )
     at = F.lit("1996-06-15T00:00:00").cast("timestamp_ntz")
     return collection.effective_revision(revisions, at, ["o_custkey"]).select("o_custkey", "o_orderkey")
