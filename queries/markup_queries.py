@@ -203,13 +203,13 @@ def doc_tables(t: Tables):
 def table_rows(t: Tables):
     pages = doc_tables(t)
     out = markup.table_records(dom.table_cells(pages), pages)
-    record = markup.normalized_record(F.col("record"))
+    out = out.withColumn("record", markup.normalized_record(F.col("record")))
     return out.select(
         "page_id",
         F.col("row_index").cast("bigint").alias("row_index"),
         "table_id",
         "page_url",
-        *[F.try_element_at(record, F.lit(n)).alias(n) for n in ("doc", "part", "part_2", "column_4")],
+        *[F.try_element_at("record", F.lit(n)).alias(n) for n in ("doc", "part", "part_2", "column_4")],
     )
 
 
