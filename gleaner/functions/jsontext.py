@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,45 +59,56 @@ def path_values(df: DataFrame, json: str, path: str, target: str = "value") -> D
     return current.where(F.col(target).isNotNull())
 
 
-def _levels(df: DataFrame, json: str, keep: list[str], first_only: bool, max_depth: int | None) -> list[DataFrame]:
-    """Values of every nesting level as ``(path, place, value)``; stops at the first empty level."""
-    level = df.select(
-        *keep,
-        F.lit("$").alias("path"),
-        F.array().cast("array<bigint>").alias("place"),
-        F.try_parse_json(F.col(json)).alias("value"),
-    ).where(F.col("value").isNotNull())
-    found = [level]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        items = F.try_variant_get(F.col("value"), "$", "array<variant>")
-        fields = F.map_entries(F.try_variant_get(F.col("value"), "$", "map<string,variant>"))
-        picked = F.slice(items, 1, 1) if first_only else items
-        from_array = F.transform(picked, lambda v: F.struct(F.lit("[*]").alias("step"), v.alias("value")))
-        from_object = F.transform(fields, lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("value")))
-        level = level.select(
-            *keep, "path", "place", F.posexplode(F.coalesce(from_array, from_object)).alias("pos", "child")
-        ).select(
-            *keep,
-            F.concat("path", F.col("child.step")).alias("path"),
-            F.concat("place", F.array(F.col("pos").cast("bigint"))).alias("place"),
-            F.col("child.value").alias("value"),
+_NODE = "array<struct<path:string,place:array<bigint>,value:variant>>"
+_USUAL_DEPTH = 6
+
+
+def _containers(nodes: Column) -> Column:
+    return F.filter(nodes, lambda n: F.schema_of_variant(n["value"]).rlike("^(OBJECT|ARRAY)"))
+
+
+def _below(node: Column, first_only: bool) -> Column:
+    """Objects and arrays directly inside one node, with their path and place."""
+    items = F.try_variant_get(node["value"], "$", "array<variant>")
+    picked = F.slice(items, 1, 1) if first_only else items
+    fields = F.map_entries(F.try_variant_get(node["value"], "$", "map<string,variant>"))
+
+    def child(step: Column, position: Column, value: Column) -> Column:
+        return F.struct(
+            F.concat(node["path"], step).alias("path"),
+            F.concat(node["place"], F.array(position.cast("bigint"))).alias("place"),
+            value.alias("value"),
         )
-        level = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"))
-        if max_depth is None and level.isEmpty():
-            break
-        found.append(level)
-        depth += 1
-    return found
+
+    from_array = F.transform(picked, lambda v, i: child(F.lit("[*]"), i, v))
+    from_object = F.transform(fields, lambda e, i: child(F.concat(F.lit("."), e["key"]), i, e["value"]))
+    return _containers(F.coalesce(from_array, from_object))
 
 
 def nested_arrays(df: DataFrame, json: str, keys: list[str], first_only: bool = False, max_depth: int | None = None) -> DataFrame:
-    """Every array inside the payload: its path, its place (child positions) and its items."""
-    levels = _levels(df, json, keys, first_only, max_depth)
-    every = reduce(DataFrame.unionByName, levels)
-    return every.withColumn("items", F.try_variant_get(F.col("value"), "$", "array<variant>")).where(
-        F.col("items").isNotNull()
+    """Every array inside the payload: its path, its place (child positions) and its items.
+
+    Levels are array columns of the same row, so nothing is shuffled or parsed
+    twice.  Without ``max_depth`` deeper levels are added until none is left.
+    """
+    root = F.struct(
+        F.lit("$").alias("path"), F.array().cast("array<bigint>").alias("place"), F.try_parse_json(F.col(json)).alias("value")
     )
+    staged = df.select(*keys, _containers(F.array(root)).alias("__level0"))
+    depth = 0
+    while True:
+        depth += 1
+        last = F.col(f"__level{depth - 1}")
+        staged = staged.withColumn(f"__level{depth}", F.flatten(F.transform(last, lambda n: _below(n, first_only))))
+        if max_depth is not None:
+            if depth >= max_depth:
+                break
+        elif depth >= _USUAL_DEPTH and staged.where(F.size(f"__level{depth}") > 0).isEmpty():
+            break
+    every = F.concat(*[F.coalesce(f"__level{i}", F.array().cast(_NODE)) for i in range(depth + 1)])
+    flat = staged.select(*keys, F.explode(every).alias("n"))
+    arrays = flat.select(*keys, "n.path", "n.place", F.try_variant_get("n.value", "$", "array<variant>").alias("items"))
+    return arrays.where(F.col("items").isNotNull())
 
 
 def url_of(item: Column) -> Column:

@@ -84,10 +84,10 @@ def article_text(inner: Column) -> Column:
 
 
 def inner_html(html: Column, name: str, greedy: bool = False) -> Column:
-    """Markup inside the first element of a kind; null when there is none."""
+    """Markup inside the first element of a kind; null when missing or empty."""
     body = ".*" if greedy else ".*?"
-    pattern = rf"(?is)<{name}(?=[\s/>])[^>]*>({body})</{name}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    found = F.regexp_extract(html, rf"(?is)<{name}(?=[\s/>])[^>]*>({body})</{name}\s*>", 1)
+    return let(found, lambda inner: F.when(inner != "", inner))
 
 
 def title(html: Column) -> Column:

@@ -13,6 +13,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gleaner.session import spread
+
 # Elements without content, and elements that close an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {
@@ -125,7 +127,7 @@ def parse(html: str | None) -> _Builder:
     return builder
 
 
-def _node_rows(html: str | None, tags: frozenset[str] | None) -> Iterator[tuple]:
+def _node_rows(html: str | None, tags: frozenset[str] | None, text_for: str | tuple[str, ...]) -> Iterator[tuple]:
     tree = parse(html)
     for node in tree.nodes:
         if tags is not None and node.tag not in tags:
@@ -141,7 +143,7 @@ def _node_rows(html: str | None, tags: frozenset[str] | None) -> Iterator[tuple]
             classes,
             list(node.attrs.items()),
             node.path,
-            tree.text_of(node),
+            tree.text_of(node) if text_for == "all" or (classes if text_for == "classed" else node.tag in text_for) else None,
         )
 
 
@@ -226,7 +228,7 @@ _ROWS_PER_BATCH = 4096
 
 def _flat_map(pages: DataFrame, key: str, html: str, columns: str, schema: pa.Schema, rows_of) -> DataFrame:
     """Apply ``rows_of(html)`` to each page and stream the rows out in small batches."""
-    source = pages.select(key, html)
+    source = spread(pages.select(key, html), key)
     key_type = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +259,22 @@ def _flat_map(pages: DataFrame, key: str, html: str, columns: str, schema: pa.Sc
     return source.mapInArrow(run, f"{key} {key_type}, {columns}")
 
 
-def dom_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
+def dom_nodes(
+    pages: DataFrame,
+    key: str = "page_id",
+    html: str = "html",
+    tags: tuple[str, ...] | None = None,
+    text_for: str | tuple[str, ...] = "all",
+) -> DataFrame:
     """Nodes in document order: ``end_id`` is the last descendant, ``path`` the
-    ancestors and the node itself.  ``tags`` limits which nodes leave the parser."""
+    ancestors and the node itself.
+
+    ``tags`` limits which nodes leave the parser; ``text_for`` ("all", "classed" or
+    a list of tags) limits which of them carry their text, because every outer
+    element repeats the text of its inner ones.
+    """
     wanted = frozenset(tags) if tags else None
-    return _flat_map(pages, key, html, NODE_COLUMNS, _NODE_SCHEMA, lambda text: _node_rows(text, wanted))
+    return _flat_map(pages, key, html, NODE_COLUMNS, _NODE_SCHEMA, lambda text: _node_rows(text, wanted, text_for))
 
 
 def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

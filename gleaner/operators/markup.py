@@ -333,9 +333,7 @@ def article_record(pages: DataFrame, key: str = "page_id", url: str = "url", htm
         F.col(url).alias("__url"),
         F.col(html),
         F.coalesce(inner, F.lit("")).alias("__body_html"),
-        F.coalesce(
-            F.when(markup.element_text(markup.inner_html(page, "h1")) != "", markup.element_text(markup.inner_html(page, "h1"))), F.lit("")
-        ).alias("title"),
+        F.coalesce(markup.element_text(markup.inner_html(page, "h1")), F.lit("")).alias("title"),
         F.coalesce(markup.published_at(page), F.lit("")).alias("__date"),
         markup.modified_at(page).alias("__modified"),
     )

@@ -35,34 +35,36 @@ def apply_decisions(records: DataFrame, versions: DataFrame, tasks: DataFrame, d
     )
     # The version a task is about: the highest number written by its run.
     proposed = versions.groupBy("natural_key", "run_id").agg(F.max("version_number").alias("proposed"))
-    newest = versions.groupBy("natural_key").agg(F.max("version_number").alias("newest"))
     sample = F.col("reason") == "SAMPLED_RECORD"
     accepting = F.col("decision").isin("APPROVED", "CORRECTED")
     effective = decided.where(~sample | (F.col("decision") == "CORRECTED"))
-    staged = effective.join(proposed, ["natural_key", "run_id"], "left").join(newest, "natural_key", "left")
-    staged = staged.withColumns(
+    staged = effective.join(proposed, ["natural_key", "run_id"], "left").withColumns(
         {
-            "target": F.when(~sample & F.col("proposed").isNotNull(), F.col("proposed")).otherwise(F.col("newest") + 1),
+            # Null means a number after the newest version.
+            "target": F.when(~sample, F.col("proposed")),
             "accepted_data": F.coalesce("corrected_data", "new_data"),
             "accepted_hash": F.coalesce("corrected_hash", "new_hash"),
         }
     )
-    accepts = staged.where(accepting)
-    rejects = staged.where(F.col("decision") == "REJECTED")
+    newest = versions.groupBy("natural_key").agg(F.max("version_number").alias("newest"))
 
-    last = top_per_key(accepts, ["natural_key"], [F.col("decided_seq").desc()]).select(
-        "natural_key",
-        F.col("target").alias("a_version"),
-        F.col("accepted_data").alias("a_data"),
-        F.col("accepted_hash").alias("a_hash"),
-        F.col("decision").alias("a_status"),
+    # The last acceptance of a record wins; one partial aggregate finds it together
+    # with the positions that decide about hiding.
+    content = F.struct("target", "accepted_data", "accepted_hash", "decision")
+    per_record = staged.groupBy("natural_key").agg(
+        F.max_by(content, F.when(accepting, F.col("decided_seq"))).alias("a"),
+        F.min(F.when(accepting, F.col("decided_seq"))).alias("first_accept"),
+        F.min(F.when((F.col("decision") == "REJECTED") & (F.col("proposed") == 1), F.col("decided_seq"))).alias("first_reject"),
     )
-    first_accept = accepts.groupBy("natural_key").agg(F.min("decided_seq").alias("first_accept"))
-    first_reject = rejects.where("proposed = 1").groupBy("natural_key").agg(F.min("decided_seq").alias("first_reject"))
-    merged = (
-        records.join(last, "natural_key", "left")
-        .join(first_accept, "natural_key", "left")
-        .join(first_reject, "natural_key", "left")
+    per_record = per_record.join(newest, "natural_key", "left")
+    accepts = staged.where(accepting)
+    merged = records.join(per_record, "natural_key", "left").withColumns(
+        {
+            "a_version": F.when(F.col("a").isNotNull(), F.coalesce(F.col("a.target"), F.col("newest") + 1)),
+            "a_data": F.col("a.accepted_data"),
+            "a_hash": F.col("a.accepted_hash"),
+            "a_status": F.col("a.decision"),
+        }
     )
     hidden = (
         F.col("first_reject").isNotNull()
@@ -83,7 +85,7 @@ def apply_decisions(records: DataFrame, versions: DataFrame, tasks: DataFrame, d
         replaced["last_version"] = F.greatest("last_version", F.coalesce("a_version", "last_version"))
     new_records = merged.select(*[replaced.get(c, F.col(c)).alias(c) for c in records.columns])
 
-    marks = top_per_key(staged.where(~sample), ["natural_key", "target"], [F.col("decided_seq").desc()]).select(
+    marks = top_per_key(staged.where(F.col("target").isNotNull()), ["natural_key", "target"], [F.col("decided_seq").desc()]).select(
         "natural_key",
         F.col("target").alias("version_number"),
         F.col("decision").alias("m_status"),
@@ -97,9 +99,9 @@ def apply_decisions(records: DataFrame, versions: DataFrame, tasks: DataFrame, d
         "review_status": F.coalesce("m_status", "review_status"),
     }
     new_versions = updated.select(*[change.get(c, F.col(c)).alias(c) for c in versions.columns])
-    extra = accepts.where(sample)
+    extra = accepts.where(sample).join(newest, "natural_key")
     added = {
-        "version_number": F.col("target"),
+        "version_number": F.col("newest") + 1,
         "data": F.col("accepted_data"),
         "data_hash": F.col("accepted_hash"),
         "review_status": F.lit("CORRECTED"),

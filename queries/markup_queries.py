@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import jsontext, markup as flat, urls
 from gleaner.operators import dom, markup, profile
+from gleaner.session import spread
 from gleaner.sources import pages as page_sources
 from queries.derived import CANON_STEPS
 from queries.process_queries import DOC_LINES_ORACLE, clean, doc_lines, strip
@@ -29,7 +30,7 @@ UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;'
 
 
 def linked(t: Tables):
-    return t.sql(LINKED)
+    return spread(t.sql(LINKED), "page_id")
 
 
 @query(
@@ -117,7 +118,7 @@ def page_links(t: Tables):
 )
 def content_links(t: Tables):
     pages = linked(t)
-    return markup.content_links(dom.dom_nodes(pages), pages).select("page_id", "url", "title")
+    return markup.content_links(dom.dom_nodes(pages, text_for=("a",)), pages).select("page_id", "url", "title")
 
 
 @query(
@@ -269,7 +270,7 @@ SELECT doc_id AS page_id, 'div.b.offer' AS selector, c AS count, round_even(a, 1
 """,
 )
 def card_clusters(t: Tables):
-    found = markup.card_clusters(dom.dom_nodes(doc_cards(t)))
+    found = markup.card_clusters(dom.dom_nodes(doc_cards(t), text_for="classed"))
     return found.select(
         "page_id", "selector", "count", "avg_text_length", "link_fraction", "signal_fraction", "descendant_count",
         markup.cluster_passes().alias("passes"),
@@ -482,7 +483,7 @@ SELECT doc_id AS page_id, unnest(['div.offer', '.offer.b']) AS selector, c AS co
   CASE WHEN f = 1 THEN round(s, 6) ELSE 1.0 END::DOUBLE AS field_population, d::BIGINT AS descendant_count FROM g""",
 )
 def repeating_candidates(t: Tables):
-    found = profile.repeating_candidates(dom.dom_nodes(doc_cards(t)))
+    found = profile.repeating_candidates(dom.dom_nodes(doc_cards(t), text_for=()))
     return found.where(F.col("selector").contains("offer")).select("page_id", "selector", "count", "field_count", "field_population", "descendant_count")
 
 
@@ -507,7 +508,7 @@ def payloads(t: Tables):
     links = F.transform("lines", lambda l: F.to_json(F.struct(F.concat(F.lit("/p/"), l["size"]).alias("href"))))
     more = F.concat(F.lit('{"links":['), F.array_join(links, ","), F.lit(',"http://h.example/'), "doc_id", F.lit('","plain"]}'))
     body = F.concat(F.lit('{"id":'), "doc_id", F.lit(',"items":'), F.to_json(items), F.lit(',"more":'), more, F.lit("}"))
-    return doc_lines(t).select("doc_id", body.alias("payload"))
+    return spread(doc_lines(t), "doc_id").select("doc_id", body.alias("payload"))
 
 
 @query("json_path", DOC_LINES_ORACLE + " SELECT doc_id, amount AS q FROM lines")
