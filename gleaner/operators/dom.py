@@ -1,6 +1,6 @@
 """One distributed parse of markup into relational rows.
 
-``dom_nodes`` and ``table_cells`` are the only Python functions on the data path.
+``dom_nodes`` and ``table_grid`` are the only Python functions on the data path.
 They read Arrow batches, keep one page in memory at a time and emit flat rows;
 selecting, grouping and joining is left to Spark.
 """
@@ -37,9 +37,7 @@ NODE_COLUMNS = (
     "node_id int, end_id int, parent_id int, depth int, tag string, id string, "
     "classes array<string>, attrs map<string,string>, path array<int>, text string"
 )
-CELL_COLUMNS = (
-    "table_index int, row_index int, column_index int, copied boolean, in_head boolean, is_header boolean, text string"
-)
+ROW_COLUMNS = "table_index int, row_index int, in_head boolean, cells array<string>, own_cells array<string>"
 
 
 def squeeze(parts: list[str]) -> str:
@@ -155,10 +153,11 @@ def _span(node: _Node, name: str, most: int) -> int:
         return 1
 
 
-def _cell_rows(html: str | None) -> Iterator[tuple]:
-    """Cells of every table with column and row spans laid out on the grid."""
+def _grid_rows(html: str | None) -> Iterator[tuple]:
+    """Rows of every table with column and row spans laid out on the grid."""
     tree = parse(html)
-    inside: dict[int, list[_Node]] = {}
+    rows_of: dict[int, list[_Node]] = {}
+    cells_of: dict[int, list[_Node]] = {}
     tables: list[int] = []
     for node in tree.nodes:
         if node.tag == "table":
@@ -166,36 +165,32 @@ def _cell_rows(html: str | None) -> Iterator[tuple]:
         elif node.tag == "tr":
             owner = next((i for i in reversed(node.path[:-1]) if tree.nodes[i].tag == "table"), None)
             if owner is not None:
-                inside.setdefault(owner, []).append(node)
-    children: dict[int, list[_Node]] = {}
-    for node in tree.nodes:
-        if node.tag in ("td", "th") and node.parent is not None:
-            children.setdefault(node.parent.index, []).append(node)
+                rows_of.setdefault(owner, []).append(node)
+        elif node.tag in ("td", "th") and node.parent is not None:
+            cells_of.setdefault(node.parent.index, []).append(node)
     for table_index, table in enumerate(tables):
-        carried: dict[int, tuple[str, int, bool]] = {}
-        for row_index, row in enumerate(inside.get(table, [])):
-            head = any(tree.nodes[i].tag == "thead" for i in row.path)
-            column = 0
-
-            def carry(column: int) -> Iterator[tuple]:
-                while column in carried and carried[column][1] > 0:
-                    text, left, header = carried[column]
-                    carried[column] = (text, left - 1, header)
-                    yield (table_index, row_index, column, True, head, header, text)
-                    column += 1
-
-            for cell in children.get(row.index, []):
-                for copied in carry(column):
-                    yield copied
-                    column += 1
+        open_spans: dict[int, list] = {}
+        for row_index, row in enumerate(rows_of.get(table, [])):
+            grid: list[str] = []
+            own: list[str] = []
+
+            def fill_from_above() -> None:
+                while open_spans.get(len(grid), (None, 0))[1] > 0:
+                    span = open_spans[len(grid)]
+                    span[1] -= 1
+                    grid.append(span[0])
+
+            for cell in cells_of.get(row.index, []):
+                fill_from_above()
                 text = tree.text_of(cell)
-                rows = _span(cell, "rowspan", 65534)
-                for repeat in range(_span(cell, "colspan", 1000)):
-                    yield (table_index, row_index, column, repeat > 0, head, cell.tag == "th", text)
-                    if rows > 1:
-                        carried[column] = (text, rows - 1, cell.tag == "th")
-                    column += 1
-            yield from carry(column)
+                own.append(text)
+                below = _span(cell, "rowspan", 65534) - 1
+                for _ in range(_span(cell, "colspan", 1000)):
+                    if below > 0:
+                        open_spans[len(grid)] = [text, below]
+                    grid.append(text)
+            fill_from_above()
+            yield (table_index, row_index, any(tree.nodes[i].tag == "thead" for i in row.path), grid, own)
 
 
 _NODE_SCHEMA = pa.schema(
@@ -212,15 +207,13 @@ _NODE_SCHEMA = pa.schema(
         ("text", pa.string()),
     ]
 )
-_CELL_SCHEMA = pa.schema(
+_ROW_SCHEMA = pa.schema(
     [
         ("table_index", pa.int32()),
         ("row_index", pa.int32()),
-        ("column_index", pa.int32()),
-        ("copied", pa.bool_()),
         ("in_head", pa.bool_()),
-        ("is_header", pa.bool_()),
-        ("text", pa.string()),
+        ("cells", pa.list_(pa.string())),
+        ("own_cells", pa.list_(pa.string())),
     ]
 )
 _ROWS_PER_BATCH = 4096
@@ -277,5 +270,6 @@ def dom_nodes(
     return _flat_map(pages, key, html, NODE_COLUMNS, _NODE_SCHEMA, lambda text: _node_rows(text, wanted, text_for))
 
 
-def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return _flat_map(pages, key, html, CELL_COLUMNS, _CELL_SCHEMA, _cell_rows)
+def table_grid(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Table rows: ``cells`` with spans laid out, ``own_cells`` as written."""
+    return _flat_map(pages, key, html, ROW_COLUMNS, _ROW_SCHEMA, _grid_rows)

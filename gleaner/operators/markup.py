@@ -164,22 +164,16 @@ def dedupe_headers(headers: Column) -> Column:
     return let(bases, lambda all_bases: F.transform(all_bases, lambda base, i: numbered(base, i, all_bases)))
 
 
-def table_rows(cells: DataFrame, key: str = "page_id") -> DataFrame:
-    """Non-blank table rows as arrays, numbered from 0 within their table."""
-    rows = cells.groupBy(key, "table_index", "row_index").agg(
-        F.array_sort(F.collect_list(F.struct("column_index", "text"))).alias("cells"),
-        F.bool_or("in_head").alias("in_head"),
-    )
-    rows = rows.withColumn("cells", F.transform("cells", lambda c: c["text"])).where(
-        F.exists("cells", lambda c: c != "")
-    )
+def table_rows(grid: DataFrame, key: str = "page_id") -> DataFrame:
+    """Non-blank table rows, numbered from 0 within their table."""
+    rows = grid.where(F.exists("cells", lambda c: c != ""))
     # A table is part of one page, which was one input row of the parser.
     order = Window.partitionBy(key, "table_index").orderBy("row_index")
     return rows.withColumn("position", F.row_number().over(order) - 1)
 
 
 def table_records(
-    cells: DataFrame,
+    grid: DataFrame,
     pages: DataFrame | None = None,
     header_row: int = 0,
     table_index: int = 0,
@@ -192,7 +186,7 @@ def table_records(
     An index beyond the tables of a page falls back to its first table.
     """
     page = Window.partitionBy(key)
-    numbered = cells.withColumn("__last", F.max("table_index").over(page)) if table_index else cells.withColumn("__last", F.lit(0))
+    numbered = grid.withColumn("__last", F.max("table_index").over(page)) if table_index else grid.withColumn("__last", F.lit(0))
     chosen = F.when(F.col("__last") >= table_index, F.lit(table_index)).otherwise(F.lit(0))
     rows = table_rows(numbered.where(F.col("table_index") == chosen).drop("__last"), key)
     table = Window.partitionBy(key, "table_index")
@@ -220,14 +214,13 @@ def normalized_record(record: Column) -> Column:
     return F.map_concat(record, fresh)
 
 
-def table_structures(cells: DataFrame, key: str = "page_id") -> DataFrame:
+def table_structures(grid: DataFrame, key: str = "page_id") -> DataFrame:
     """Lossless tables: headers (last ``thead`` row, else the first row) and data rows."""
-    rows = table_rows(cells.withColumn("text", clean_inline(F.col("text"))), key)
-    heads = cells.where(F.col("in_head") & ~F.col("copied")).groupBy(key, "table_index", "row_index").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("column_index", "text"))), lambda c: clean_inline(c["text"])).alias("head")
-    )
-    last = heads.groupBy(key, "table_index").agg(
-        F.max_by("head", "row_index").alias("head"), F.count(F.lit(1)).alias("head_rows")
+    clean = {c: F.transform(c, clean_inline) for c in ("cells", "own_cells")}
+    grid = grid.withColumns(clean)
+    rows = table_rows(grid, key)
+    last = grid.where("in_head").groupBy(key, "table_index").agg(
+        F.max_by("own_cells", "row_index").alias("head"), F.count(F.lit(1)).alias("head_rows")
     )
     matrix = rows.groupBy(key, "table_index").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "cells"))), lambda r: r["cells"]).alias("matrix")

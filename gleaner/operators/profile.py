@@ -152,18 +152,17 @@ def metadata_candidates(pages: DataFrame, key: str = "page_id", html: str = "htm
     return pages.select(key, F.explode(F.array_compact(F.array(*options))).alias("c")).select(key, "c.*")
 
 
-def table_candidates(cells: DataFrame, nodes: DataFrame, key: str = "page_id") -> DataFrame:
+def table_candidates(grid: DataFrame, nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Tables of a page with their first row, row count and confidence."""
     order = Window.partitionBy(key).orderBy("node_id")
     tables = nodes.where("tag = 'table'").withColumn("table_index", F.row_number().over(order) - 1)
     selector = F.when(F.col("id").isNotNull(), F.concat(F.lit("#"), "id")).otherwise(
         F.concat(F.lit("table:nth-of-type("), F.col("table_index") + 1, F.lit(")"))
     )
-    first = cells.where((F.col("row_index") == 0) & ~F.col("copied")).groupBy(key, "table_index").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("column_index", "text"))), lambda c: c["text"]).alias("headers")
+    shape = grid.groupBy(key, "table_index").agg(
+        F.min_by("own_cells", "row_index").alias("headers"), F.count(F.lit(1)).alias("row_count")
     )
-    counts = cells.groupBy(key, "table_index").agg((F.max("row_index") + 1).cast("bigint").alias("row_count"))
-    joined = tables.join(first, [key, "table_index"], "left").join(counts, [key, "table_index"], "left")
+    joined = tables.join(shape, [key, "table_index"], "left")
     return joined.select(
         key,
         "table_index",

@@ -203,7 +203,7 @@ def doc_tables(t: Tables):
 )
 def table_rows(t: Tables):
     pages = doc_tables(t)
-    out = markup.table_records(dom.table_cells(pages), pages)
+    out = markup.table_records(dom.table_grid(pages), pages)
     out = out.withColumn("record", markup.normalized_record(F.col("record")))
     return out.select(
         "page_id",
@@ -220,7 +220,7 @@ def table_rows(t: Tables):
     + """ SELECT doc_id AS page_id, 'Doc|Part|Part_2|column_4' AS headers, count(*) AS data_rows, string_agg(code, ',' ORDER BY item) AS suppliers FROM lines GROUP BY doc_id""",
 )
 def table_structures(t: Tables):
-    return markup.table_structures(dom.table_cells(doc_tables(t))).select(
+    return markup.table_structures(dom.table_grid(doc_tables(t))).select(
         "page_id",
         F.array_join("headers", "|").alias("headers"),
         F.size("rows").cast("bigint").alias("data_rows"),
@@ -469,7 +469,7 @@ def pagination_candidates(t: Tables):
 @query("table_candidates", DOC_LINES_ORACLE + " SELECT doc_id AS page_id, 'table:nth-of-type(1)' AS selector, 'Doc|Part|Part|' AS headers, count(*) + 2 AS row_count, 0.95::DOUBLE AS confidence FROM lines GROUP BY doc_id")
 def table_candidates(t: Tables):
     pages = doc_tables(t)
-    return profile.table_candidates(dom.table_cells(pages), dom.dom_nodes(pages, tags=("table",))).select(
+    return profile.table_candidates(dom.table_grid(pages), dom.dom_nodes(pages, tags=("table",))).select(
         "page_id", "selector", F.array_join("headers", "|").alias("headers"), "row_count", "confidence"
     )
 

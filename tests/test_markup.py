@@ -51,18 +51,18 @@ def test_table_spans_and_identity(spark):
     html = """<table id=m><tr><th>Bank<th>Rate<th>Rate<tr><td rowspan=2>A<td>1<td>2<tr><td colspan=2>3</table>
     <table><tr><td>h</td></tr><tr><td></td></tr><tr><td>v</td></tr></table>"""
     data = pages(spark, html)
-    cells = dom.table_cells(data)
-    first = markup.table_records(cells, data).orderBy("row_index").collect()
+    grid = dom.table_grid(data)
+    first = markup.table_records(grid, data).orderBy("row_index").collect()
     assert [r["record"] for r in first] == [{"Bank": "A", "Rate": "1", "Rate_2": "2"}, {"Bank": "A", "Rate": "3", "Rate_2": "3"}]
     assert [(r["row_index"], r["table_id"], r["page_url"]) for r in first] == [(0, "table:0", "https://x.org/p0"), (1, "table:0", "https://x.org/p0")]
-    second = markup.table_records(cells, table_index=1).collect()
+    second = markup.table_records(grid, table_index=1).collect()
     assert [(r["record"], r["table_id"]) for r in second] == [({"h": "v"}, "table:1")]
-    assert markup.table_records(cells, table_index=9).count() == 2
+    assert markup.table_records(grid, table_index=9).count() == 2
 
 
 def test_table_head_structures(spark):
     html = "<table><thead><tr><th colspan=2>Top</th></tr><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>"
-    row = markup.table_structures(dom.table_cells(pages(spark, html))).first()
+    row = markup.table_structures(dom.table_grid(pages(spark, html))).first()
     assert row["headers"] == ["a", "b"] and row["rows"] == [["1", "2"]] and row["matrix"][0] == ["Top", "Top"]
 
 
