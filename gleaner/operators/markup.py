@@ -45,6 +45,18 @@ def node_value(name: str | None = None) -> Column:
     return F.try_element_at("attrs", F.lit(name)) if name else F.col("text")
 
 
+def page_summary(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Text, links, title and language of each page."""
+    page = F.col(html)
+    return pages.select(
+        key,
+        markup.piece_text(page).alias("text"),
+        markup.hrefs(page).alias("links"),
+        markup.title(page).alias("title"),
+        markup.language(page).alias("language"),
+    )
+
+
 def select_elements(nodes: DataFrame, where: Column, value: Column, single: bool = False, key: str = "page_id") -> DataFrame:
     """Values of matching nodes in page order, with short evidence; ``single`` keeps the first."""
     found = nodes.where(where).select(key, "node_id", value.alias("value"))
@@ -283,6 +295,18 @@ def cluster_passes() -> Column:
     return ((text >= 40) & (link >= 0.2)) | ((text >= 60) & (signal >= 0.3))
 
 
+def cluster_report(nodes: DataFrame, key: str = "page_id", shown: int = 3) -> DataFrame:
+    """Pages whose clusters all fail the bar, with their best candidates to pin by hand."""
+    found = card_clusters(nodes, key).withColumn("passes", cluster_passes())
+    pages = found.groupBy(key).agg(
+        F.bool_or("passes").alias("selected"),
+        # At most ``shown`` names per page.
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "selector")))).alias("top"),
+    )
+    names = F.array_join(F.transform("top", lambda t: t["selector"]), ", ")
+    return pages.where(~F.col("selected")).select(key, F.lit("CARD_CLUSTER_NOT_FOUND").alias("code"), names.alias("candidates"))
+
+
 def auto_cards(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Cards of the best passing cluster of every page with default url, title and text."""
     best = top_per_key(card_clusters(nodes, key).where(cluster_passes()), [key], [F.col("rank")])

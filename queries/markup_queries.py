@@ -83,13 +83,7 @@ def artifact_link(t: Tables):
   regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, len(regexp_extract_all(html, '<a href="[^"]*"'))::BIGINT AS links FROM pages""",
 )
 def page_summary(t: Tables):
-    html = F.col("html")
-    return t.pages.select(
-        "page_id",
-        flat.title(html).alias("title"),
-        flat.language(html).alias("language"),
-        F.size(flat.hrefs(html)).cast("bigint").alias("links"),
-    )
+    return markup.page_summary(t.pages).select("page_id", "title", "language", F.size("links").cast("bigint").alias("links"))
 
 
 NAV_LINKS = """, nav AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href FROM linked),
@@ -291,6 +285,19 @@ def auto_cards(t: Tables):
     return markup.auto_cards(dom.dom_nodes(doc_cards(t))).select("page_id", "text", "url", "title")
 
 
+@query(
+    "cluster_report",
+    DOC_LINES_ORACLE
+    + """, c AS (SELECT *, 'Part number ' || size || ' supplied by someone' || CASE WHEN code % 2 = 0 THEN ' open' ELSE '' END
+   || CASE WHEN line_no % 3 = 0 THEN ' 12.5 %' ELSE '' END AS text FROM lines)
+SELECT doc_id AS page_id, 'CARD_CLUSTER_NOT_FOUND' AS code, 'div.b.offer' AS candidates FROM c GROUP BY doc_id HAVING count(*) BETWEEN 3 AND 500 AND NOT ((round_even(avg(length(text)) FILTER (item < 20), 1) >= 40
+  AND round_even(avg(CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 20), 3) >= 0.2)
+  OR (avg(length(text)) FILTER (item < 20) >= 60 AND avg(CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END) FILTER (item < 20) >= 0.3))""",
+)
+def cluster_report(t: Tables):
+    return markup.cluster_report(dom.dom_nodes(doc_cards(t), text_for="classed"))
+
+
 @query(
     "page_metadata",
     LINKED_ORACLE
