@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.binding import with_once
 from gleaner.plans.ranking import top_per_key
 
 # Envelope names around a collection, and url-bearing fields.
@@ -56,7 +57,7 @@ def path_values(df: DataFrame, json: str, path: str, target: str = "value") -> D
             current = current.withColumn(target, F.try_variant_get(F.col(target), steps, "variant"))
         if position < len(pieces) - 1:
             current = current.withColumn(target, F.explode(children(F.col(target))))
-    return current.where(F.col(target).isNotNull())
+    return with_once(current, target, F.col(target), drop_null=True)
 
 
 _NODE = "array<struct<path:string,place:array<bigint>,value:variant>>"
@@ -107,8 +108,8 @@ def nested_arrays(df: DataFrame, json: str, keys: list[str], first_only: bool =
             break
     every = F.concat(*[F.coalesce(f"__level{i}", F.array().cast(_NODE)) for i in range(depth + 1)])
     flat = staged.select(*keys, F.explode(every).alias("n"))
-    arrays = flat.select(*keys, "n.path", "n.place", F.try_variant_get("n.value", "$", "array<variant>").alias("items"))
-    return arrays.where(F.col("items").isNotNull())
+    arrays = with_once(flat, "items", F.try_variant_get("n.value", "$", "array<variant>"), drop_null=True)
+    return arrays.select(*keys, "n.path", "n.place", "items")
 
 
 def url_of(item: Column) -> Column:
@@ -123,7 +124,7 @@ def merge_url_lists(df: DataFrame, json: str, key: str, max_depth: int | None =
     rows = bearing.select(key, "place", F.posexplode("items").alias("n", "item"))
     plain = F.try_variant_get(F.col("item"), "$", "string")
     text_url = F.when(F.schema_of_variant("item") == "STRING", F.when(plain.rlike("^(?:https?://|/)"), plain))
-    rows = rows.withColumn("url", F.coalesce(url_of(F.col("item")), text_url)).where(F.col("url").isNotNull())
+    rows = with_once(rows, "url", F.coalesce(url_of(F.col("item")), text_url), drop_null=True)
     return top_per_key(rows, [key, "url"], [F.col("place"), F.col("n")])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
+from gleaner.functions.binding import with_once
 from gleaner.functions.records import path_column
 from gleaner.plans.ranking import running_total, top_per_key
 from gleaner.session import pin
@@ -39,14 +40,11 @@ def url_frontier(
             hit = hit | title.rlike(f"(?iu){pattern}")
         rows = rows.where((title != "") & hit)
     rows = rows.where(raw.isNotNull() & (raw != ""))
-    rows = rows.withColumn("__absolute", urls.resolve(base_url, raw))
-    rows = rows.withColumns(
-        {
-            "canonical": urls.canonical_url(F.col("__absolute"), config.get("drop_query_params") or []),
-            "__origin": urls.host(origin_url),
-        }
+    absolute = urls.resolve(base_url, raw)
+    rows = with_once(rows, "canonical", urls.canonical_url(absolute, config.get("drop_query_params") or []))
+    rows = rows.withColumns({"__origin": urls.host(origin_url), "__host": urls.host(F.col("canonical"))}).where(
+        F.col("canonical").rlike("^https?:")
     )
-    rows = rows.withColumn("__host", urls.host(F.col("canonical"))).where(urls.scheme(F.col("canonical")).isin("http", "https"))
     domains = [str(d).strip().lower().split(":", 1)[0] for d in config.get("allowed_domains") or [] if str(d).strip()]
     if domains:
         rows = rows.where(urls.within_domains(F.col("__host"), domains))
@@ -67,7 +65,7 @@ def url_frontier(
             value = F.regexp_extract(F.col("canonical"), java, index)
             named[name] = F.when(value != "", value)
     out = first.withColumns({**named, "record_id": F.coalesce(given, F.when(match_id != "", match_id), urls.short_id(F.col("canonical")))})
-    out = out.drop("__absolute", "__origin", "__host")
+    out = out.drop("__origin", "__host")
     limit = config.get("limit")
     return out.orderBy(seq).limit(int(limit)) if limit else out
 
@@ -113,11 +111,11 @@ def crawl_closure(
     """Breadth-first closure ``(url, depth)``.
 
     Each level keeps only unseen addresses and is pinned, so the plan stays one
-    level long and a lost executor re-reads a checkpoint.  Links are pre-reduced
-    to distinct edges once; the frontier side of the join is unique, so a hub page
+    level long and a lost executor re-reads a checkpoint.  Links are reduced to
+    distinct edges and pinned once, not once per level; the frontier side of the join is unique, so a hub page
     skews only the streamed side, which adaptive execution splits.
     """
-    edges = links.select(F.col(source), F.col(target)).distinct()
+    edges = pin(links.select(F.col(source), F.col(target)).distinct())
     level = pin(seeds.select(F.col(node)).distinct().withColumn("depth", F.lit(1)))
     visited = level
     for depth in range(2, max_depth + 1):
@@ -299,7 +297,7 @@ def attach_related(
     ``max_files`` attachments of a record with a listed extension count.
     """
     listed = records.select(key, F.posexplode(F.slice(attachments, 1, max_files)).alias("position", "__raw"))
-    listed = listed.select(key, "position", urls.canonical_url(F.col("__raw")).alias(url))
+    listed = with_once(listed, url, urls.canonical_url(F.col("__raw"))).select(key, "position", url)
     wanted = listed.where(urls.file_suffix(F.col(url)).isin(*[e.lower() for e in extensions]))
     return wanted.join(documents, url), wanted.join(documents.select(url), url, "left_anti")
 

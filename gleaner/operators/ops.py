@@ -101,15 +101,15 @@ def node_stats(node_runs: DataFrame) -> DataFrame:
     """Counts, duration spread and zero-output warnings per node type."""
     zero = (F.col("output_count") == 0) & F.col("error").isNull()
     code = F.when(F.col("node_type") == "extract_repeating_list", "REPEATING_LIST_NO_MATCH").otherwise("NODE_ZERO_OUTPUT")
-    return node_runs.groupBy("node_type").agg(
+    stats = node_runs.groupBy("node_type").agg(
         F.count(F.lit(1)).alias("executions"),
         F.sum("input_count").alias("input_count"),
         F.sum("output_count").alias("output_count"),
         F.round(F.avg("duration_ms"), 6).alias("avg_ms"),
         F.max("duration_ms").alias("max_ms"),
         F.count_if(zero).alias("zero_outputs"),
-        F.max(F.when(zero, code)).alias("warning_code"),
     )
+    return stats.withColumn("warning_code", F.when(F.col("zero_outputs") > 0, code))
 
 
 def model_usage(calls: DataFrame) -> DataFrame:

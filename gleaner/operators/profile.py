@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import markup, urls
-from gleaner.functions.binding import let
+from gleaner.functions.binding import let, with_once
 from gleaner.plans.ranking import top_per_key
 
 
@@ -108,7 +108,7 @@ def pagination_candidates(pages: DataFrame, key: str = "page_id", url: str = "ur
             "__anchor": F.col("__tag").rlike("(?i)^<a[\\s/>]"),
         }
     )
-    links = links.where(F.col("__href").isNotNull()).withColumn("url", urls.resolve(F.col("__page"), F.col("__href")))
+    links = with_once(links.where(F.col("__href").isNotNull()), "url", urls.resolve(F.col("__page"), F.col("__href")))
     following = links.where("__next").select(
         key, "__position", F.lit(0).alias("__kind"), "url", F.lit("NEXT_LINK").alias("mode"), F.lit(None).cast("string").alias("parameter"), F.lit(1.0).alias("confidence")
     )
