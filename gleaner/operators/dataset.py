@@ -217,10 +217,15 @@ def apply_run(
         "observed_at",
         optional("evidence", "string"),
     )
+    def task_id(reason: Column) -> Column:
+        return F.concat_ws("|", F.lit(run_id), reason, "natural_key").alias("task_id")
+
+    reason = F.when(created, "NEW_RECORD").otherwise("CHANGED_RECORD")
     tasks = staged.where("pending").select(
+        task_id(reason),
         "natural_key",
         "run_id",
-        F.when(created, "NEW_RECORD").otherwise("CHANGED_RECORD").alias("reason"),
+        reason.alias("reason"),
         F.col("old_data"),
         F.col("data").alias("new_data"),
         F.col("data_hash").alias("new_hash"),
@@ -229,6 +234,7 @@ def apply_run(
     size = int(policy.get("sample_unchanged") or 0)
     if size > 0:
         audit = sample_unchanged(staged, run_id, size).select(
+            task_id(F.lit("SAMPLED_RECORD")),
             "natural_key",
             "run_id",
             F.lit("SAMPLED_RECORD").alias("reason"),

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.context import merge_review_policy
-from gleaner.operators import dataset, views
+from gleaner.operators import dataset, review, views
+from gleaner.plans.ranking import top_per_key
 
 RECORDS = (
     "natural_key string, current_version bigint, last_version bigint, data string, data_hash string, "
@@ -33,10 +34,11 @@ OBSERVATIONS = (
     "observed_at timestamp_ntz, evidence string"
 )
 TASKS = (
-    "natural_key string, run_id string, reason string, old_data string, new_data string, new_hash string, status string"
+    "task_id string, natural_key string, run_id string, reason string, old_data string, new_data string, new_hash string, status string"
 )
+BLOCKED = "run_id string, reason string, finished_at timestamp_ntz"
 MANIFEST = (
-    "number bigint, run_id string, observed_count bigint, created bigint, updated bigint, unchanged bigint, "
+    "number bigint, kind string, run_id string, observed_count bigint, created bigint, updated bigint, unchanged bigint, "
     "review_tasks bigint, sampled_for_review bigint, finished_at timestamp_ntz, buckets map<string,bigint>"
 )
 
@@ -63,25 +65,36 @@ class DatasetStore:
             return self.spark.createDataFrame([], f"{schema}, commit bigint")
 
     def manifest(self) -> DataFrame:
-        """One row per committed run; also the table of dataset runs."""
+        """One row per commit, ``kind`` is ``run`` or ``review``."""
         return self._read("manifest", MANIFEST).drop("commit")
 
-    def last_commit(self) -> Row | None:
-        return self.manifest().orderBy(F.col("number").desc()).limit(1).first()
+    def dataset_runs(self) -> DataFrame:
+        """Committed runs, also the empty ones."""
+        return self.manifest().where("kind = 'run'").drop("buckets", "kind")
 
-    def _committed(self, table: str, schema: str) -> DataFrame:
+    def blocked_runs(self) -> DataFrame:
+        return self._read("blocked", BLOCKED).drop("commit").distinct()
+
+    def last_commit(self, kind: str | None = None) -> Row | None:
+        rows = self.manifest() if kind is None else self.manifest().where(F.col("kind") == kind)
+        return rows.orderBy(F.col("number").desc()).limit(1).first()
+
+    def _committed(self, table: str, schema: str, keys: Sequence[str] = ()) -> DataFrame:
+        """Rows of finished commits; once reviews rewrote rows, the newest row of a key counts."""
         last = self.last_commit()
-        number = last["number"] if last else 0
-        return self._read(table, schema).where(F.col("commit") <= number).drop("commit")
+        rows = self._read(table, schema).where(F.col("commit") <= (last["number"] if last else 0))
+        if keys and not self.manifest().where("kind = 'review'").isEmpty():
+            rows = top_per_key(rows, keys, [F.col("commit").desc()])
+        return rows.drop("commit")
 
     def versions(self) -> DataFrame:
-        return self._committed("versions", VERSIONS)
+        return self._committed("versions", VERSIONS, ["natural_key", "version_number"])
 
     def observations(self) -> DataFrame:
         return self._committed("observations", OBSERVATIONS)
 
     def review_tasks(self) -> DataFrame:
-        return self._committed("review_tasks", TASKS)
+        return self._committed("review_tasks", TASKS, ["task_id"])
 
     def records(self, only: Sequence[int] | None = None) -> DataFrame:
         """Current state, optionally of some buckets; reads the newest file set of each."""
@@ -98,6 +111,56 @@ class DatasetStore:
     def bucket_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
+    def _next(self) -> tuple[int, dict[int, int]]:
+        last = self.last_commit()
+        places = {int(b): n for b, n in last["buckets"].items()} if last else {}
+        return (last["number"] if last else 0) + 1, places
+
+    def _write(self, table: str, number: int, frame: DataFrame) -> None:
+        # A failed attempt may have left files under this number; they are replaced.
+        frame.write.mode("overwrite").parquet(f"{self.path}/{table}/commit={number}")
+
+    def _stage(self, number: int, frame: DataFrame) -> DataFrame:
+        """Written once, so every later step reads the same rows."""
+        self._write("staging", number, frame)
+        return self.spark.read.parquet(f"{self.path}/staging/commit={number}")
+
+    def _touched(self, frame: DataFrame) -> list[int]:
+        """Buckets of the keys at hand, at most ``buckets`` numbers."""
+        return [r[0] for r in frame.select(self.bucket_of(F.col("natural_key")).alias("b")).distinct().collect()]
+
+    def _write_records(self, number: int, frame: DataFrame) -> None:
+        placed = frame.withColumn("bucket", self.bucket_of(F.col("natural_key")))
+        placed = placed.repartition("bucket", F.pmod(F.xxhash64("natural_key", F.lit(1)), F.lit(16)))
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/records/commit={number}")
+
+    def _publish(
+        self, number: int, kind: str, run_id: str, clock: str, counters: Mapping[str, int], places: Mapping[int, int]
+    ) -> None:
+        """The manifest row makes a commit visible; it is written last."""
+        names = ("created", "updated", "unchanged", "review_tasks", "sampled_for_review")
+        observed = sum(counters.get(n, 0) for n in names[:3])
+        row = self.spark.range(1).select(
+            F.lit(number).cast("bigint").alias("number"),
+            F.lit(kind).alias("kind"),
+            F.lit(run_id).alias("run_id"),
+            F.lit(observed).cast("bigint").alias("observed_count"),
+            *[F.lit(counters.get(n, 0)).cast("bigint").alias(n) for n in names],
+            F.lit(clock).cast("timestamp_ntz").alias("finished_at"),
+            F.from_json(F.lit(json.dumps(places)), "map<string,bigint>").alias("buckets"),
+        )
+        self._write("manifest", number, row.coalesce(1))
+
+    def _known(self, run_id: str) -> bool:
+        return not self.manifest().where(F.col("run_id") == run_id).isEmpty()
+
+    def _block(self, run_id: str, reason: str, clock: str) -> CommitResult:
+        row = self.spark.range(1).select(
+            F.lit(run_id).alias("run_id"), F.lit(reason).alias("reason"), F.lit(clock).cast("timestamp_ntz").alias("finished_at")
+        )
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/blocked/commit=0")
+        return CommitResult(run_id, True, False, reason, {})
+
     def commit(
         self,
         batch: DataFrame,
@@ -109,51 +172,46 @@ class DatasetStore:
 
         ``batch`` needs ``natural_key``, ``data_hash`` and ``data``.
         """
-        if not self.manifest().where(F.col("run_id") == run_id).isEmpty():
+        if self._known(run_id):
             return CommitResult(run_id, False, True, "RUN_ALREADY_COMMITTED", {})
-        last = self.last_commit()
-        number = (last["number"] if last else 0) + 1
-        places = {int(b): n for b, n in last["buckets"].items()} if last else {}
-        here = f"commit={number}"
-        # The batch is written once, so every later step reads the same rows.
-        staging = f"{self.path}/staging/{here}"
-        batch.write.mode("overwrite").parquet(staging)
-        incoming = self.spark.read.parquet(staging)
+        number, places = self._next()
+        incoming = self._stage(number, batch)
         if not incoming.where(F.col("natural_key").isNull()).isEmpty():
-            return CommitResult(run_id, True, False, "NATURAL_KEY_MISSING", {})
+            return self._block(run_id, "NATURAL_KEY_MISSING", clock)
         repeated = incoming.groupBy("natural_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         if not repeated.isEmpty():
-            return CommitResult(run_id, True, False, "DUPLICATE_NATURAL_KEY", {})
-        bucket = self.bucket_of(F.col("natural_key"))
-        touched = [r[0] for r in incoming.select(bucket.alias("b")).distinct().collect()]
+            return self._block(run_id, "DUPLICATE_NATURAL_KEY", clock)
+        touched = self._touched(incoming)
         state = self.records(touched)
-        rules = merge_review_policy(policy)
         at = F.lit(clock).cast("timestamp_ntz")
-        outcome = dataset.apply_run(incoming, state, run_id, rules, at)
-        for table, frame in (
-            ("versions", outcome.versions),
-            ("observations", outcome.observations),
-            ("review_tasks", outcome.review_tasks),
-        ):
-            frame.write.mode("overwrite").parquet(f"{self.path}/{table}/{here}")
-        merged = dataset.merge_records(state, outcome.records).withColumn("bucket", self.bucket_of(F.col("natural_key")))
-        merged.repartition("bucket", F.pmod(F.xxhash64("natural_key", F.lit(1)), F.lit(16))).write.mode("overwrite").partitionBy(
-            "bucket"
-        ).parquet(f"{self.path}/records/{here}")
+        outcome = dataset.apply_run(incoming, state, run_id, merge_review_policy(policy), at)
+        self._write("versions", number, outcome.versions)
+        self._write("observations", number, outcome.observations)
+        self._write("review_tasks", number, outcome.review_tasks)
+        self._write_records(number, dataset.merge_records(state, outcome.records))
         counters = outcome.counters.first().asDict()
-        observed = counters["created"] + counters["updated"] + counters["unchanged"]
         places.update({b: number for b in touched})
-        row = self.spark.range(1).select(
-            F.lit(number).cast("bigint").alias("number"),
-            F.lit(run_id).alias("run_id"),
-            F.lit(observed).cast("bigint").alias("observed_count"),
-            *[F.lit(v).cast("bigint").alias(k) for k, v in counters.items()],
-            at.alias("finished_at"),
-            F.from_json(F.lit(json.dumps(places)), "map<string,bigint>").alias("buckets"),
-        )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{here}")
+        self._publish(number, "run", run_id, clock, counters, places)
         return CommitResult(run_id, False, False, None, counters)
 
+    def review(self, decisions: DataFrame, review_id: str, clock: str) -> DataFrame:
+        """Apply ``decisions(task_id, decision, corrected_data, corrected_hash, decided_seq)``;
+        returns the decisions that came too late.  Only keys with a decision are rewritten."""
+        if self._known(review_id):
+            return decisions.where(F.lit(False)).select("task_id", F.lit("").alias("status"), "decision")
+        number, places = self._next()
+        tasks = self._stage(number, self.review_tasks().join(decisions.select("task_id"), "task_id", "left_semi"))
+        touched = self._touched(tasks)
+        keys = tasks.select("natural_key").distinct()
+        versions = self.versions().join(keys, "natural_key", "left_semi")
+        outcome = review.apply_decisions(self.records(touched), versions, tasks, decisions)
+        self._write("versions", number, outcome.versions)
+        self._write("review_tasks", number, outcome.tasks)
+        self._write_records(number, outcome.records)
+        places.update({b: number for b in touched})
+        self._publish(number, "review", review_id, clock, {}, places)
+        return outcome.conflicts
+
     def current(self, **options: Any) -> DataFrame:
         return views.current_view(self.records(), self.versions(), self.observations(), **options)
 
@@ -162,5 +220,5 @@ class DatasetStore:
 
     def latest_run(self, **options: Any) -> DataFrame:
         """Content of the newest committed run; empty when that run observed nothing."""
-        last = self.last_commit()
+        last = self.last_commit("run")
         return self.history(run_id=last["run_id"] if last else "", **options)

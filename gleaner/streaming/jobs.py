@@ -22,13 +22,15 @@ def ingest(
     checkpoint: str,
     run_prefix: str = "batch",
     policy: Mapping[str, Any] | None = None,
+    strict: bool = False,
 ) -> DataStreamWriter:
     """Each micro-batch is a run.  A replayed batch keeps its id, and the store
-    ignores ids it has committed, so restarts add nothing twice."""
+    ignores ids it has committed, so restarts add nothing twice.  A blocked run is
+    listed in ``store.blocked_runs()`` and the stream goes on, unless ``strict``."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         result = store.commit(prepare(batch), f"{run_prefix}-{batch_id}", clock(batch_id), policy)
-        if result.blocked:
+        if strict and result.blocked:
             raise RuntimeError(f"run {result.run_id} is blocked: {result.reason}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -49,6 +49,7 @@ def test_blocked_runs_write_nothing(spark, store):
     none = store.commit(batch(spark, (None, "1")), "r2", "2024-01-01T00:00:00")
     assert (twice.reason, none.reason) == ("DUPLICATE_NATURAL_KEY", "NATURAL_KEY_MISSING")
     assert store.manifest().isEmpty() and store.records().isEmpty() and store.versions().isEmpty()
+    assert {r["run_id"] for r in store.blocked_runs().collect()} == {"r1", "r2"}
 
 
 def test_empty_run_has_no_fallback(spark, store):
@@ -67,6 +68,27 @@ def test_untouched_buckets_keep_their_files(spark, store):
     assert store.records().where("natural_key = 'k0'").first()["current_version"] == 2
 
 
+def test_review_through_the_store(spark, store):
+    store.commit(batch(spark, ("a", "1"), ("b", "1")), "r1", "2024-01-01T00:00:00", {"new": True})
+    store.commit(batch(spark, ("a", "2"), ("b", "1")), "r2", "2024-01-02T00:00:00", {"changed": True, "sample_unchanged": 1})
+    assert {r["task_id"] for r in store.review_tasks().collect()} == {
+        "r1|NEW_RECORD|a", "r1|NEW_RECORD|b", "r2|CHANGED_RECORD|a", "r2|SAMPLED_RECORD|b",
+    }
+    first = decide(spark, ("r2|CHANGED_RECORD|a", "APPROVED", None, None, 1), ("r1|NEW_RECORD|b", "REJECTED", None, None, 2))
+    assert store.review(first, "v1", "2024-01-03T00:00:00").isEmpty()
+    got = {r["natural_key"]: (r["current_version"], r["review_status"], r["status"]) for r in store.records().collect()}
+    assert got == {"a": (2, "APPROVED", "ACTIVE"), "b": (1, "REJECTED", "REJECTED")}
+    states = {(r["natural_key"], r["version_number"]): r["review_status"] for r in store.versions().collect()}
+    assert states == {("a", 1): "PENDING", ("a", 2): "APPROVED", ("b", 1): "REJECTED"}
+    late = store.review(decide(spark, ("r1|NEW_RECORD|b", "APPROVED", None, None, 1)), "v2", "2024-01-04T00:00:00")
+    assert [r["status"] for r in late.collect()] == ["REJECTED"]
+    assert store.review(first, "v1", "2024-01-05T00:00:00").isEmpty() and store.manifest().count() == 4
+    assert [r["natural_key"] for r in store.current().collect()] == ["a"]
+    assert store.dataset_runs().count() == 2 and store.last_commit("run")["run_id"] == "r2"
+    again = store.commit(batch(spark, ("a", "2")), "r3", "2024-01-06T00:00:00")
+    assert again.counters["unchanged"] == 1
+
+
 def state(spark):
     records = spark.createDataFrame(
         [("a", 1, "d1", "h1", "PENDING", "ACTIVE"), ("b", 1, "d1", "h1", "APPROVED", "ACTIVE"), ("c", 1, "d1", "h1", "APPROVED", "ACTIVE")],
