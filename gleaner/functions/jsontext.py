@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.binding import with_once
+from gleaner.functions.binding import let, with_once
 from gleaner.plans.ranking import top_per_key
 
 # Envelope names around a collection, and url-bearing fields.
@@ -60,29 +60,41 @@ def path_values(df: DataFrame, json: str, path: str, target: str = "value") -> D
     return with_once(current, target, F.col(target), drop_null=True)
 
 
-_NODE = "array<struct<path:string,place:array<bigint>,value:variant>>"
+_NODE = "array<struct<path:string,place:array<bigint>,items:array<variant>,fields:map<string,variant>>>"
 _USUAL_DEPTH = 6
 
 
+def _node(path: Column, place: Column, value: Column) -> Column:
+    """One payload value opened as an array or an object; both stay null for scalars."""
+    opened = let(
+        F.struct(value.alias("v"), F.try_variant_get(value, "$", "array<variant>").alias("items")),
+        lambda b: F.struct(
+            b["items"].alias("items"),
+            F.when(b["items"].isNull(), F.try_variant_get(b["v"], "$", "map<string,variant>")).alias("fields"),
+        ),
+    )
+    return let(
+        opened,
+        lambda o: F.struct(path.alias("path"), place.alias("place"), o["items"].alias("items"), o["fields"].alias("fields")),
+    )
+
+
 def _containers(nodes: Column) -> Column:
-    return F.filter(nodes, lambda n: F.schema_of_variant(n["value"]).rlike("^(OBJECT|ARRAY)"))
+    return F.filter(nodes, lambda n: n["items"].isNotNull() | n["fields"].isNotNull())
 
 
 def _below(node: Column, first_only: bool) -> Column:
     """Objects and arrays directly inside one node, with their path and place."""
-    items = F.try_variant_get(node["value"], "$", "array<variant>")
-    picked = F.slice(items, 1, 1) if first_only else items
-    fields = F.map_entries(F.try_variant_get(node["value"], "$", "map<string,variant>"))
+    items = F.slice(node["items"], 1, 1) if first_only else node["items"]
 
     def child(step: Column, position: Column, value: Column) -> Column:
-        return F.struct(
-            F.concat(node["path"], step).alias("path"),
-            F.concat(node["place"], F.array(position.cast("bigint"))).alias("place"),
-            value.alias("value"),
-        )
+        place = F.concat(node["place"], F.array(position.cast("bigint")))
+        return _node(F.concat(node["path"], step), place, value)
 
-    from_array = F.transform(picked, lambda v, i: child(F.lit("[*]"), i, v))
-    from_object = F.transform(fields, lambda e, i: child(F.concat(F.lit("."), e["key"]), i, e["value"]))
+    from_array = F.transform(items, lambda v, i: child(F.lit("[*]"), i, v))
+    from_object = F.transform(
+        F.map_entries(node["fields"]), lambda e, i: child(F.concat(F.lit("."), e["key"]), i, e["value"])
+    )
     return _containers(F.coalesce(from_array, from_object))
 
 
@@ -92,9 +104,7 @@ def nested_arrays(df: DataFrame, json: str, keys: list[str], first_only: bool =
     Levels are array columns of the same row, so nothing is shuffled or parsed
     twice.  Without ``max_depth`` deeper levels are added until none is left.
     """
-    root = F.struct(
-        F.lit("$").alias("path"), F.array().cast("array<bigint>").alias("place"), F.try_parse_json(F.col(json)).alias("value")
-    )
+    root = _node(F.lit("$"), F.array().cast("array<bigint>"), F.try_parse_json(F.col(json)))
     staged = df.select(*keys, _containers(F.array(root)).alias("__level0"))
     depth = 0
     while True:
@@ -107,9 +117,8 @@ def nested_arrays(df: DataFrame, json: str, keys: list[str], first_only: bool =
         elif depth >= _USUAL_DEPTH and staged.where(F.size(f"__level{depth}") > 0).isEmpty():
             break
     every = F.concat(*[F.coalesce(f"__level{i}", F.array().cast(_NODE)) for i in range(depth + 1)])
-    flat = staged.select(*keys, F.explode(every).alias("n"))
-    arrays = with_once(flat, "items", F.try_variant_get("n.value", "$", "array<variant>"), drop_null=True)
-    return arrays.select(*keys, "n.path", "n.place", "items")
+    arrays = F.filter(every, lambda n: n["items"].isNotNull())
+    return staged.select(*keys, F.explode(arrays).alias("n")).select(*keys, "n.path", "n.place", "n.items")
 
 
 def url_of(item: Column) -> Column:
@@ -123,7 +132,7 @@ def merge_url_lists(df: DataFrame, json: str, key: str, max_depth: int | None =
     bearing = arrays.where(F.exists("items", lambda v: url_of(v).isNotNull()))
     rows = bearing.select(key, "place", F.posexplode("items").alias("n", "item"))
     plain = F.try_variant_get(F.col("item"), "$", "string")
-    text_url = F.when(F.schema_of_variant("item") == "STRING", F.when(plain.rlike("^(?:https?://|/)"), plain))
+    text_url = F.when(plain.rlike("^(?:https?://|/)"), plain)
     rows = with_once(rows, "url", F.coalesce(url_of(F.col("item")), text_url), drop_null=True)
     return top_per_key(rows, [key, "url"], [F.col("place"), F.col("n")])
 

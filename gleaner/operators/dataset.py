@@ -153,14 +153,14 @@ class RunOutcome:
     counters: DataFrame
 
 
-def apply_run(
+def stage_run(
     incoming: DataFrame,
     records: DataFrame,
     run_id: str,
     policy: Mapping[str, Any],
     clock: Column,
-) -> RunOutcome:
-    """Compare one batch with the stored records.
+) -> DataFrame:
+    """Every row of a batch with its action, version number and review state.
 
     ``incoming`` needs ``natural_key``, ``data_hash``, ``data`` and the optional side
     columns ``confidence``, ``requires_review``, ``source_published_at``,
@@ -176,7 +176,7 @@ def apply_run(
         .when(updated, F.col("last_version") + 1)
         .otherwise(F.col("current_version"))
     )
-    staged = compared.withColumns(
+    return compared.withColumns(
         {
             "run_id": F.lit(run_id),
             "observed_at": clock,
@@ -185,6 +185,22 @@ def apply_run(
             "confidence": confidence(compared),
         }
     ).withColumn("review_status", F.when(F.col("pending"), "PENDING").otherwise("APPROVED"))
+
+
+def apply_run(
+    incoming: DataFrame,
+    records: DataFrame,
+    run_id: str,
+    policy: Mapping[str, Any],
+    clock: Column,
+) -> RunOutcome:
+    """Compare one batch with the stored records and derive all rows it adds."""
+    return outcome_of(stage_run(incoming, records, run_id, policy, clock), run_id, policy)
+
+
+def outcome_of(staged: DataFrame, run_id: str, policy: Mapping[str, Any]) -> RunOutcome:
+    """Rows a staged run adds; write the staged rows first when several are used."""
+    created, updated = F.col("action") == "created", F.col("action") == "updated"
     replaces = created | (updated & ~F.col("pending"))
     changed = created | updated
     next_records = staged.where(changed).select(

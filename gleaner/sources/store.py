@@ -120,10 +120,10 @@ class DatasetStore:
         # A failed attempt may have left files under this number; they are replaced.
         frame.write.mode("overwrite").parquet(f"{self.path}/{table}/commit={number}")
 
-    def _stage(self, number: int, frame: DataFrame) -> DataFrame:
+    def _stage(self, name: str, number: int, frame: DataFrame) -> DataFrame:
         """Written once, so every later step reads the same rows."""
-        self._write("staging", number, frame)
-        return self.spark.read.parquet(f"{self.path}/staging/commit={number}")
+        self._write(f"staging/{name}", number, frame)
+        return self.spark.read.schema(frame.schema).parquet(f"{self.path}/staging/{name}/commit={number}")
 
     def _touched(self, frame: DataFrame) -> list[int]:
         """Buckets of the keys at hand, at most ``buckets`` numbers."""
@@ -175,16 +175,23 @@ class DatasetStore:
         if self._known(run_id):
             return CommitResult(run_id, False, True, "RUN_ALREADY_COMMITTED", {})
         number, places = self._next()
-        incoming = self._stage(number, batch)
-        if not incoming.where(F.col("natural_key").isNull()).isEmpty():
+        incoming = self._stage("incoming", number, batch)
+        # Keys are counted with map-side aggregation, then checked per bucket: at
+        # most ``buckets`` rows come back.
+        counts = incoming.groupBy("natural_key").agg(F.count(F.lit(1)).alias("n"))
+        checks = counts.groupBy(self.bucket_of(F.col("natural_key")).alias("b")).agg(
+            F.max("n").alias("most"), F.count_if(F.col("natural_key").isNull()).alias("missing")
+        ).collect()
+        if any(c["missing"] for c in checks):
             return self._block(run_id, "NATURAL_KEY_MISSING", clock)
-        repeated = incoming.groupBy("natural_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if not repeated.isEmpty():
+        if any(c["most"] > 1 for c in checks):
             return self._block(run_id, "DUPLICATE_NATURAL_KEY", clock)
-        touched = self._touched(incoming)
+        touched = [c["b"] for c in checks]
         state = self.records(touched)
-        at = F.lit(clock).cast("timestamp_ntz")
-        outcome = dataset.apply_run(incoming, state, run_id, merge_review_policy(policy), at)
+        rules = merge_review_policy(policy)
+        staged = dataset.stage_run(incoming, state, run_id, rules, F.lit(clock).cast("timestamp_ntz"))
+        # One join with the state; all outputs read its written result.
+        outcome = dataset.outcome_of(self._stage("compared", number, staged), run_id, rules)
         self._write("versions", number, outcome.versions)
         self._write("observations", number, outcome.observations)
         self._write("review_tasks", number, outcome.review_tasks)
@@ -200,7 +207,7 @@ class DatasetStore:
         if self._known(review_id):
             return decisions.where(F.lit(False)).select("task_id", F.lit("").alias("status"), "decision")
         number, places = self._next()
-        tasks = self._stage(number, self.review_tasks().join(decisions.select("task_id"), "task_id", "left_semi"))
+        tasks = self._stage("decided", number, self.review_tasks().join(decisions.select("task_id"), "task_id", "left_semi"))
         touched = self._touched(tasks)
         keys = tasks.select("natural_key").distinct()
         versions = self.versions().join(keys, "natural_key", "left_semi")
