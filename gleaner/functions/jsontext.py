@@ -114,8 +114,11 @@ def nested_arrays(df: DataFrame, json: str, keys: list[str], first_only: bool =
         if max_depth is not None:
             if depth >= max_depth:
                 break
-        elif depth >= _USUAL_DEPTH and staged.where(F.size(f"__level{depth}") > 0).isEmpty():
-            break
+        elif depth >= _USUAL_DEPTH:
+            # One parallel aggregate; a limit would probe the partitions one by one.
+            widest = staged.agg(F.max(F.size(f"__level{depth}")).alias("n")).first()["n"]
+            if not widest or widest < 1:
+                break
     every = F.concat(*[F.coalesce(f"__level{i}", F.array().cast(_NODE)) for i in range(depth + 1)])
     arrays = F.filter(every, lambda n: n["items"].isNotNull())
     return staged.select(*keys, F.explode(arrays).alias("n")).select(*keys, "n.path", "n.place", "n.items")
