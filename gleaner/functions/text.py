@@ -10,7 +10,8 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    """Trim both ends; the look-behind keeps long inner runs from being retried at every blank."""
+    return F.regexp_replace(value, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def clean_inline(value: Column) -> Column:
