@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import bpe
-from gleaner.llm.scan import table, tune
+from gleaner.llm import bpe, langid
+from gleaner.llm.scan import remainder, table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,10 @@ def query(function):
 @query
 def op9_byte_bpe(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query
+def op4_language_id(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))

@@ -149,3 +149,16 @@ def remainder(column: str, modulus: int):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def bounded_sample(frame: DataFrame, group: str, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` keys of each group, by least hash: (``key``, ``group``), nulls left out.
+
+    The group limit is applied before the shuffle, so each task sends at most ``rows`` keys
+    of a group, and the result has a size bound: rows x groups.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(7)), key)
+    found = frame.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(key, group).distinct()
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")
