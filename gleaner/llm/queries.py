@@ -8,17 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, langid
+from gleaner.llm import bpe, langid, substring
 from gleaner.llm.scan import remainder, table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Bytes of one Arrow batch, so that long texts don't add up in a task.
+BATCH_BYTES = str(16 << 20)
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def query(function):
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         return function(tune(spark), folder)
 
     QUERIES[function.__name__] = run
@@ -35,3 +38,9 @@ def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op7_substring_dedup(spark, folder):
+    found = substring.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
