@@ -162,3 +162,73 @@ def bounded_sample(frame: DataFrame, group: str, key: str, rows: int) -> DataFra
     order = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(7)), key)
     found = frame.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(key, group).distinct()
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")
+
+
+def hashed_bits(values: np.ndarray, bits: int, probes: int) -> Iterator[np.ndarray]:
+    """Bit numbers of 64-bit values in an array of ``bits`` bits, a power of two."""
+    for k in range(probes):
+        yield (mix(values + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def holds(array: np.ndarray, values: np.ndarray, probes: int) -> np.ndarray:
+    """Whether values may be in a bit array; never false for one that is."""
+    out = np.ones(len(values), bool)
+    for at in hashed_bits(values, len(array) * 8, probes):
+        out &= (array[at >> 3] & (128 >> (at & 7)).astype(np.uint8)) > 0
+    return out
+
+
+BIT_PARTS = 64
+_BITS = pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("again", pa.binary())])
+
+
+def bit_rows(values: np.ndarray, bits: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, bits, again`` of one batch's values, for ``bit_arrays``."""
+    seen, count = np.unique(values.astype(np.uint64, copy=False), return_counts=True)
+    again, width = count > 1, bits // BIT_PARTS
+    for at in hashed_bits(seen, bits, probes):
+        part = at // width
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(BIT_PARTS + 1))
+        used = [(i, order[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        if used:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in used], pa.int32()),
+                    pa.array([(at[o] % width).astype(np.uint32).tobytes() for _, o in used], pa.binary()),
+                    pa.array([again[o].tobytes() for _, o in used], pa.binary()),
+                ],
+                schema=_BITS,
+            )
+
+
+def bit_arrays(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit arrays of a fixed size: values seen, and values seen more than once.
+
+    Each range of bits is filled in one task; the driver gets ``2 * bits`` bits whatever
+    the number of values, so the result may be broadcast.  It only ever says "not there" for
+    sure: a fuller array saves less work and changes no result.
+    """
+    width = bits // BIT_PARTS
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, data, again in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                once, twice = arrays.setdefault(part, (np.zeros(width, bool), np.zeros(width, bool)))
+                at, more = np.frombuffer(data, np.uint32), np.frombuffer(again, bool)
+                first = np.zeros(len(at), bool)
+                first[np.unique(at, return_index=True)[1]] = True
+                twice[at[once[at] | more | ~first]] = True
+                once[at] = True
+        for part, (once, twice) in arrays.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), *[pa.array([np.packbits(x).tobytes()], pa.binary()) for x in (once, twice)]],
+                schema=_BITS,
+            )
+
+    out = np.zeros((2, bits // 8), np.uint8)
+    for row in rows.repartition(BIT_PARTS, "part").mapInArrow(fold, "part int, bits binary, again binary").collect():
+        place = slice(row["part"] * width // 8, (row["part"] + 1) * width // 8)
+        out[0, place], out[1, place] = np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["again"], np.uint8)
+    return out[0], out[1]

@@ -31,9 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.scan import Runs, complete, mix, passes, runs, signed, windows
-
-SPLITS = 64
+from gleaner.llm.scan import Runs, bit_arrays, bit_rows, complete, holds, mix, passes, runs, signed, windows
 
 
 @dataclass(frozen=True)
@@ -55,75 +53,25 @@ def _blocks(words: Runs, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashed, places, (places - words.first[owner]) % block == 0
 
 
-def _bits(hashed: np.ndarray, settings: Settings) -> Iterator[np.ndarray]:
-    for k in range(settings.probes):
-        yield mix(hashed + np.uint64(k)) & np.uint64(settings.filter_bits - 1)
-
-
 def index_filter(frame: DataFrame, text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Bit arrays of the aligned blocks seen, and seen more than once, of all texts."""
-    per_range = settings.filter_bits // SPLITS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.zeros(0, np.uint64)]
             for _, data, offsets in passes(batch.column(0)):
                 hashed, _, aligned = _blocks(runs(data, offsets), settings.block)
                 found.append(hashed[aligned])
-            seen, count = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            again = count > 1
-            for bits in _bits(seen, settings):
-                bits = bits.astype(np.int64)
-                part = bits // per_range
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(SPLITS + 1))
-                rows = [
-                    (r, (bits[order[a:b]] % per_range).astype(np.uint32).tobytes(), again[order[a:b]].tobytes())
-                    for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-                    if b > a
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(
-                        dict(zip(("part", "bits", "again"), map(list, zip(*rows, strict=True)), strict=True)),
-                        pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("again", pa.binary())]),
-                    )
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for part, bits, again in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                once, twice = arrays.setdefault(part, (np.zeros(per_range, bool), np.zeros(per_range, bool)))
-                at, more = np.frombuffer(bits, np.uint32), np.frombuffer(again, bool)
-                twice[at[once[at] | more]] = True
-                twice[at[np.setdiff1d(np.arange(len(at)), np.unique(at, return_index=True)[1])]] = True
-                once[at] = True
-        for part, (once, twice) in arrays.items():
-            yield pa.RecordBatch.from_pydict(
-                {"part": [part], "once": [np.packbits(once).tobytes()], "twice": [np.packbits(twice).tobytes()]},
-                pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]),
-            )
+            yield from bit_rows(np.concatenate(found), settings.filter_bits, settings.probes)
 
-    rows = (
-        frame.select(text)
-        .mapInArrow(emit, "part int, bits binary, again binary")
-        .repartition(SPLITS, "part")
-        .mapInArrow(fold, "part int, once binary, twice binary")
-        .collect()  # a fixed number of bytes: two arrays of ``filter_bits``
-    )
-    width = per_range // 8
-    once, twice = (np.zeros(settings.filter_bits // 8, np.uint8) for _ in range(2))
-    for row in rows:
-        place = slice(row["part"] * width, (row["part"] + 1) * width)
-        once[place], twice[place] = np.frombuffer(row["once"], np.uint8), np.frombuffer(row["twice"], np.uint8)
-    return once, twice
+    return bit_arrays(frame.select(text).mapInArrow(emit, "part int, bits binary, again binary"), settings.filter_bits)
 
 
 def _hits(hashed: np.ndarray, aligned: np.ndarray, arrays, settings: Settings) -> np.ndarray:
     """Windows that may equal an aligned block elsewhere; an aligned one always equals itself."""
-    out = np.ones(len(hashed), bool)
-    for bits in _bits(hashed, settings):
-        byte, mask = (bits >> np.uint64(3)).astype(np.int64), (np.uint64(128) >> (bits & np.uint64(7))).astype(np.uint8)
-        out &= np.where(aligned, arrays[1][byte], arrays[0][byte]) & mask > 0
+    out = np.zeros(len(hashed), bool)
+    for array, which in zip(arrays, (~aligned, aligned), strict=True):
+        out[which] = holds(array, hashed[which], settings.probes)
     return out
 
 
