@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, langid, substring
+from gleaner.llm import bpe, decontaminate, jaccard, langid, substring
 from gleaner.llm.scan import remainder, table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op8_decontamination(spark, folder):
     """Documents that hold a test item within its error budget, one row an item."""
     found = decontaminate.match(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
+
+
+@query
+def op1_ngram_jaccard(spark, folder):
+    return jaccard.join(table(spark, folder, "documents"))

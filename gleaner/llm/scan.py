@@ -7,6 +7,7 @@ occur inside a UTF-8 character, so bytes give the same words as code points.  Ha
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import pin, tune  # noqa: F401  (re-exported for the operators)
+from gleaner.session import ensure_checkpoint_dir, tune  # noqa: F401  (re-exported for the operators)
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # Bytes of text that one numpy pass works on; a longer document is a pass of its own.
@@ -147,6 +148,16 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it: later steps start from there.
+
+    Executors may be lost afterwards.  The files are compressed, which checkpoints aren't.
+    """
+    place = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(place)
+    return frame.sparkSession.read.schema(frame.schema).parquet(place)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
