@@ -9,20 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, decontaminate, jaccard, langid, substring
-from gleaner.llm.scan import remainder, table, tune
+from gleaner.llm.scan import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Bytes of one Arrow batch, so that long texts don't add up in a task.
-BATCH_BYTES = str(16 << 20)
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def query(function):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-        return function(tune(spark), folder)
+        return function(prepare(spark), folder)
 
     QUERIES[function.__name__] = run
     return run

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import ensure_checkpoint_dir, tune  # noqa: F401  (re-exported for the operators)
+from gleaner.session import ensure_checkpoint_dir, tune
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # Bytes of text that one numpy pass works on; a longer document is a pass of its own.
@@ -148,6 +148,16 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+# Bytes of one Arrow batch, so that long texts don't add up in a task.
+BATCH_BYTES = 16 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return tune(spark)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it: later steps start from there.
 
