@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, jaccard, langid, substring
+from gleaner.llm import bpe, decontaminate, jaccard, langid, quality, substring, toxicity
 from gleaner.llm.scan import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,19 @@ def op8_decontamination(spark, folder):
 @query
 def op1_ngram_jaccard(spark, folder):
     return jaccard.join(table(spark, folder, "documents"))
+
+
+@query
+def op6_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, folder, "labels"))
+    found = toxicity.predict(docs, model, keep=("doc_id", "held_out"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op10_quality(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    model = quality.fit(docs.where(~F.col("held_out")), table(spark, folder, "labels"))
+    found = quality.predict(docs, model, keep=("doc_id", "held_out"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
