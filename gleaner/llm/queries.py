@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, jaccard, langid, quality, substring, toxicity
+from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, quality, substring, toxicity
 from gleaner.llm.scan import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,10 @@ def op10_quality(spark, folder):
     model = quality.fit(docs.where(~F.col("held_out")), table(spark, folder, "labels"))
     found = quality.predict(docs, model, keep=("doc_id", "held_out"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op3_hidden_markov(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = hmm.score(docs.withColumn("_learn", remainder("doc_id", 10) != 0), "_learn")
+    return found.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), *found.columns[1:])
