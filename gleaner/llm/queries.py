@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, quality, substring, toxicity
+from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, outliers, quality, substring, toxicity
 from gleaner.llm.scan import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op3_hidden_markov(spark, folder):
     docs = table(spark, folder, "documents")
     found = hmm.score(docs.withColumn("_learn", remainder("doc_id", 10) != 0), "_learn")
     return found.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), *found.columns[1:])
+
+
+@query
+def op2_quality_rules(spark, folder):
+    return outliers.judge(table(spark, folder, "documents"))
