@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, outliers, quality, substring, toxicity
+from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, outliers, quality, substring, toxicity, training_order
 from gleaner.llm.scan import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,12 @@ def op3_hidden_markov(spark, folder):
 @query
 def op2_quality_rules(spark, folder):
     return outliers.judge(table(spark, folder, "documents"))
+
+
+@query
+def op5_training_order(spark, folder):
+    docs = table(spark, folder, "documents")
+    tokens = training_order.token_table(
+        docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "doc_id", "text", training_order.Settings()
+    )
+    return training_order.shards(tokens)
