@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Unicode white space, including the separators U+001C..U+001F.
@@ -40,8 +43,25 @@ def non_blank(value: Column) -> Column:
     return F.when(~is_blank(value), value)
 
 
+def java_pattern(pattern: str, ignore_case: bool = False) -> str | None:
+    """The pattern as the JVM takes it, or null where it is none: such a rule has no hit.
+
+    Named groups may be written ``(?P<name>…)`` and referred to by ``(?P=name)``.
+    """
+    java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    java = f"(?iu){java}" if ignore_case else java
+    try:
+        # Spark's own compiler decides, on a constant and once for all rows.
+        SparkSession.active().sql("SELECT regexp_like('', :pattern)", args={"pattern": java}).collect()
+    except PySparkException:
+        return None
+    return java
+
+
 def regex_pick(value: Column, pattern: str, group: int = 0, ignore_case: bool = False, default: str | None = None) -> Column:
-    java = f"(?iu){pattern}" if ignore_case else pattern
+    java = java_pattern(pattern, ignore_case)
+    if java is None:
+        return F.when(value.isNotNull(), F.lit(default))
     picked = F.when(value.rlike(java), F.regexp_extract(value, java, group)).otherwise(F.lit(default))
     return F.when(value.isNotNull(), picked)
 

@@ -32,7 +32,12 @@ def dedupe_decisions(df: DataFrame, keys: Sequence[str] = (), seq: str = "_seq")
 
 
 def keep_first_text(df: DataFrame, keys: Sequence[str], seq: str = "_seq") -> DataFrame:
-    """Extracted-record form: the key is the pipe-joined text of the key fields."""
+    """Extracted-record form: the key is the pipe-joined text of the key fields.
+
+    Without keys the whole record is the key.
+    """
+    if not keys:
+        return keep_first(df, (), seq)
     text = F.concat_ws("|", *[F.coalesce(path_column(df, k).cast("string"), F.lit("")) for k in keys])
     return top_per_key(df, [text], [F.col(seq)])
 

@@ -10,13 +10,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import count, takewhile
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from gleaner.session import spread
-
 # The parser travels with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -150,52 +149,47 @@ def _node_rows(html: str | None, tags: frozenset[str] | None, text_for: str | tu
         )
 
 
-def _span(node: _Node, name: str, most: int) -> int:
-    """Span of a cell; unreadable values count as one, absurd ones stop at the HTML limit."""
-    try:
-        return min(max(int(node.attrs.get(name) or 1), 1), most)
-    except ValueError:
-        return 1
+# Fixed value: the HTML standard's own limit of a column span.
+MOST_COLUMNS = 1000
+
+
+def _span(node: _Node, name: str) -> int:
+    """Span of a cell; unreadable values count as one."""
+    value = (node.attrs.get(name) or "1").strip()
+    return max(int(value), 1) if value.isdecimal() else 1
+
+
+def _tables(tree: _Builder) -> Iterator[list[tuple[_Node, list[_Node]]]]:
+    """Rows of each table, in order, with their own cells."""
+    inside: dict[int, list[tuple[_Node, list[_Node]]]] = {n.index: [] for n in tree.nodes if n.tag == "table"}
+    cells: dict[int, list[_Node]] = {}
+    for node in tree.nodes:
+        if node.tag == "tr" and (around := [i for i in node.path[:-1] if i in inside]):
+            inside[around[-1]].append((node, cells.setdefault(node.index, [])))
+        elif node.tag in ("td", "th") and node.parent is not None and node.parent.index in cells:
+            cells[node.parent.index].append(node)
+    yield from inside.values()
 
 
 def _grid_rows(html: str | None) -> Iterator[tuple]:
-    """Rows of every table with column and row spans laid out on the grid."""
+    """Rows of every table: each cell claims the rectangle of places that its spans name.
+
+    A cell starts at the first place of its row that no cell above has claimed; a row ends
+    at its first place that none has.  Row spans end with the table.
+    """
     tree = parse(html)
-    rows_of: dict[int, list[_Node]] = {}
-    cells_of: dict[int, list[_Node]] = {}
-    tables: list[int] = []
-    for node in tree.nodes:
-        if node.tag == "table":
-            tables.append(node.index)
-        elif node.tag == "tr":
-            owner = next((i for i in reversed(node.path[:-1]) if tree.nodes[i].tag == "table"), None)
-            if owner is not None:
-                rows_of.setdefault(owner, []).append(node)
-        elif node.tag in ("td", "th") and node.parent is not None:
-            cells_of.setdefault(node.parent.index, []).append(node)
-    for table_index, table in enumerate(tables):
-        open_spans: dict[int, list] = {}
-        for row_index, row in enumerate(rows_of.get(table, [])):
-            grid: list[str] = []
-            own: list[str] = []
-
-            def fill_from_above() -> None:
-                while open_spans.get(len(grid), (None, 0))[1] > 0:
-                    span = open_spans[len(grid)]
-                    span[1] -= 1
-                    grid.append(span[0])
-
-            for cell in cells_of.get(row.index, []):
-                fill_from_above()
-                text = tree.text_of(cell)
-                own.append(text)
-                below = _span(cell, "rowspan", 65534) - 1
-                for _ in range(_span(cell, "colspan", 1000)):
-                    if below > 0:
-                        open_spans[len(grid)] = [text, below]
-                    grid.append(text)
-            fill_from_above()
-            yield (table_index, row_index, any(tree.nodes[i].tag == "thead" for i in row.path), grid, own)
+    for table_index, rows in enumerate(_tables(tree)):
+        places: dict[tuple[int, int], str] = {}
+        for r, (row, cells) in enumerate(rows):
+            texts = [tree.text_of(cell) for cell in cells]
+            at = 0
+            for cell, text in zip(cells, texts, strict=True):
+                at = next(c for c in count(at) if (r, c) not in places)
+                width, height = min(_span(cell, "colspan"), MOST_COLUMNS), min(_span(cell, "rowspan"), len(rows) - r)
+                places.update(((r + y, at + x), text) for y in range(height) for x in range(width))
+                at += width
+            line = [places[r, c] for c in takewhile(lambda c, r=r: (r, c) in places, count())]
+            yield (table_index, r, any(tree.nodes[i].tag == "thead" for i in row.path), line, texts)
 
 
 _NODE_SCHEMA = pa.schema(
@@ -226,7 +220,7 @@ _ROWS_PER_BATCH = 4096
 
 def _flat_map(pages: DataFrame, key: str, html: str, columns: str, schema: pa.Schema, rows_of) -> DataFrame:
     """Apply ``rows_of(html)`` to each page and stream the rows out in small batches."""
-    source = spread(pages.select(key, html), key)
+    source = pages.select(key, html)
     key_type = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

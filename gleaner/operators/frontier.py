@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
@@ -102,23 +102,28 @@ def fanout_split(joined: DataFrame, succeeded: Column, policy: str = "CONTINUE",
 def crawl_closure(
     seeds: DataFrame,
     links: DataFrame,
-    max_depth: int = 20,
+    max_depth: int | None = None,
     max_items: int | None = None,
     node: str = "url",
     source: str = "src",
     target: str = "dst",
 ) -> DataFrame:
-    """Breadth-first closure ``(url, depth)``.
+    """Breadth-first closure ``(url, depth, truncated)``.
 
+    Without ``max_depth`` it ends when a level finds nothing new.  With it, or with
+    ``max_items``, ``truncated`` marks addresses whose links may lead to addresses left out.
     Each level keeps only unseen addresses and is pinned, so the plan stays one
     level long and a lost executor re-reads a checkpoint.  Links are reduced to
     distinct edges and pinned once, not once per level; the frontier side of the join is unique, so a hub page
     skews only the streamed side, which adaptive execution splits.
     """
-    edges = pin(links.select(F.col(source), F.col(target)).distinct())
+    # Distributed by source once, as every level joins on it.
+    edges = pin(links.select(F.col(source), F.col(target)).distinct().repartition(source))
     level = pin(seeds.select(F.col(node)).distinct().withColumn("depth", F.lit(1)))
     visited = level
-    for depth in range(2, max_depth + 1):
+    depth, cut = 1, False
+    while True:
+        depth += 1
         found = (
             edges.join(level.select(F.col(node).alias(source)), source)
             .select(F.col(target).alias(node))
@@ -126,17 +131,26 @@ def crawl_closure(
             .join(visited.select(node), node, "left_anti")
             .withColumn("depth", F.lit(depth))
         )
+        if max_depth is not None and depth > max_depth:
+            cut = not found.isEmpty()
+            break
+        level = pin(found)
+        new = level.count()
+        if not new:
+            break
         if max_items is not None:
             # An asked-for crawl budget: earlier levels first, then address order.
-            room = max_items - visited.count()
-            if room <= 0:
+            room = max(max_items - visited.count(), 0)
+            if new > room:
+                visited = visited.unionByName(level.orderBy(node).limit(room)) if room else visited
+                cut = True
                 break
-            found = found.orderBy(node).limit(room)
-        level = pin(found)
-        if level.isEmpty():
-            break
         visited = visited.unionByName(level)
-    return visited
+    if not cut:
+        return visited.withColumn("truncated", F.lit(False))
+    left_out = edges.join(visited.select(F.col(node).alias(target)), target, "left_anti").select(F.col(source).alias(node)).distinct()
+    flags = left_out.withColumn("truncated", F.lit(True))
+    return visited.join(flags, node, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def resume_sets(attempted: DataFrame, errors: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
@@ -160,8 +174,11 @@ def repeated_pages(pages: DataFrame, signature: Column, seq: str) -> DataFrame:
     size is only ever a minimum.
     """
     marked = pages.withColumn("__signature", signature)
-    firsts = marked.groupBy("__signature").agg(F.min(seq).alias("first_seen"))
-    joined = marked.join(firsts, "__signature")
+    # Pages without a signature repeat nothing; they stay out of the join, where one key
+    # would take them all.
+    signed, unsigned = marked.where(F.col("__signature").isNotNull()), marked.where(F.col("__signature").isNull())
+    firsts = signed.groupBy("__signature").agg(F.min(seq).alias("first_seen"))
+    joined = signed.join(firsts, "__signature").unionByName(unsigned.withColumn("first_seen", F.col(seq)))
     return joined.withColumn("repeated", F.col(seq) > F.col("first_seen")).drop("__signature")
 
 
@@ -287,19 +304,29 @@ def attach_related(
     documents: DataFrame,
     attachments: str = "attachments",
     url: str = "url",
-    max_files: int = 25,
+    max_files: int | None = None,
     extensions: Sequence[str] = (".xlsx", ".xls", ".csv", ".pdf", ".docx"),
     key: str = "page_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed documents of listed attachments: ``(attached, misses)``.
 
-    ``documents(url, ...)`` is keyed by canonical address; only the first
-    ``max_files`` attachments of a record with a listed extension count.
+    ``documents(url, ...)`` is keyed by canonical address.  ``max_files`` allows that many
+    attachments of a listed extension per record; those beyond it are among the misses, with
+    ``left_out`` set.
     """
-    listed = records.select(key, F.posexplode(F.slice(attachments, 1, max_files)).alias("position", "__raw"))
+    listed = records.select(key, F.posexplode(attachments).alias("position", "__raw"))
     listed = with_once(listed, url, urls.canonical_url(F.col("__raw"))).select(key, "position", url)
     wanted = listed.where(urls.file_suffix(F.col(url)).isin(*[e.lower() for e in extensions]))
-    return wanted.join(documents, url), wanted.join(documents.select(url), url, "left_anti")
+    if max_files is None:
+        chosen, beyond = wanted, None
+    else:
+        # A record's attachments are one input row's list, so this window is bounded by it.
+        ranked = wanted.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy("position")))
+        chosen, beyond = ranked.where(F.col("__rank") <= max_files).drop("__rank"), ranked.where(F.col("__rank") > max_files).drop("__rank")
+    misses = chosen.join(documents.select(url), url, "left_anti").withColumn("left_out", F.lit(False))
+    if beyond is not None:
+        misses = misses.unionByName(beyond.select(*chosen.columns, F.lit(True).alias("left_out")))
+    return chosen.join(documents, url), misses
 
 
 def attach_payload(
@@ -316,7 +343,11 @@ def attach_payload(
         hit = hit | F.coalesce(F.col(title), F.lit("")).rlike(f"(?iu){pattern}")
     keyed = records.withColumn("__related", F.when(hit, rendered_url))
     side = payloads.select(F.col("url").alias("__related"), F.col("payload").alias(target))
-    return keyed.join(side, "__related", "left").withColumn(
+    # Records without a related address stay out of the join, where one null key would take them all.
+    related = keyed.where(F.col("__related").isNotNull()).join(side, "__related", "left")
+    alone = keyed.where(F.col("__related").isNull())
+    nothing = F.lit(None).cast(side.schema[target].dataType).alias(target)
+    return related.unionByName(alone.select("*", nothing)).withColumn(
         "related_error", F.when(F.col("__related").isNotNull() & F.col(target).isNull(), F.col("__related"))
     ).drop("__related")
 

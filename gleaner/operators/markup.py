@@ -18,6 +18,8 @@ from gleaner.plans.ranking import running_total, top_per_key
 
 DATE_LIKE = r"\b\d{2}[./-]\d{2}[./-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
 RATE_LIKE = r"(?i)\d+[.,]?\d*\s*%|\b\d+[.,]\d{2,}\b|\b(?:BYN|RUB|USD|EUR|PLN|BYR)\b"
+# Fixed value: a class name that makes part of a signature.
+CLASS_TOKEN = r"^[A-Za-z_][\w-]*$"
 CHROME_TAGS = ("header", "footer", "nav")
 
 
@@ -57,10 +59,15 @@ def page_summary(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     )
 
 
-def select_elements(nodes: DataFrame, where: Column, value: Column, single: bool = False, key: str = "page_id") -> DataFrame:
-    """Values of matching nodes in page order, with short evidence; ``single`` keeps the first."""
+def select_elements(
+    nodes: DataFrame, where: Column, value: Column, single: bool = False, key: str = "page_id", shown_chars: int | None = None
+) -> DataFrame:
+    """Values of matching nodes in page order, with the value as evidence; ``single`` keeps the first.
+
+    ``shown_chars`` shortens the evidence, never the value.
+    """
     found = nodes.where(where).select(key, "node_id", value.alias("value"))
-    shown = F.substring(F.col("value"), 1, 500).alias("evidence")
+    shown = (F.col("value") if shown_chars is None else F.substring(F.col("value"), 1, shown_chars)).alias("evidence")
     if single:
         counted = found.groupBy(key).agg(F.min_by("value", "node_id").alias("value"), F.count(F.lit(1)).alias("count"))
         return counted.select(key, "value", "count", shown)
@@ -245,34 +252,43 @@ def table_structures(grid: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def card_clusters(nodes: DataFrame, key: str = "page_id", limit: int = 8) -> DataFrame:
-    """Repeating containers by ``tag.classes`` signature, scored and ranked per page."""
-    valid = F.array_sort(F.array_distinct(F.filter("classes", lambda c: c.rlike(r"^[A-Za-z_][\w-]*$"))))
-    signature = F.when(F.size(valid) > 0, F.concat(F.col("tag"), F.lit("."), F.array_join(valid, ".")))
+def class_signature() -> Column:
+    """``tag.class.class`` of a node's well-formed classes in order; null without any."""
+    valid = F.array_sort(F.array_distinct(F.filter("classes", lambda c: c.rlike(CLASS_TOKEN))))
+    return F.when(F.size(valid) > 0, F.concat(F.col("tag"), F.lit("."), F.array_join(valid, ".")))
+
+
+def card_clusters(
+    nodes: DataFrame, key: str = "page_id", limit: int | None = None, least: int = 3, most: int | None = None
+) -> DataFrame:
+    """Repeating containers by ``tag.classes`` signature, scored over all their items and ranked per page.
+
+    A container repeats from ``least`` items on.  ``most`` and ``limit``, off by default, leave
+    out larger clusters and lower ranks; ``card_clusters`` without them lists what they exclude.
+    """
+    signature = class_signature()
     link = (F.col("tag") == "a") & F.try_element_at("attrs", F.lit("href")).isNotNull()
     marked = nodes.withColumns({"signature": signature, "__link": link}).where(F.col("signature").isNotNull() | F.col("__link"))
     ahead = Window.partitionBy(key).orderBy("node_id").rowsBetween(1, Window.unboundedFollowing)
     next_link = F.min(F.when(F.col("__link"), F.col("node_id"))).over(ahead)
     marked = marked.withColumn("has_link", F.coalesce(next_link <= F.col("end_id"), F.lit(False)))
-    group = Window.partitionBy(key, "signature")
-    cards = marked.where(F.col("signature").isNotNull()).withColumns(
-        {"rank": F.row_number().over(group.orderBy("node_id")), "count": F.count(F.lit(1)).over(group)}
-    )
-    probe = F.col("rank") <= 20
     signal = F.col("text").rlike(DATE_LIKE) | F.col("text").rlike(RATE_LIKE)
     scored = (
-        cards.where(F.col("count").between(3, 500) & probe)
+        marked.where(F.col("signature").isNotNull())
         .groupBy(key, "signature")
         .agg(
-            F.max("count").alias("count"),
+            F.count(F.lit(1)).alias("count"),
             F.avg(F.char_length("text")).alias("average"),
             F.avg(F.col("has_link").cast("int")).alias("link"),
             F.avg(signal.cast("int")).alias("signal"),
-            F.avg(F.when(F.col("rank") <= 5, F.col("end_id") - F.col("node_id"))).alias("descendants"),
+            F.avg(F.col("end_id") - F.col("node_id")).alias("descendants"),
             F.min("node_id").alias("first_node"),
         )
+        .where(F.col("count") >= least)
         .where("average >= 25")
     )
+    if most is not None:
+        scored = scored.where(F.col("count") <= most)
     result = scored.select(
         key,
         F.col("signature").alias("selector"),
@@ -286,7 +302,8 @@ def card_clusters(nodes: DataFrame, key: str = "page_id", limit: int = 8) -> Dat
     )
     order = [F.col(c).desc() for c in ("signal_fraction", "link_fraction", "__text", "count")] + [F.col("first_node")]
     ranked = result.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit).drop("__text", "first_node")
+    kept = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return kept.drop("__text", "first_node")
 
 
 def cluster_passes() -> Column:
@@ -295,13 +312,14 @@ def cluster_passes() -> Column:
     return ((text >= 40) & (link >= 0.2)) | ((text >= 60) & (signal >= 0.3))
 
 
-def cluster_report(nodes: DataFrame, key: str = "page_id", shown: int = 3) -> DataFrame:
-    """Pages whose clusters all fail the bar, with their best candidates to pin by hand."""
+def cluster_report(nodes: DataFrame, key: str = "page_id", shown: int | None = None) -> DataFrame:
+    """Pages whose clusters all fail the bar, with their candidates, best first, to pin by hand."""
+    named = F.lit(True) if shown is None else F.col("rank") <= shown
     found = card_clusters(nodes, key).withColumn("passes", cluster_passes())
     pages = found.groupBy(key).agg(
         F.bool_or("passes").alias("selected"),
-        # At most ``shown`` names per page.
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "selector")))).alias("top"),
+        # Names of one page's clusters.
+        F.array_sort(F.collect_list(F.when(named, F.struct("rank", "selector")))).alias("top"),
     )
     names = F.array_join(F.transform("top", lambda t: t["selector"]), ", ")
     return pages.where(~F.col("selected")).select(key, F.lit("CARD_CLUSTER_NOT_FOUND").alias("code"), names.alias("candidates"))
@@ -310,8 +328,7 @@ def cluster_report(nodes: DataFrame, key: str = "page_id", shown: int = 3) -> Da
 def auto_cards(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Cards of the best passing cluster of every page with default url, title and text."""
     best = top_per_key(card_clusters(nodes, key).where(cluster_passes()), [key], [F.col("rank")])
-    valid = F.array_sort(F.array_distinct(F.filter("classes", lambda c: c.rlike(r"^[A-Za-z_][\w-]*$"))))
-    signature = F.concat(F.col("tag"), F.lit("."), F.array_join(valid, "."))
+    signature = class_signature()
     chosen = nodes.join(best.select(key, F.col("selector").alias("__selector")), key)
     link = matches("a", attributes={"href": None})
     return repeating_list(

@@ -148,10 +148,12 @@ def cron_values(field: Column, low: int, high: int) -> Column:
 
     def expand(token: Column) -> Column:
         body = F.trim(F.substring_index(token, "/", 1))
-        step = F.when(token.contains("/"), F.substring_index(token, "/", -1).cast("int")).otherwise(F.lit(1))
+        # A step that is no positive number allows nothing.
+        step = F.when(token.contains("/"), F.substring_index(token, "/", -1).try_cast("int")).otherwise(F.lit(1))
+        step = F.when(step > 0, step)
         first = F.when(body == "*", F.lit(low)).otherwise(F.substring_index(body, "-", 1).try_cast("int"))
         last = F.when(body == "*", F.lit(high)).otherwise(F.substring_index(body, "-", -1).try_cast("int"))
-        return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<int>"))
+        return F.when((first <= last) & step.isNotNull(), F.sequence(first, last, step)).otherwise(F.array().cast("array<int>"))
 
     values = F.flatten(F.transform(F.split(field, ","), expand))
     return F.array_distinct(F.filter(values, lambda v: v.between(low, high)))
@@ -169,7 +171,9 @@ def cron_occurrences(schedules: DataFrame, start: str, end: str) -> DataFrame:
         {name: cron_values(F.get(parts, F.lit(i)), low, high) for name, (i, low, high) in fields.items()}
     )
     first, last = (F.lit(v).cast("timestamp_ntz") for v in (start, end))
-    slots = F.sequence(first, last - F.expr("interval 15 minutes"), F.expr("interval 15 minutes"))
+    # Whole quarter hours around the window; minutes outside it are dropped at the end.
+    floor = F.date_trunc("HOUR", first) + F.make_dt_interval(mins=F.minute(first) - F.minute(first) % 15)
+    slots = F.when(floor < last, F.sequence(floor.cast("timestamp_ntz"), last, F.expr("interval 15 minutes")))
     quarter = parsed.withColumn("slot", F.explode(slots))
     quarter = quarter.withColumn("local", F.convert_timezone(F.lit("UTC"), F.col("timezone"), F.col("slot")))
     due = quarter.where(
@@ -181,10 +185,11 @@ def cron_occurrences(schedules: DataFrame, start: str, end: str) -> DataFrame:
     begin = F.minute("local")
     minutes = F.filter(F.col("minutes"), lambda m: (m >= begin) & (m < begin + 15))
     exact = due.withColumn("minute", F.explode(minutes))
-    return exact.select(
+    planned = exact.select(
         "schedule_id",
         (F.col("slot") + F.make_dt_interval(mins=F.col("minute") - F.minute("local"))).alias("planned_at"),
     )
+    return planned.where((F.col("planned_at") >= first) & (F.col("planned_at") < last))
 
 
 def batch_targets(workflows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -88,19 +88,26 @@ def _struct(function: Callable[[Column], Column]):
     return run
 
 
+def _present(df: DataFrame, field: str) -> bool:
+    """Whether rows have the field; an absent one leaves the row as it is."""
+    return field.split(".")[0] in df.columns
+
+
 def _map(df: DataFrame, op: Operation, _: RunContext | None) -> DataFrame:
     mapping = op.get("mapping") or {}
-    if not mapping:
+    if not mapping or not _present(df, op["field"]):
         return df
-    value = F.col(op["field"]).cast("string")
+    value = path_column(df, op["field"]).cast("string")
     pairs = F.create_map(*[F.lit(str(x)) for x in chain.from_iterable(mapping.items())])
     return _set(df, op["field"], F.coalesce(F.try_element_at(pairs, value), value))
 
 
 def _split(df: DataFrame, op: Operation, _: RunContext | None) -> DataFrame:
+    if not _present(df, op["field"]):
+        return df
     separator = str(op.get("separator", ","))
     quoted = "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return _set(df, op.get("to") or op["field"], F.split(F.col(op["field"]).cast("string"), quoted))
+    return _set(df, op.get("to") or op["field"], F.split(path_column(df, op["field"]).cast("string"), quoted))
 
 
 def _concat(df: DataFrame, op: Operation, _: RunContext | None) -> DataFrame:

@@ -173,9 +173,15 @@ def table_candidates(grid: DataFrame, nodes: DataFrame, key: str = "page_id") ->
     )
 
 
-def repeating_candidates(nodes: DataFrame, key: str = "page_id", limit: int = 100) -> DataFrame:
-    """Class selectors that repeat 2..500 times, with how often link, title, image and
-    date fields are filled in the first ten, best first."""
+def repeating_candidates(
+    nodes: DataFrame, key: str = "page_id", limit: int | None = None, least: int = 2, most: int | None = None
+) -> DataFrame:
+    """Class selectors that repeat, with how often link, title, image and date fields are
+    filled over all their containers, best first.
+
+    ``most`` and ``limit``, off by default, leave out larger groups and the less frequent
+    selectors.
+    """
     single = F.transform(
         F.filter("classes", lambda c: F.char_length(c) >= 3), lambda c: F.concat(F.col("tag"), F.lit("."), c)
     )
@@ -205,7 +211,7 @@ def repeating_candidates(nodes: DataFrame, key: str = "page_id", limit: int = 10
     first_has = {n: F.max(F.when(F.col("rank") == 1, F.col(f"has_{n}"))).alias(f"f_{n}") for n in roles}
     shares = {n: F.avg(F.col(f"has_{n}").cast("int")).alias(f"s_{n}") for n in roles}
     scored = (
-        ranked.where(F.col("count").between(2, 500) & (F.col("rank") <= 10))
+        ranked.where((F.col("count") >= least) & (F.lit(True) if most is None else F.col("count") <= most))
         .groupBy(key, "selector")
         .agg(
             F.max("count").alias("count"),
@@ -242,5 +248,5 @@ def repeating_candidates(nodes: DataFrame, key: str = "page_id", limit: int = 10
         F.col("direct_link"),
         F.col("selector"),
     ]
-    kept = top_per_key(out, [key], [F.col("count").desc(), F.col("selector")], limit)
+    kept = out if limit is None else top_per_key(out, [key], [F.col("count").desc(), F.col("selector")], limit)
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.plans.ranking import top_per_key
@@ -23,12 +23,20 @@ def apply_decisions(records: DataFrame, versions: DataFrame, tasks: DataFrame, d
 
     Accepting (APPROVED, CORRECTED) makes the task's content current; rejecting
     hides a record only when its first version was still pending.  Sampled tasks
-    change nothing unless corrected.  Tasks already decided come back as conflicts.
+    change nothing unless corrected.  Only the first decision of a pending task, by
+    ``decided_seq``, counts; further ones, those of decided tasks and of unknown tasks come
+    back as conflicts.
     """
-    joined = tasks.join(decisions, "task_id", "left")
+    first = top_per_key(decisions, ["task_id"], [F.col("decided_seq"), F.col("decision")])
+    chosen = first.select("task_id", F.struct(*[c for c in decisions.columns if c != "task_id"]).alias("__chosen"))
+    ordered = decisions.withColumn("__n", F.row_number().over(Window.partitionBy("task_id").orderBy("decided_seq", "decision")))
+    later = ordered.where("__n > 1").join(tasks.select("task_id", "status"), "task_id", "left").select("task_id", "status", "decision")
+    unknown = first.join(tasks.select("task_id"), "task_id", "left_anti").select("task_id", F.lit(None).cast("string").alias("status"), "decision")
+    joined = tasks.join(chosen, "task_id", "left").select(*tasks.columns, "__chosen.*")
     open_task = F.col("status") == "PENDING"
     decided = joined.where(open_task & F.col("decision").isNotNull())
     conflicts = joined.where(~open_task & F.col("decision").isNotNull()).select("task_id", "status", "decision")
+    conflicts = conflicts.unionByName(later).unionByName(unknown)
     new_tasks = joined.select(
         *[c for c in tasks.columns if c != "status"],
         F.when(open_task & F.col("decision").isNotNull(), F.col("decision")).otherwise(F.col("status")).alias("status"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.records import column_type, path_column, truthy_text
-from gleaner.functions.text import is_blank
+from gleaner.functions.text import is_blank, java_pattern
 
 SELECTION_STATES = ("INCLUDE", "EXCLUDE", "AMBIGUOUS")
 ACCESS_STATES = ("PUBLIC", "PAYWALLED", "ACCESS_LIMITED")
@@ -45,7 +45,8 @@ def rule_hit(df: DataFrame, when: Mapping[str, Any], default_fields: Any) -> tup
 
     def hit(pattern: str) -> Column:
         if as_regex:
-            return text.rlike(f"(?iu){pattern}" if ignore_case else pattern)
+            java = java_pattern(pattern, ignore_case)
+            return F.lit(False) if java is None else text.rlike(java)
         return folded.contains(pattern.lower())
 
     wanted = _as_list(_option(when, "anyPatterns", "any_patterns", default=[]))

@@ -17,10 +17,6 @@ RUNTIME_CONF = {
 }
 
 
-# Fixed value: the default size of one file split.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Pin the settings that results depend on (UTC) and keep AQE on."""
     for key, value in RUNTIME_CONF.items():
@@ -47,18 +43,3 @@ def pin(df):
     """Cut lineage with a reliable checkpoint, so later passes see the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df, *keys: str):
-    """Use all cores when an input is too small to be split for them.
-
-    A single small file is one scan task, which would leave a CPU-bound stage on one
-    core.  Inputs that fill the cluster's cores by themselves are left alone, so
-    large data is never shuffled for this.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, *keys)

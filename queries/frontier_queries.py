@@ -148,12 +148,28 @@ def checkpoint_skip(t: Tables):
     return todo.withColumn("state", F.lit("todo")).unionByName(after.withColumn("state", F.lit("checkpoint")))
 
 
+@query(
+    "link_closure_full",
+    """SELECT page_id AS url, CAST((page_id - 1) % 24 + 1 AS BIGINT) AS depth, FALSE AS truncated FROM pages
+WHERE page_id >= 1 AND page_id - (page_id - 1) % 24 IN (SELECT page_id FROM pages)""",
+)
+def link_closure_full(t: Tables):
+    """Chains of 24 pages, followed to their ends."""
+    links = t.pages.where("page_id % 24 <> 0 AND page_id >= 1").select(F.col("page_id").alias("src"), (F.col("page_id") + 1).alias("dst"))
+    links = links.join(t.pages.select(F.col("page_id").alias("dst")), "dst", "left_semi")
+    seeds = t.pages.where("page_id % 24 = 1").select(F.col("page_id").alias("url"))
+    found = frontier.crawl_closure(seeds, links)
+    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "truncated")
+
+
 @query(
     "repeated_pages",
-    "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_seen, doc_id > min(doc_id) OVER (PARTITION BY sha256(text)) AS repeated FROM documents",
+    """SELECT doc_id, CASE WHEN lang = 'de' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY lang = 'de', sha256(text)) END AS first_seen,
+  lang <> 'de' AND doc_id > min(doc_id) OVER (PARTITION BY lang = 'de', sha256(text)) AS repeated FROM documents""",
 )
 def repeated_pages(t: Tables):
-    docs = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"))
+    # Some pages have no text, and so no signature.
+    docs = t.documents.select("doc_id", F.when(F.col("lang") != "de", F.sha2("text", 256)).alias("sha"))
     return frontier.repeated_pages(docs, F.col("sha"), "doc_id").select("doc_id", "first_seen", "repeated")
 
 

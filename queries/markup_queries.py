@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import jsontext, markup as flat, urls
 from gleaner.operators import dom, markup, profile
-from gleaner.session import spread
 from gleaner.sources import pages as page_sources
 from queries.derived import CANON_STEPS
 from queries.process_queries import DOC_LINES_ORACLE, clean, doc_lines, strip
@@ -30,7 +29,7 @@ UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;'
 
 
 def linked(t: Tables):
-    return spread(t.sql(LINKED), "page_id")
+    return t.sql(LINKED).repartition("page_id")  # parsing is CPU-bound, the table one small file
 
 
 @query(
@@ -257,10 +256,10 @@ def doc_cards(t: Tables):
     DOC_LINES_ORACLE
     + """, c AS (SELECT doc_id, item, length('Part number ' || size || ' supplied by someone' || CASE WHEN code % 2 = 0 THEN ' open' ELSE '' END
    || CASE WHEN line_no % 3 = 0 THEN ' 12.5 %' ELSE '' END) AS n, CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END AS link, CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END AS signal FROM lines),
-g AS (SELECT doc_id, count(*) AS c, avg(n) FILTER (item < 20) AS a, avg(link) FILTER (item < 20) AS l, avg(signal) FILTER (item < 20) AS s,
-  avg(2 + link) FILTER (item < 5) AS d FROM c GROUP BY doc_id)
+g AS (SELECT doc_id, count(*) AS c, avg(n) AS a, avg(link) AS l, avg(signal) AS s,
+  avg(2 + link) AS d FROM c GROUP BY doc_id)
 SELECT doc_id AS page_id, 'div.b.offer' AS selector, c AS count, round_even(a, 1) AS avg_text_length, round_even(l, 3) AS link_fraction, round_even(s, 3) AS signal_fraction,
-  round_even(d, 1) AS descendant_count, (a >= 40 AND l >= 0.2) OR (a >= 60 AND s >= 0.3) AS passes FROM g WHERE c BETWEEN 3 AND 500
+  round_even(d, 1) AS descendant_count, (a >= 40 AND l >= 0.2) OR (a >= 60 AND s >= 0.3) AS passes FROM g WHERE c >= 3
 """,
 )
 def card_clusters(t: Tables):
@@ -276,9 +275,9 @@ def card_clusters(t: Tables):
     DOC_LINES_ORACLE
     + """, c AS (SELECT *, 'Part number ' || size || ' supplied by someone' || CASE WHEN code % 2 = 0 THEN ' open' ELSE '' END
    || CASE WHEN line_no % 3 = 0 THEN ' 12.5 %' ELSE '' END AS text FROM lines),
-g AS (SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) BETWEEN 3 AND 500 AND ((round_even(avg(length(text)) FILTER (item < 20), 1) >= 40
-  AND round_even(avg(CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 20), 3) >= 0.2)
-  OR (avg(length(text)) FILTER (item < 20) >= 60 AND avg(CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END) FILTER (item < 20) >= 0.3)))
+g AS (SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) >= 3 AND ((round_even(avg(length(text)), 1) >= 40
+  AND round_even(avg(CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END), 3) >= 0.2)
+  OR (avg(length(text)) >= 60 AND avg(CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END) >= 0.3)))
 SELECT doc_id AS page_id, text, CASE WHEN code % 2 = 0 THEN '/p/' || size END AS url, CASE WHEN code % 2 = 0 THEN 'open' END AS title FROM c WHERE doc_id IN (SELECT doc_id FROM g)""",
 )
 def auto_cards(t: Tables):
@@ -290,9 +289,9 @@ def auto_cards(t: Tables):
     DOC_LINES_ORACLE
     + """, c AS (SELECT *, 'Part number ' || size || ' supplied by someone' || CASE WHEN code % 2 = 0 THEN ' open' ELSE '' END
    || CASE WHEN line_no % 3 = 0 THEN ' 12.5 %' ELSE '' END AS text FROM lines)
-SELECT doc_id AS page_id, 'CARD_CLUSTER_NOT_FOUND' AS code, 'div.b.offer' AS candidates FROM c GROUP BY doc_id HAVING count(*) BETWEEN 3 AND 500 AND NOT ((round_even(avg(length(text)) FILTER (item < 20), 1) >= 40
-  AND round_even(avg(CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 20), 3) >= 0.2)
-  OR (avg(length(text)) FILTER (item < 20) >= 60 AND avg(CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END) FILTER (item < 20) >= 0.3))""",
+SELECT doc_id AS page_id, 'CARD_CLUSTER_NOT_FOUND' AS code, 'div.b.offer' AS candidates FROM c GROUP BY doc_id HAVING count(*) >= 3 AND NOT ((round_even(avg(length(text)), 1) >= 40
+  AND round_even(avg(CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END), 3) >= 0.2)
+  OR (avg(length(text)) >= 60 AND avg(CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END) >= 0.3))""",
 )
 def cluster_report(t: Tables):
     return markup.cluster_report(dom.dom_nodes(doc_cards(t), text_for="classed"))
@@ -484,14 +483,15 @@ def table_candidates(t: Tables):
 @query(
     "repeating_candidates",
     DOC_LINES_ORACLE
-    + """, g AS (SELECT doc_id, count(*) AS c, max(CASE WHEN item = 0 AND code % 2 = 0 THEN 1 ELSE 0 END) AS f, avg(CASE WHEN code % 2 = 0 THEN 1.0 ELSE 0 END) FILTER (item < 10) AS s,
-  min(2 + CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) FILTER (item < 10) AS d FROM lines GROUP BY doc_id HAVING count(*) BETWEEN 2 AND 500)
+    + """, g AS (SELECT doc_id, count(*) AS c, max(CASE WHEN item = 0 AND code % 2 = 0 THEN 1 ELSE 0 END) AS f, avg(CASE WHEN code % 2 = 0 THEN 1.0 ELSE 0 END) AS s,
+  min(2 + CASE WHEN code % 2 = 0 THEN 1 ELSE 0 END) AS d FROM lines GROUP BY doc_id HAVING count(*) >= 2)
 SELECT doc_id AS page_id, unnest(['div.offer', '.offer.b']) AS selector, c AS count, CASE WHEN f = 1 THEN 2 ELSE 1 END::BIGINT AS field_count,
-  CASE WHEN f = 1 THEN round(s, 6) ELSE 1.0 END::DOUBLE AS field_population, d::BIGINT AS descendant_count FROM g""",
+  CASE WHEN f = 1 THEN round(s, 6) ELSE 1.0 END::DOUBLE AS field_population, d::BIGINT AS descendant_count FROM g
+UNION ALL SELECT doc_id, 'span.w-1/2', c, 0, 0.0, 0 FROM g""",
 )
 def repeating_candidates(t: Tables):
     found = profile.repeating_candidates(dom.dom_nodes(doc_cards(t), text_for=()))
-    return found.where(F.col("selector").contains("offer")).select("page_id", "selector", "count", "field_count", "field_population", "descendant_count")
+    return found.select("page_id", "selector", "count", "field_count", "field_population", "descendant_count")
 
 
 @query(
@@ -515,7 +515,7 @@ def payloads(t: Tables):
     links = F.transform("lines", lambda l: F.to_json(F.struct(F.concat(F.lit("/p/"), l["size"]).alias("href"))))
     more = F.concat(F.lit('{"links":['), F.array_join(links, ","), F.lit(',"http://h.example/'), "doc_id", F.lit('","plain"]}'))
     body = F.concat(F.lit('{"id":'), "doc_id", F.lit(',"items":'), F.to_json(items), F.lit(',"more":'), more, F.lit("}"))
-    return spread(doc_lines(t), "doc_id").select("doc_id", body.alias("payload"))
+    return doc_lines(t).repartition("doc_id").select("doc_id", body.alias("payload"))
 
 
 @query("json_path", DOC_LINES_ORACLE + " SELECT doc_id, amount AS q FROM lines")
