@@ -13,7 +13,9 @@ among any ``H + 1`` segments one is the same in both sets.
 * Allocation: a probe has more units than ``H + 1`` and spends those of the least cost, the
   number of sets behind a hash.  Units behind which no other set stands cost nothing; a set
   with ``H + 1`` of them has no partner and is left out.
-* Verification: candidates meet their texts and are counted exactly.
+* Verification: each set has a sketch, the parities of its tokens by 1024 hash values.  Sets
+  differ in at least as many tokens as their sketches in bits, which rules out most false
+  candidates; the rest meet their texts and are counted exactly.
 
 Equal sets are one node.  Groups of near copies don't become all pairs: each set is first
 verified with the one set that it meets most; what is linked is one component, and only
@@ -57,6 +59,8 @@ class Settings:
     percent: int = 80  # least 100 * intersection / union
     filter_bits: int = 1 << 26  # prefilter of texts to verify; changes no result
 
+    sketch: int = 16  # 64-bit words; changes no result
+
     def budget(self, total):
         """Most different tokens of sets of ``total`` tokens together."""
         return (100 - self.percent) * total // (100 + self.percent)
@@ -111,6 +115,14 @@ class Sets:
         return mix(a + mix(b + self.size.astype(np.uint64)))
 
 
+    def sketches(self, s: Settings) -> np.ndarray:
+        """Parity of the number of tokens by hash value, ``s.sketch`` words a set."""
+        bits = s.sketch * 64
+        at = self.owner * bits + (mix(self.token + np.uint64(99)) % np.uint64(bits)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(self.size) * bits) & 1
+        return np.packbits(odd.astype(bool)).view(np.int64).reshape(len(self.size), s.sketch)
+
+
 def _sums(values: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
     """Sums modulo 2^64 by slot, from two exact halves."""
     low = np.bincount(slots, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
@@ -201,7 +213,7 @@ def _rows(frame: DataFrame, s: Settings) -> DataFrame:
 
 
 def _nodes(frame: DataFrame, s: Settings) -> DataFrame:
-    """Key, size and set name of every row."""
+    """Key, size, set name and sketch of every row."""
     kind = frame.schema["_key"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +225,12 @@ def _nodes(frame: DataFrame, s: Settings) -> DataFrame:
                         batch.column(0).slice(rows.start, rows.stop - rows.start),
                         pa.array(sets.size.astype(np.int64)),
                         pa.array(signed(sets.names())),
+                        pa.array(list(sets.sketches(s)), pa.list_(pa.int64())),
                     ],
-                    ["_key", "size", "node"],
+                    ["_key", "size", "node", "sketch"],
                 )
 
-    return frame.select("_key", "_text").mapInArrow(work, f"_key {kind}, size long, node long")
+    return frame.select("_key", "_text").mapInArrow(work, f"_key {kind}, size long, node long, sketch array<long>")
 
 
 def _texts(frame: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -313,7 +326,22 @@ def _thin(nodes: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
     return thin.join(others, "band").where(fit & (F.col("a") != F.col("b"))).select("a", "b")
 
 
-def _candidates(shared: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
+def _like(a: str, b: str, s: Settings):
+    """Whether sizes and sketches of two sets allow the similarity."""
+    low, high = F.least(f"{a}size", f"{b}size"), F.greatest(f"{a}size", f"{b}size")
+    words = [F.bit_count(F.get(f"{a}sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}sketch", F.lit(i)))) for i in range(s.sketch)]
+    bits = sum(words[1:], words[0])
+    return (high * s.percent <= low * 100) & (bits * (100 + s.percent) <= (low + high) * (100 - s.percent))
+
+
+def _sides(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) with both sets' columns, named ``a_…`` and ``b_…``."""
+    for x in "ab":
+        pairs = pairs.join(info.select(*[F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in info.columns]), x)
+    return pairs
+
+
+def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
     """Pairs of different components that the probes' cheapest ``H + 1`` units bring up."""
     shared = shared.where(F.col("role") != THIN)
     lower = F.col("role").isin(LOWER, LOWER_LESS, LOWER_FIRST)
@@ -328,11 +356,11 @@ def _candidates(shared: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
     )
     alive = stored(bought.where("lacking > 0"))
     flags = alive.groupBy("node").agg(F.max((~F.col("lower")).cast("int")).alias("own"), F.max(F.col("lower").cast("int")).alias("low"))
-    sizes = shared.groupBy("node").agg(F.first("size").alias("size"))
     info = (
-        sizes.join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left")
+        known.join(shared.select("node").distinct(), "node", "left_semi")
+        .join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left")
         .join(flags, "node", "left")
-        .select("node", "size", F.coalesce("label", "node").alias("label"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("low", F.lit(0)).alias("low"))
+        .select("node", "size", "sketch", F.coalesce("label", "node").alias("label"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("low", F.lit(0)).alias("low"))
     )
     info = stored(info)
 
@@ -341,41 +369,38 @@ def _candidates(shared: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
         small.where("previous IS NOT NULL").select(F.col("node").alias("a"), F.col("previous").alias("b"))
     )
     near = near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    probing_sets = alive.select("node").distinct()
+    near = near.join(probing_sets.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(
+        near.join(probing_sets.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    )
 
     big = shared.where("sig IS NOT NULL").select("sig", "cost", "node", "role", lower.alias("lower"), gain.alias("gain"))
-    big = big.join(info.select("node", "label", F.col("size")), "node")
+    big = big.join(info.select("node", "label"), "node")
     mixed = big.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    big = stored(big.join(mixed, "sig", "left_semi"))
+    big = stored(big.join(mixed, "sig", "left_semi").join(info.select("node", "size", "sketch"), "node"))
     order = Window.partitionBy("node", "lower").orderBy("cost", "sig").rowsBetween(Window.unboundedPreceding, -1)
     probe = (
         big.where(F.col("role").isin(*PROBES))
         .join(alive, ["node", "lower"])
         .withColumn("before", F.coalesce(F.sum("gain").over(order), F.lit(0)) + F.col("cheap"))
         .where(short | F.expr("before < lacking"))
-        .select("sig", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("size").alias("np"), F.col("role").alias("rp"))
-    )
-    index = big.where(F.col("role").isin(*INDEXED)).select("sig", "node", "label", "size", "role")
-    less = F.col("rp").isin(OWN_LESS, LOWER_LESS) & (F.col("role") == OWN_LESS)
-    met = probe.join(index, "sig").where(
-        (F.col("lp") != F.col("label")) & (F.col("np") >= F.col("size")) & (F.col("np") * s.percent <= F.col("size") * 100) & ~less
+        .select("sig", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch"), F.col("role").alias("p_role"))
     )
+    index = big.where(F.col("role").isin(*INDEXED)).select("sig", "node", "label", "size", "sketch", "role")
+    less = F.col("p_role").isin(OWN_LESS, LOWER_LESS) & (F.col("role") == OWN_LESS)
+    fit = (F.col("p_label") != F.col("label")) & (F.col("p_size") >= F.col("size")) & ~less & _like("p_", "", s)
+    met = probe.join(index, (probe["sig"] == index["sig"]) & fit)
     met = met.select(F.greatest("p", "node").alias("a"), F.least("p", "node").alias("b")).distinct()
 
-    def side(name: str):
-        return info.select(*[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in info.columns])
-
-    joined = near.unionByName(met).distinct().join(side("a"), "a").join(side("b"), "b")
+    joined = _sides(near.unionByName(met).distinct(), info)
     band = {x: F.floor(F.log2(F.col(f"{x}_size") + 0.5)) for x in "ab"}
 
     def probing(x: str, y: str):
         """``x`` is not the smaller one and its probe of ``y``'s band is alive."""
         return (F.col(f"{x}_size") >= F.col(f"{y}_size")) & F.when(band["a"] == band["b"], F.col(f"{x}_own")).otherwise(F.col(f"{x}_low")).cast("boolean")
 
-    small_size, large_size = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     return joined.where(
-        (F.col("a_label") != F.col("b_label"))
-        & (large_size * s.percent <= small_size * 100)
-        & (probing("a", "b") | probing("b", "a"))
+        (F.col("a_label") != F.col("b_label")) & _like("a_", "b_", s) & (probing("a", "b") | probing("b", "a"))
     ).select("a", "b")
 
 
@@ -383,14 +408,15 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     """Per row: ``key``, ``n_shingles`` and ``component_id``, the least key reachable by links."""
     s = settings or Settings()
     docs = frame.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    nodes = stored(_nodes(docs, s))
+    nodes = stored(_nodes(docs, s))  # one row a document, and small
     shared = stored(_shared(_rows(docs, s)))
     # First the one set that each set meets most.
     meets = shared.where("node <> least").groupBy("node", "least").agg(F.sum("rows").alias("n"))
     best = meets.groupBy("node").agg(F.max_by("least", F.struct("n", "least")).alias("b")).select(F.col("node").alias("a"), "b")
-    links = _verified(docs, best, s)
+    known = stored(nodes.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    links = _verified(docs, _sides(best, known).where(_like("a_", "b_", s)), s)
     label = components(links)
-    more = _verified(docs, _candidates(shared, label, s).unionByName(_thin(nodes, shared, s)), s)
+    more = _verified(docs, _candidates(shared, known, label, s).unionByName(_thin(nodes, shared, s)), s)
     label = components(links.unionByName(more))
 
     named = nodes.where("size > 0").groupBy("node").agg(F.min("_key").alias("least"))
