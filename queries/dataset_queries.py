@@ -64,7 +64,7 @@ def record_hash(t: Tables):
     return df.select("event_id", content_hash(names).alias("data_hash"))
 
 
-SPLIT_DAY = "2024-01-16"
+SPLIT_DAY = "2024-01-30"  # the last day is the batch, all before it the state
 
 # State after the first half of the runs, then one later run against it.
 HALF = (
@@ -98,7 +98,7 @@ POLICY = merge_review_policy({"confidence_below": 0.3}, {"changed": False}, {"ne
 
 
 def next_run(t: Tables):
-    clock = F.lit("2024-01-17T00:00:00").cast("timestamp_ntz")
+    clock = F.lit("2024-01-31T00:00:00").cast("timestamp_ntz")
     return dataset.apply_run(next_batch(t), half_state(t), SPLIT_DAY, POLICY, clock)
 
 

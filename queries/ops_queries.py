@@ -168,6 +168,33 @@ def cron_calendar(t: Tables):
     )
 
 
+@query(
+    "cron_calendar_odd",
+    """
+WITH s AS (SELECT s_suppkey, s_suppkey % 3 AS c, ['UTC', 'Europe/Berlin', 'Asia/Kathmandu'][s_suppkey % 3 + 1] AS tz FROM supplier WHERE s_suppkey % 4 <> 3),
+m AS (SELECT unnest(generate_series(TIMESTAMP '2024-03-29 00:07:00', TIMESTAMP '2024-03-29 01:02:00', INTERVAL 1 MINUTE)) AS moment
+  UNION ALL SELECT TIMESTAMP '2024-03-30 05:41:00'),
+z AS (SELECT moment, tz, (moment AT TIME ZONE 'UTC') AT TIME ZONE tz AS l FROM m, (SELECT DISTINCT tz FROM s))
+SELECT s_suppkey AS schedule_id, CAST(moment AS VARCHAR) AS planned_at FROM s JOIN z USING (tz)
+WHERE CASE c WHEN 0 THEN TRUE WHEN 1 THEN minute(l) % 7 = 0 ELSE minute(l) IN (26, 59) OR minute(l) BETWEEN 40 AND 48 END
+""",
+)
+def cron_calendar_odd(t: Tables):
+    """A window off the quarter hours and one of a single minute; schedules that allow nothing."""
+    k = F.col("s_suppkey")
+    crons = [F.when(k % 4 == 3, broken).otherwise(cron) for cron, broken in (("* * * * *", "*/0 * * * *"), ("*/7 * * * *", "*/x * * * *"), ("26,40-48,59 * * * *", "70 * * * *"))]
+    zones = F.array(*[F.lit(z) for z in ("UTC", "Europe/Berlin", "Asia/Kathmandu")])
+    schedules = t.supplier.select(
+        k.alias("schedule_id"),
+        F.get(F.array(*crons), (k % 3).cast("int")).alias("cron"),
+        F.get(zones, (k % 3).cast("int")).alias("timezone"),
+        F.lit(True).alias("enabled"),
+    )
+    windows = (("2024-03-29T00:07:00", "2024-03-29T01:03:00"), ("2024-03-30T05:41:00", "2024-03-30T05:42:00"))
+    first, second = (ops.cron_occurrences(schedules, *w) for w in windows)
+    return first.unionByName(second).select("schedule_id", F.col("planned_at").cast("string").alias("planned_at"))
+
+
 @query(
     "batch_targets",
     """WITH w AS (SELECT c_nationkey, min(c_custkey) AS k FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey)
@@ -234,15 +261,14 @@ def emit_on_change(t: Tables):
     "fetch_attempts",
     DOC_LINES_ORACLE
     + """, a AS (SELECT concat('h', doc_id % 50) AS domain, CASE flag WHEN 'A' THEN 503 WHEN 'N' THEN 200 ELSE 429 END AS status, item AS n,
-  count(*) OVER (PARTITION BY doc_id) - 1 AS last FROM lines WHERE item < 6)
+  count(*) OVER (PARTITION BY doc_id) - 1 AS last FROM lines)
 SELECT domain, CAST(status AS BIGINT) AS status, count(*) AS attempts, count(*) FILTER (n < last AND status <> 200) AS retries,
   count(*) FILTER (n = last AND status = 200) AS succeeded, sum(CASE WHEN n < last AND status <> 200 THEN 0.5 * pow(2.0, n) ELSE 0 END)::DOUBLE AS backoff_seconds FROM a GROUP BY ALL
 """,
 )
 def fetch_attempts(t: Tables):
     status = lambda x: F.when(x["flag"] == "A", 503).when(x["flag"] == "N", 200).otherwise(429).cast("bigint")
-    # A fetch policy tries a page at most six times.
-    attempts = F.transform(F.slice("lines", 1, 6), lambda x: F.struct(status(x).alias("status"), F.lit(None).cast("string").alias("error")))
+    attempts = F.transform("lines", lambda x: F.struct(status(x).alias("status"), F.lit(None).cast("string").alias("error")))
     fetches = doc_lines(t).select(
         F.col("doc_id").alias("url"), F.concat(F.lit("h"), F.col("doc_id") % 50).alias("domain"), attempts.alias("attempts")
     )
