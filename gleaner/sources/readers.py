@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.context import RunContext
 from gleaner.functions.text import render_template
@@ -56,26 +60,55 @@ def sniff_separator(head: str) -> str:
     return max(SEPARATORS, key=score)
 
 
-def read_csv(spark: SparkSession, path: str, separator: str | None = None, **options: Any) -> DataFrame:
-    """CSV with a header row; a BOM is dropped, the separator is read off the head."""
-    if separator is None:
-        # One line of one file decides; the files themselves are read by the tasks.
-        head = "\n".join(r[0] for r in spark.read.text(path).limit(10).collect())
-        separator = sniff_separator(head.lstrip("\ufeff"))
-    df = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"', **options)
+def read_csv(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False, **options: Any) -> DataFrame:
+    """CSV files of one separator with a header row; a BOM is dropped.
+
+    Files are split into tasks; ``multi_line`` is for quoted line breaks and reads each file
+    in one task.  Files of mixed separators are documents: see ``parse_csv_column``.
+    """
+    df = spark.read.csv(path, header=True, sep=separator, multiLine=multi_line, escape='"', **options)
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
-def parse_csv_column(df: DataFrame, column: str, schema: str, separator: str = ",") -> DataFrame:
-    """CSV document texts to records: one row per data line, typed by ``schema``."""
-    lines = F.filter(F.split(F.regexp_replace(column, "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
-    data = df.select("*", F.posexplode(F.slice(lines, 2, F.size(lines))).alias("row_index", "__line"))
-    return data.withColumn("record", F.from_csv("__line", F.lit(schema), {"sep": separator})).drop("__line")
+def _csv_records(separator: str | None):
+    """Text to the records of a CSV document, as header to value; a blank text has none."""
+
+    @F.pandas_udf("array<map<string,string>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        def records(text: str | None) -> list[dict[str, str]]:
+            text = (text or "").lstrip("\ufeff")
+            rows = csv.reader(io.StringIO(text, newline=""), delimiter=separator or sniff_separator(text))
+            rows = [r for r in rows if any(v.strip() for v in r)]
+            return [dict(zip(rows[0], r, strict=False)) for r in rows[1:]]
+
+        return texts.map(records)
+
+    return parse
+
+
+def parse_csv_column(df: DataFrame, column: str, schema: str, separator: str | None = None) -> DataFrame:
+    """CSV document texts to records: one row per record, typed by ``schema`` and bound by header.
 
+    Quoted fields may hold separators and line breaks.  Without ``separator`` each document's
+    own head decides.  Fields that a document lacks, and unreadable values, are null.
+    """
+    fields = StructType.fromDDL(schema).fields
+    data = df.select("*", F.posexplode(_csv_records(separator)(F.col(column))).alias("row_index", "__fields"))
 
-def read_json(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    """JSON documents: a top-level list gives one row per item, an object one row."""
-    return spark.read.json(path, multiLine=True, **options)
+    def typed(field):
+        text = F.element_at("__fields", field.name)
+        blank = text if field.dataType.simpleString() == "string" else F.nullif(F.trim(text), F.lit(""))
+        return blank.try_cast(field.dataType).alias(field.name)
+
+    return data.withColumn("record", F.struct(*[typed(f) for f in fields])).drop("__fields")
+
+
+def read_json(spark: SparkSession, path: str, multi_line: bool = False, **options: Any) -> DataFrame:
+    """JSON lines; with ``multi_line`` JSON documents, each file in one task.
+
+    A document's top-level list gives one row per item, an object one row.
+    """
+    return spark.read.json(path, multiLine=multi_line, **options)
 
 
 def parse_json_column(df: DataFrame, column: str, target: str = "record") -> DataFrame:
@@ -114,7 +147,7 @@ def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> D
     )
 
 
-def document_collection(documents: DataFrame, schema: str | None = None, separator: str = ",") -> DataFrame:
+def document_collection(documents: DataFrame, schema: str | None = None, separator: str | None = None) -> DataFrame:
     """Rows of many CSV and JSON documents with ``url`` and their document provenance."""
     text = documents.select(F.col("path").alias("url"), "filename", F.decode("content", "UTF-8").alias("__text"))
     is_json = F.lower("filename").endswith(".json")
@@ -133,13 +166,6 @@ def document_collection(documents: DataFrame, schema: str | None = None, separat
     )
 
 
-def with_sequence(df: DataFrame, order: Sequence[str] = (), name: str = "_seq") -> DataFrame:
-    """Input order as an explicit column; an existing key is preferred to a generated one."""
-    if len(order) == 1:
-        return df.withColumn(name, F.col(order[0]))
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def declared(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Project an open record to declared columns; missing ones become typed nulls."""
     return df.select(

@@ -91,14 +91,20 @@ def export_summary(t: Tables):
 
 @query(
     "csv_documents",
-    DOC_LINES_ORACLE + " SELECT doc_id, item AS row_index, size, flag FROM lines",
+    DOC_LINES_ORACLE + " SELECT doc_id, item AS row_index, size, flag, 'a; b,' || chr(13) || chr(10) || 'c \"d\"' AS note FROM lines",
 )
 def csv_documents(t: Tables):
-    line = F.transform("lines", lambda x: F.concat(x["size"].cast("string"), F.lit(";"), x["flag"]))
-    text = F.concat(F.lit("\ufeffsize;flag\r\n"), F.array_join(line, "\r\n"), F.lit("\r\n"))
+    # Columns in either order, an unknown one, quoted line breaks and separators, two separators.
+    even = F.col("doc_id") % 2 == 0
+    note = '"a; b,\r\nc ""d"""'
+    first = F.transform("lines", lambda x: F.concat(x["size"].cast("string"), F.lit(f";{note};"), x["flag"]))
+    second = F.transform("lines", lambda x: F.concat(x["flag"], F.lit(","), x["size"].cast("string"), F.lit(f",{note}")))
+    text = F.when(even, F.concat(F.lit("\ufeffsize;note;flag\r\n"), F.array_join(first, "\r\n"), F.lit("\r\n"))).otherwise(
+        F.concat(F.lit("flag,size,note\n"), F.array_join(second, "\n"))
+    )
     docs = doc_lines(t).select("doc_id", text.alias("body"))
-    return readers.parse_csv_column(docs, "body", "size bigint, flag string", ";").select(
-        "doc_id", F.col("row_index").cast("bigint").alias("row_index"), "record.size", "record.flag"
+    return readers.parse_csv_column(docs, "body", "size bigint, flag string, note string").select(
+        "doc_id", F.col("row_index").cast("bigint").alias("row_index"), "record.size", "record.flag", "record.note"
     )
 
 

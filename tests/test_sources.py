@@ -17,7 +17,7 @@ def test_constants_and_run_input(spark):
 
 def test_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿name;rate\nA;1,5\n\"B;C\";2\n".encode())
-    df = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    df = readers.read_csv(spark, str(tmp_path / "a.csv"), ";")
     assert [tuple(r) for r in df.collect()] == [("A", "1,5"), ("B;C", "2")] and df.columns == ["name", "rate"]
     assert readers.sniff_separator("a\tb\n1\t2") == "\t"
 
@@ -26,7 +26,7 @@ def test_json_and_documents(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
     (tmp_path / "o.json").write_text(json.dumps({"a": 3}))
     (tmp_path / "t.csv").write_text("a\n4\n")
-    assert sorted(r["a"] for r in readers.read_json(spark, str(tmp_path / "*.json")).collect()) == [1, 2, 3]
+    assert sorted(r["a"] for r in readers.read_json(spark, str(tmp_path / "*.json"), multi_line=True).collect()) == [1, 2, 3]
     docs = readers.read_binary(spark, str(tmp_path))
     assert docs.count() == 3
     rows = readers.document_collection(docs, "a int").select("record", "_document.filename", "_document.index").collect()
