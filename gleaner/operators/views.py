@@ -204,23 +204,28 @@ def dataset_summary(records: DataFrame) -> DataFrame:
 
 
 def coverage_sources(memberships: DataFrame, runs: DataFrame, dataset_runs: DataFrame, lower: str | None = None, upper: str | None = None) -> DataFrame:
-    """State of every expected source, judged by its latest run in the window."""
+    """State of every expected source, judged by its latest run in the window.
+
+    A membership that names neither workflow nor source is judged by the newest run of all.
+    """
     window = time_range(runs, lower, upper, "finished_at")
     committed = window.join(dataset_runs.select("run_id", "observed_count"), "run_id")
     order = [F.col("finished_at").desc(), F.col("created_at").desc(), F.col("run_id").desc()]
     by_workflow = top_per_key(committed.where("workflow_id is not null"), ["workflow_id"], order)
     by_source = top_per_key(committed.where("source_id is not null"), ["source_id"], order)
 
+    run_facts = F.struct("run_id", "status", "assessment_status", "assessment_codes", "observed_count", "finished_at")
+    # One aggregated row.
+    newest = committed.agg(F.max_by(run_facts, F.struct("finished_at", "created_at", "run_id")).alias("by_any"))
+
     def found(best: DataFrame, key: str) -> DataFrame:
-        return best.select(
-            F.col(key),
-            F.struct("run_id", "status", "assessment_status", "assessment_codes", "observed_count", "finished_at").alias(f"by_{key}"),
-        )
+        return best.select(F.col(key), run_facts.alias(f"by_{key}"))
 
     joined = memberships.join(found(by_workflow, "workflow_id"), "workflow_id", "left").join(
         found(by_source, "source_id"), "source_id", "left"
-    )
-    run = F.when(F.col("workflow_id").isNotNull(), F.col("by_workflow_id")).otherwise(F.col("by_source_id"))
+    ).crossJoin(F.broadcast(newest))
+    run = F.when(F.col("workflow_id").isNotNull(), F.col("by_workflow_id"))
+    run = run.when(F.col("source_id").isNotNull(), F.col("by_source_id")).otherwise(F.col("by_any"))
     joined = joined.withColumn("run", run)
     missing = F.col("run.run_id").isNull()
     full = F.col("run.status").isin(*FULL_PASS) & ~F.coalesce(F.col("run.assessment_status") == "PARTIAL", F.lit(False))

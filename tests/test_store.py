@@ -263,3 +263,15 @@ def test_second_of_two_writers_fails(spark, tmp_path, monkeypatch):
         one.commit(plain_batch(spark, ("a", 1)), "r1", "2024-01-01T00:00:00")
     assert [r["run_id"] for r in one.dataset_runs().collect()] == ["r2"]
     assert [r["natural_key"] for r in one.records().collect()] == ["b"]
+
+
+def test_open_membership_takes_the_newest_run(spark):
+    runs = spark.createDataFrame(
+        [("r1", "w1", "s1", "SUCCESS", None, "", "2024-01-01", "2024-01-01"), ("r2", "w2", "s2", "FAILED", None, "", "2024-01-02", "2024-01-02")],
+        "run_id string, workflow_id string, source_id string, status string, assessment_status string, assessment_codes string, finished_at string, created_at string",
+    )
+    runs = runs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("finished_at", "created_at")})
+    members = spark.createDataFrame([("a", None, None, True), ("b", "w1", None, True), ("c", None, "s9", True)], "source_key string, workflow_id string, source_id string, required boolean")
+    written = spark.createDataFrame([("r1", 3), ("r2", 0)], "run_id string, observed_count long")
+    got = {r["source_key"]: (r["run_id"], r["status"]) for r in views.coverage_sources(members, runs, written).collect()}
+    assert got == {"a": ("r2", "FAIL"), "b": ("r1", "PASS"), "c": (None, "MISSING")}
