@@ -289,10 +289,10 @@ def _verified(frame: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Segment rows with a counterpart in another set, the least set behind the hash and the one before.
+    """Segment rows with a counterpart in another set.
 
-    Rows of hashes that at most three sets have are summed up by these two; ``sig`` stays
-    only for the others.
+    Where two sets have a hash, rows are summed up by ``partner``, the other set; where more
+    have it, a row keeps ``sig``, the least of the sets, and their number, the ``cost``.
     """
     group = Window.partitionBy("sig")
     index, probe = F.col("role").isin(*INDEXED), F.col("role").isin(*PROBES)
@@ -300,6 +300,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         "*",
         F.count("*").over(group).alias("cost"),
         F.min("node").over(group).alias("least"),
+        F.max("node").over(group).alias("most"),
         F.min("role").over(group).alias("kind"),
         *[f(F.when(c, F.col("node"))).over(group).alias(n + m) for c, n in ((index, "i"), (probe, "p")) for f, m in ((F.min, "0"), (F.max, "1"))],
         F.lag("node").over(group.orderBy("node")).alias("previous"),
@@ -310,10 +311,34 @@ def _shared(rows: DataFrame) -> DataFrame:
     )
     found = seen.where((met & (F.col("kind") < OWN_LESS)) | (F.col("role") == THIN))
     found = found.where("previous IS NULL OR previous <> node")  # the same set from another task
-    many = F.col("cost") > 3
+    many = F.col("cost") > 2
     return found.groupBy(
-        "node", "size", "slack", "role", "least", "previous", F.when(many, F.col("sig")).alias("sig"), F.when(many, F.col("cost")).alias("cost")
-    ).agg(F.count("*").alias("rows"))
+        "node", "size", "slack", "role",
+        F.when(~many, F.when(F.col("node") == F.col("least"), F.col("most")).otherwise(F.col("least"))).alias("partner"),
+        *[F.when(many, F.col(c)).alias(c) for c in ("sig", "least", "cost")],
+    ).agg(F.count("*").alias("rows"))
+
+
+def _lacking(rows: DataFrame) -> DataFrame:
+    """Probes (``node``, ``lower``) short of units behind which no set of ``rows`` stands.
+
+    ``lacking`` is what they must buy, ``cheap`` what the rows with one partner make up for.
+    """
+    # A segment with neighbourhood is two units, both lost if the whole segment is shared.
+    lost = F.when(F.col("role").isin(OWN_FIRST, LOWER_FIRST), 2).otherwise(1) * F.col("rows")
+    probes = rows.where(F.col("role").isin(*PROBES)).select("*", lost.alias("lost"))
+    found = probes.groupBy("node", _lower().alias("lower")).agg(
+        (F.sum("lost") - F.first("slack")).alias("lacking"), F.sum(F.when(F.col("sig").isNull(), _gain()).otherwise(0)).alias("cheap")
+    )
+    return found.where("lacking > 0")
+
+
+def _lower():
+    return F.col("role").isin(LOWER, LOWER_LESS, LOWER_FIRST)
+
+
+def _gain():
+    return F.when(F.col("role").isin(OWN_LESS, LOWER_LESS), 0).otherwise(F.col("rows"))
 
 
 def _thin(nodes: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
@@ -341,67 +366,52 @@ def _sides(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return pairs
 
 
-def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components that the probes' cheapest ``H + 1`` units bring up."""
-    shared = shared.where(F.col("role") != THIN)
-    lower = F.col("role").isin(LOWER, LOWER_LESS, LOWER_FIRST)
-    short = F.col("role").isin(OWN_LESS, LOWER_LESS)
-    # A segment with neighbourhood is two units, both lost if the whole segment is shared.
-    lost = F.when(F.col("role").isin(OWN_FIRST, LOWER_FIRST), 2).otherwise(1) * F.col("rows")
-    gain = F.when(short, 0).otherwise(F.col("rows"))
-    probes = shared.where(F.col("role").isin(*PROBES)).select("*", lower.alias("lower"), lost.alias("lost"), gain.alias("gain"))
-    # Units with no other set behind them cost nothing; a probe buys what then is lacking.
-    bought = probes.groupBy("node", "lower").agg(
-        (F.sum("lost") - F.first("slack")).alias("lacking"), F.sum(F.when(F.col("sig").isNull(), F.col("gain")).otherwise(0)).alias("cheap")
-    )
-    alive = stored(bought.where("lacking > 0"))
-    flags = alive.groupBy("node").agg(F.max((~F.col("lower")).cast("int")).alias("own"), F.max(F.col("lower").cast("int")).alias("low"))
-    info = (
-        known.join(shared.select("node").distinct(), "node", "left_semi")
-        .join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left")
-        .join(flags, "node", "left")
-        .select("node", "size", "sketch", F.coalesce("label", "node").alias("label"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("low", F.lit(0)).alias("low"))
+def _first_links(shared: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """Each set with the one set that it meets most, if either is a probe short of units."""
+    meets = shared.where(F.col("role") != THIN).select("node", F.coalesce("partner", "least").alias("b"), "rows").where("node <> b")
+    best = meets.groupBy("node", "b").agg(F.sum("rows").alias("n")).groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    short = stored(_lacking(shared.where(F.col("role") != THIN)).select("node").distinct())
+    pairs = stored(best.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
+    chosen = pairs.join(short.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(
+        pairs.join(short.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
     )
-    info = stored(info)
+    return _sides(chosen.distinct(), known).where(_like("a_", "b_", s)).select("a", "b")
 
-    small = shared.where("sig IS NULL")
-    near = small.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(
-        small.where("previous IS NOT NULL").select(F.col("node").alias("a"), F.col("previous").alias("b"))
-    )
-    near = near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    probing_sets = alive.select("node").distinct()
-    near = near.join(probing_sets.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(
-        near.join(probing_sets.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-    )
 
-    big = shared.where("sig IS NOT NULL").select("sig", "cost", "node", "role", lower.alias("lower"), gain.alias("gain"))
-    big = big.join(info.select("node", "label"), "node")
-    mixed = big.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    big = stored(big.join(mixed, "sig", "left_semi").join(info.select("node", "size", "sketch"), "node"))
-    order = Window.partitionBy("node", "lower").orderBy("cost", "sig").rowsBetween(Window.unboundedPreceding, -1)
-    probe = (
-        big.where(F.col("role").isin(*PROBES))
-        .join(alive, ["node", "lower"])
-        .withColumn("before", F.coalesce(F.sum("gain").over(order), F.lit(0)) + F.col("cheap"))
-        .where(short | F.expr("before < lacking"))
-        .select("sig", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch"), F.col("role").alias("p_role"))
-    )
-    index = big.where(F.col("role").isin(*INDEXED)).select("sig", "node", "label", "size", "sketch", "role")
-    less = F.col("p_role").isin(OWN_LESS, LOWER_LESS) & (F.col("role") == OWN_LESS)
-    fit = (F.col("p_label") != F.col("label")) & (F.col("p_size") >= F.col("size")) & ~less & _like("p_", "", s)
-    met = probe.join(index, (probe["sig"] == index["sig"]) & fit)
-    met = met.select(F.greatest("p", "node").alias("a"), F.least("p", "node").alias("b")).distinct()
+def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of different components that the probes' cheapest ``H + 1`` units bring up.
 
-    joined = _sides(near.unionByName(met).distinct(), info)
-    band = {x: F.floor(F.log2(F.col(f"{x}_size") + 0.5)) for x in "ab"}
+    A unit behind which only sets of the own component stand costs nothing: it can't bring
+    up a new link.
+    """
 
-    def probing(x: str, y: str):
-        """``x`` is not the smaller one and its probe of ``y``'s band is alive."""
-        return (F.col(f"{x}_size") >= F.col(f"{y}_size")) & F.when(band["a"] == band["b"], F.col(f"{x}_own")).otherwise(F.col(f"{x}_low")).cast("boolean")
+    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
+        found = rows.join(label.select(F.col("a").alias(node), F.col("b").alias("_label")), node, "left")
+        return found.withColumn(name, F.coalesce("_label", node)).drop("_label")
 
-    return joined.where(
-        (F.col("a_label") != F.col("b_label")) & _like("a_", "b_", s) & (probing("a", "b") | probing("b", "a"))
-    ).select("a", "b")
+    rows = labelled(shared.where(F.col("role") != THIN), "node", "label")
+    pairs = labelled(rows.where("sig IS NULL"), "partner", "other").where("label <> other").drop("other")
+    groups = rows.where("sig IS NOT NULL")
+    mixed = groups.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    rows = stored(groups.join(mixed, "sig", "left_semi").select(*pairs.columns).unionByName(pairs))
+    alive = stored(_lacking(rows))
+    probes = rows.where(F.col("role").isin(*PROBES)).select("*", _lower().alias("lower"), _gain().alias("gain")).join(alive, ["node", "lower"])
+    near = probes.where("sig IS NULL").select(F.col("node").alias("a"), F.col("partner").alias("b")).distinct()
+    near = _sides(near, known).where((F.col("a_size") >= F.col("b_size")) & _like("a_", "b_", s)).select("a", "b")
+
+    order = Window.partitionBy("node", "lower").orderBy("cost", "sig").rowsBetween(Window.unboundedPreceding, -1)
+    bought = probes.where("sig IS NOT NULL").withColumn("before", F.coalesce(F.sum("gain").over(order), F.lit(0)) + F.col("cheap"))
+    bought = bought.where((F.col("gain") == 0) | (F.col("before") < F.col("lacking"))).select("sig", "node", "label", "role")
+    index = rows.where(F.col("sig").isNotNull() & F.col("role").isin(*INDEXED)).select("sig", "node", "label", "role")
+    index = index.join(bought.select("sig").distinct(), "sig", "left_semi")
+    sides = [
+        x.join(known, "node").select("sig", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "role", "size", "sketch")])
+        for x, n in ((bought, "p"), (index, "i"))
+    ]
+    less = F.col("p_role").isin(OWN_LESS, LOWER_LESS) & (F.col("i_role") == OWN_LESS)
+    fit = (F.col("p_label") != F.col("i_label")) & (F.col("p_size") >= F.col("i_size")) & ~less & _like("p_", "i_", s)
+    met = sides[0].join(sides[1], (sides[0]["sig"] == sides[1]["sig"]) & fit).select(F.col("p_node").alias("a"), F.col("i_node").alias("b"))
+    return near.unionByName(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -410,11 +420,9 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     docs = frame.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     nodes = stored(_nodes(docs, s))  # one row a document, and small
     shared = stored(_shared(_rows(docs, s)))
-    # First the one set that each set meets most.
-    meets = shared.where("node <> least").groupBy("node", "least").agg(F.sum("rows").alias("n"))
-    best = meets.groupBy("node").agg(F.max_by("least", F.struct("n", "least")).alias("b")).select(F.col("node").alias("a"), "b")
     known = stored(nodes.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    links = _verified(docs, _sides(best, known).where(_like("a_", "b_", s)), s)
+    # First the one set that each set meets most, then what is left between components.
+    links = _verified(docs, _first_links(shared, known, s), s)
     label = components(links)
     more = _verified(docs, _candidates(shared, known, label, s).unionByName(_thin(nodes, shared, s)), s)
     label = components(links.unionByName(more))
