@@ -215,15 +215,20 @@ def coverage_sources(memberships: DataFrame, runs: DataFrame, dataset_runs: Data
     by_source = top_per_key(committed.where("source_id is not null"), ["source_id"], order)
 
     run_facts = F.struct("run_id", "status", "assessment_status", "assessment_codes", "observed_count", "finished_at")
-    # One aggregated row.
-    newest = committed.agg(F.max_by(run_facts, F.struct("finished_at", "created_at", "run_id")).alias("by_any"))
+    # One aggregated row, for memberships that are open.
+    newest = committed.agg(
+        F.max_by(run_facts, F.struct("finished_at", "created_at", "run_id")).alias("by_any"),
+        F.max(F.when(F.col("run_id").isNotNull(), 1)).alias("__open"),
+    )
 
     def found(best: DataFrame, key: str) -> DataFrame:
         return best.select(F.col(key), run_facts.alias(f"by_{key}"))
 
     joined = memberships.join(found(by_workflow, "workflow_id"), "workflow_id", "left").join(
         found(by_source, "source_id"), "source_id", "left"
-    ).crossJoin(F.broadcast(newest))
+    )
+    is_open = F.when(F.col("workflow_id").isNull() & F.col("source_id").isNull(), 1)
+    joined = joined.withColumn("__open", is_open).join(newest, "__open", "left")
     run = F.when(F.col("workflow_id").isNotNull(), F.col("by_workflow_id"))
     run = run.when(F.col("source_id").isNotNull(), F.col("by_source_id")).otherwise(F.col("by_any"))
     joined = joined.withColumn("run", run)
