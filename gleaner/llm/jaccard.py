@@ -288,11 +288,12 @@ def _verified(frame: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, s: Settings) -> DataFrame:
     """Segment rows with a counterpart in another set.
 
-    Where two sets have a hash, rows are summed up by ``partner``, the other set; where more
-    have it, a row keeps ``sig``, the least of the sets, and their number, the ``cost``.
+    Where two sets have a hash, rows are summed up by ``partner``, the other set, if sizes
+    allow a link; ``larger`` says that the set isn't the smaller one, so that it is the probe.
+    Where more have it, a row keeps ``sig``, the least of the sets, and their number, the ``cost``.
     """
     group = Window.partitionBy("sig")
     index, probe = F.col("role").isin(*INDEXED), F.col("role").isin(*PROBES)
@@ -304,6 +305,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         F.min("role").over(group).alias("kind"),
         *[f(F.when(c, F.col("node"))).over(group).alias(n + m) for c, n in ((index, "i"), (probe, "p")) for f, m in ((F.min, "0"), (F.max, "1"))],
         F.lag("node").over(group.orderBy("node")).alias("previous"),
+        (F.sum("size").over(group) - F.col("size")).alias("others"),
     )
     # Two shortened segments that are equal say nothing: they may differ in two tokens.
     met = (probe & ((F.col("i0") != F.col("node")) | (F.col("i1") != F.col("node")))) | (
@@ -312,9 +314,11 @@ def _shared(rows: DataFrame) -> DataFrame:
     found = seen.where((met & (F.col("kind") < OWN_LESS)) | (F.col("role") == THIN))
     found = found.where("previous IS NULL OR previous <> node")  # the same set from another task
     many = F.col("cost") > 2
-    return found.groupBy(
+    fit = F.least("size", "others") * 100 >= F.greatest("size", "others") * s.percent
+    return found.where(many | fit | (F.col("role") == THIN)).groupBy(
         "node", "size", "slack", "role",
         F.when(~many, F.when(F.col("node") == F.col("least"), F.col("most")).otherwise(F.col("least"))).alias("partner"),
+        F.when(~many, F.col("size") >= F.col("others")).alias("larger"),
         *[F.when(many, F.col(c)).alias(c) for c in ("sig", "least", "cost")],
     ).agg(F.count("*").alias("rows"))
 
@@ -326,13 +330,18 @@ def _lacking(rows: DataFrame) -> DataFrame:
     """
     # A segment with neighbourhood is two units, both lost if the whole segment is shared.
     lost = F.when(F.col("role").isin(OWN_FIRST, LOWER_FIRST), 2).otherwise(1) * F.col("rows")
-    probes = rows.where(F.col("role").isin(*PROBES)).select("*", lost.alias("lost"))
+    probes = _probes(rows).select("*", lost.alias("lost"))
     found = probes.groupBy("node", _lower().alias("lower")).agg(
         (F.sum("lost") - F.first("slack")).alias("lacking"), F.sum(F.when(F.col("sig").isNull(), _gain()).otherwise(0)).alias("cheap")
     )
     return found.where("lacking > 0")
 
 
+def _probes(rows: DataFrame) -> DataFrame:
+    """Rows of units that may bring up a set not larger than the row's."""
+    return rows.where(F.col("role").isin(*PROBES) & (F.col("sig").isNotNull() | F.col("larger")))
+
+
 def _lower():
     return F.col("role").isin(LOWER, LOWER_LESS, LOWER_FIRST)
 
@@ -395,7 +404,7 @@ def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settin
     mixed = groups.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     rows = stored(groups.join(mixed, "sig", "left_semi").select(*pairs.columns).unionByName(pairs))
     alive = stored(_lacking(rows))
-    probes = rows.where(F.col("role").isin(*PROBES)).select("*", _lower().alias("lower"), _gain().alias("gain")).join(alive, ["node", "lower"])
+    probes = _probes(rows).select("*", _lower().alias("lower"), _gain().alias("gain")).join(alive, ["node", "lower"])
     near = probes.where("sig IS NULL").select(F.col("node").alias("a"), F.col("partner").alias("b")).distinct()
     near = _sides(near, known).where((F.col("a_size") >= F.col("b_size")) & _like("a_", "b_", s)).select("a", "b")
 
@@ -419,7 +428,7 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     s = settings or Settings()
     docs = frame.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     nodes = stored(_nodes(docs, s))  # one row a document, and small
-    shared = stored(_shared(_rows(docs, s)))
+    shared = stored(_shared(_rows(docs, s), s))
     known = stored(nodes.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     # First the one set that each set meets most, then what is left between components.
     links = _verified(docs, _first_links(shared, known, s), s)
