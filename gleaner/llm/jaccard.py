@@ -18,7 +18,7 @@ among any ``H + 1`` segments one is the same in both sets.
   candidates; the rest meet their texts and are counted exactly.
 
 Equal sets are one node.  Groups of near copies don't become all pairs: each set is first
-verified with the one set that it meets most; what is linked is one component, and only
+verified with the few sets that it meets most; what is linked is one component, and only
 candidates between different components are verified after that.  So links inside a known
 component are not looked at, and components are exact.
 
@@ -60,6 +60,7 @@ class Settings:
     filter_bits: int = 1 << 26  # prefilter of texts to verify; changes no result
 
     sketch: int = 16  # 64-bit words; changes no result
+    first: int = 3  # sets that a set is compared with at first; changes no result
 
     def budget(self, total):
         """Most different tokens of sets of ``total`` tokens together."""
@@ -376,9 +377,12 @@ def _sides(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _first_links(shared: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
-    """Each set with the one set that it meets most, if either is a probe short of units."""
+    """Each set with those that it meets most, if either is a probe short of units."""
     meets = shared.where(F.col("role") != THIN).select("node", F.coalesce("partner", "least").alias("b"), "rows").where("node <> b")
-    best = meets.groupBy("node", "b").agg(F.sum("rows").alias("n")).groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    counts = meets.groupBy("node", "b").agg(F.sum("rows").alias("n"))
+    # At most one set for each segment of the node.
+    ranked = counts.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, s.first).alias("best"))
+    best = ranked.select("node", F.explode("best.b").alias("b"))
     short = stored(_lacking(shared.where(F.col("role") != THIN)).select("node").distinct())
     pairs = stored(best.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
     chosen = pairs.join(short.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(
@@ -430,7 +434,7 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     nodes = stored(_nodes(docs, s))  # one row a document, and small
     shared = stored(_shared(_rows(docs, s), s))
     known = stored(nodes.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    # First the one set that each set meets most, then what is left between components.
+    # First the sets that each set meets most, then what is left between components.
     links = _verified(docs, _first_links(shared, known, s), s)
     label = components(links)
     more = _verified(docs, _candidates(shared, known, label, s).unionByName(_thin(nodes, shared, s)), s)
