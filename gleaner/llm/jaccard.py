@@ -73,6 +73,15 @@ def _listed(size: int, m: int, s: Settings) -> int:
     return min(m, math.ceil((1.05 * need + 6 * math.sqrt(need * empty) + 1) / (1 - empty)))
 
 
+@lru_cache(maxsize=1 << 16)
+def _indexed(size: int, m: int, s: Settings) -> int:
+    """Segments a set of this size is indexed by: all that a probe of any size from its own on looks at.
+
+    ``_listed`` falls between the steps of the budget, so the largest partner isn't the one that looks at most.
+    """
+    return max(_listed(x, m, s) for x in range(size, size * 100 // s.percent + 1))
+
+
 @lru_cache(maxsize=64)
 def segments(band: int, s: Settings) -> tuple[int, int]:
     """Number of segments of sets of ``2^band`` to ``2^(band+1) - 1`` tokens, and those with neighbourhoods."""
@@ -154,8 +163,7 @@ def _segment_rows(sets: Sets, rows: np.ndarray, names: np.ndarray, s: Settings)
             else:
                 budget = s.budget(2 * n)
             probe = np.array([_listed(int(x), m, s) for x in n])
-            index = probe if lower else np.array([_listed(int(x) * 100 // s.percent, m, s) for x in n])
-            index = np.maximum(index, probe)
+            index = probe if lower else np.array([_indexed(int(x), m, s) for x in n])
             at = np.concatenate([np.arange(a, z) for a, z in zip(sets.first[chosen], sets.first[chosen + 1], strict=True)])
             doc = np.repeat(np.arange(len(chosen)), n)
             token = sets.token[at]

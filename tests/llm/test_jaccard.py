@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pytest
 from llm_data import awkward, empty, sentence, table
 
 from gleaner.llm import jaccard
@@ -86,6 +87,29 @@ def test_sets_without_spare_segments_meet_all_of_like_size(spark, monkeypatch):
     assert found(table(spark, [t for _, t in rows]), settings=jaccard.Settings(words=1)) == brute_words(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_every_segment_of_a_probe_is_indexed_by_smaller_partners(percent):
+    s = jaccard.Settings(percent=percent)
+    for band in range(11):
+        m, first = jaccard.segments(band, s)
+        top = ((2 << band) - 1) * 100 // percent
+        probe = {y: jaccard._listed(y, m, s) for y in range(1 << band, top + 1)}
+        assert first <= min(probe.values())
+        for x in range(1 << band, 2 << band):
+            assert jaccard._indexed(x, m, s) >= max(probe[y] for y in range(x, x * 100 // percent + 1))
+
+
+@pytest.mark.parametrize("small, large, different", [(35, 36, 7), (35, 37, 8), (40, 41, 9)])
+def test_pairs_between_the_steps_of_the_budget_are_linked(spark, small, large, different):
+    """Pairs of at least 80 %, each of words of its own."""
+    texts, same = [], (small + large - different) // 2
+    for i in range(600):
+        words = [f"w{i}x{k}" for k in range(small + large - same)]
+        texts += [" ".join(words[:small]), " ".join(words[:same] + words[small:])]
+    rows = jaccard.join(table(spark, texts), settings=jaccard.Settings(words=1)).collect()
+    assert [r["doc_id"] for r in rows if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
 def brute_words(rows):
     sets = [frozenset(t.lower().split()) for _, t in rows]
     parent = list(range(len(rows)))
