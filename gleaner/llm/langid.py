@@ -2,7 +2,9 @@
 
 Each language has a raw-content zstandard dictionary made of sample texts.  A text's blocks
 are compressed with every dictionary; the language with the fewest bytes wins, and a margin
-to the next one below ``margin`` bytes per byte of text is a rejection.
+to the next one below ``margin`` bytes per byte of text, or below ``least`` bytes, is a
+rejection.  Both are taken from held-out margins (README): of gibberish and of texts in a
+language not learned, one dictionary saves hardly more than the next.
 
 Texts are compared as lower-case letters only: digits, marks and repeated spaces say nothing
 about a language.  A fixed filler stands before each block and at the end of each
@@ -42,7 +44,8 @@ class Settings:
     dictionary: int = 131_072  # bytes
     level: int = 5
     block: int = 4096
-    margin: float = 0.0005
+    margin: float = 0.015
+    least: int = 3  # bytes
 
 
 @dataclass(frozen=True)
@@ -97,9 +100,10 @@ class Scorer:
         sizes = [(sum(len(pack(b)) for b in blocks), place) for place, (_, pack) in enumerate(self.languages)]
         ranked = sorted(sizes)
         best = ranked[0][0]
-        margin = (ranked[1][0] - best) / len(data) if len(ranked) > 1 else 1.0
+        ahead = ranked[1][0] - best if len(ranked) > 1 else max(len(data), self.settings.least)
+        margin = ahead / len(data) if len(ranked) > 1 else 1.0
         score = 1.0 / sum(math.exp(max(best - size, -600) / 2) for size, _ in sizes)
-        return self.languages[ranked[0][1]][0], score, margin, margin < self.settings.margin
+        return self.languages[ranked[0][1]][0], score, margin, margin < self.settings.margin or ahead < self.settings.least
 
 
 def predict(frame: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

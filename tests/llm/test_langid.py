@@ -29,6 +29,20 @@ def test_learns_languages_and_rejects_narrow_margins(spark):
     assert [rows[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and rows[1]["lang_pred"] in ("en", "de")
 
 
+def test_gibberish_and_unlearned_languages_are_rejected(spark):
+    chance = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where("lang IN ('en', 'de', 'fr')"))
+    score = langid.Scorer(model)
+    unlearned = [r["text"] for r in docs.where("lang = 'es' AND length(text) BETWEEN 200 AND 2000").collect()]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(chance.choices(letters, k=chance.randrange(2, 10))) for _ in range(n // 6)) for n in (200, 600, 1200, 2000) * 25]
+    for texts, share in ((unlearned, 0.8), (noise, 0.97)):
+        assert sum(score(t)[3] for t in texts) >= share * len(texts) > 20
+    learned = [r["text"] for r in docs.where("lang IN ('en', 'de', 'fr') AND length(text) BETWEEN 200 AND 2000").collect()]
+    assert sum(score(t)[3] for t in learned) < 0.05 * len(learned)
+
+
 def test_whole_text_counts(spark):
     chance = random.Random(3)
     model = langid.fit(frame_of(spark, [(i, prose(lang, chance, 100), lang) for i, lang in enumerate(["en", "de"] * 20)]))
