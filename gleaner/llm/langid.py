@@ -21,6 +21,7 @@ returned unless named in ``keep``.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ class Settings:
     """``documents`` and ``characters`` bound what is learned from; they cut no text scored."""
 
     documents: int = 400  # sample texts of a language
-    characters: int = 4096  # of each sample text
+    characters: int = 4096  # of each sample text, from a hashed place
     dictionary: int = 131_072  # bytes
     level: int = 5
     block: int = 4096
@@ -58,6 +59,18 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_FOLD).split())
 
 
+def _shared_out(texts: list[bytes], size: int) -> bytes:
+    """``size`` bytes of the texts, the same of each; what short ones leave goes to the others."""
+    left, share, pieces = size, 0, []
+    for n, length in enumerate(sorted(map(len, texts))):
+        share = max(left // (len(texts) - n) - 1, 0)  # and a space
+        left -= min(length, share) + 1
+    for text in texts:
+        at = zlib.crc32(text) % (max(len(text) - share, 0) + 1)
+        pieces.append(text[at : at + share])
+    return b" ".join(pieces)[:size]
+
+
 def fit(frame: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings | None = None) -> Model:
     """Learn from a bounded sample of the rows whose text, language and key aren't null."""
     settings = settings or Settings()
@@ -67,17 +80,23 @@ def fit(frame: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     found = (
         rows.join(F.broadcast(chosen), ["_key", "_lang"])
         .groupBy("_lang", "_key")
-        .agg(F.min(F.substring("_text", 1, settings.characters)).alias("_text"))
+        .agg(F.min(F.substr("_text", _place(settings), F.lit(settings.characters))).alias("_text"))
         .collect()
     )
     dictionaries = []
     for name in sorted(counts, key=lambda n: (-counts[n], n)):
         texts = sorted((r["_key"], r["_text"]) for r in found if r["_lang"] == name)
-        data = b" ".join(folded(t) for _, t in texts)[: settings.dictionary]
+        data = _shared_out([folded(t) for _, t in texts], settings.dictionary)
         dictionaries.append((name, data + b" " + FILLER))
     return Model(tuple(dictionaries), settings)
 
 
+def _place(settings: Settings):
+    """Hashed first character of the part of a text that is learned from."""
+    later = F.greatest(F.length("_text") - settings.characters, F.lit(0)) + 1
+    return (F.pmod(F.xxhash64("_key", "_text"), later) + 1).cast("int")
+
+
 class Scorer:
     def __init__(self, model: Model):
         s = model.settings

@@ -43,6 +43,15 @@ def test_gibberish_and_unlearned_languages_are_rejected(spark):
     assert sum(score(t)[3] for t in learned) < 0.05 * len(learned)
 
 
+def test_all_sampled_texts_are_learned_from_and_not_their_starts_only(spark):
+    rows = [(i, " ".join(f"start{chr(97 + i % 26)}" for _ in range(600)) + " " + " ".join(chr(0x4E00 + i) * 3 for _ in range(600)), "en") for i in range(200)]
+    data = langid.fit(frame_of(spark, rows)).dictionaries[0][1]
+    assert 0.9 * 131_072 < len(data) <= 131_072 + 100
+    marks = sum(chr(0x4E00 + i).encode() in data for i in range(200))
+    assert marks > 60  # a third of each text's bytes and more, at places spread over it
+    assert langid._shared_out([b"aa", b"b" * 90, b"c" * 90], 63).count(b"c") == langid._shared_out([b"aa", b"b" * 90, b"c" * 90], 63).count(b"b") == 29
+
+
 def test_whole_text_counts(spark):
     chance = random.Random(3)
     model = langid.fit(frame_of(spark, [(i, prose(lang, chance, 100), lang) for i, lang in enumerate(["en", "de"] * 20)]))
