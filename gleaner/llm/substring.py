@@ -138,6 +138,11 @@ def repeats(frame: DataFrame, key: str, text: str, settings: Settings) -> DataFr
     return counted.select("_id", place).unionByName(rows.where("n = 0").select("_id", place))
 
 
+def _starts(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(``_id``, ``_starts``): distinct starts, so that rows equal in key and text don't add up."""
+    return repeats(docs, "_id", "_text", settings).groupBy("_id").agg(F.collect_set("_at").alias("_starts"))
+
+
 def _covered(starts, words: int, size: int) -> np.ndarray:
     change = np.zeros(words + 1, np.int64)
     starts = np.unique(np.asarray(starts, np.int64))
@@ -159,8 +164,7 @@ def remove_repeats(
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_id"),
     )
-    starts = repeats(docs, "_id", "_text", settings).groupBy("_id").agg(F.collect_list("_at").alias("_starts"))
-    joined = docs.join(starts, "_id", "left").drop("_id")
+    joined = docs.join(_starts(docs, settings), "_id", "left").drop("_id")
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[: len(keep)]]
     schema = ", ".join([*head, "n_words long, n_removed long, kept_text string"])
 

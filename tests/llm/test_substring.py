@@ -41,6 +41,16 @@ def test_repeats_inside_one_text_overlap(spark):
     assert found(table(spark, [t for _, t in rows]), substring.Settings(size=3, filter_bits=1 << 12)) == brute(rows, 3)
 
 
+def test_starts_of_equal_rows_do_not_add_up(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text)] * 300, "_id long, _text string").repartition(8)
+    settings = substring.Settings(size=3, filter_bits=1 << 12)
+    rows = substring._starts(docs, settings).collect()
+    assert [(r["_id"], sorted(r["_starts"])) for r in rows] == [(1, list(range(18)))]
+    same = [(None, text)] * 30
+    assert found(table(spark, [text] * 30, [None] * 30), settings) == brute(same, 3)
+
+
 def test_query_matches_brute_force(spark):
     from gleaner.llm.queries import QUERIES
 
