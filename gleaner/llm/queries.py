@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, outliers, quality, substring, toxicity, training_order
+from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, merkle, outliers, quality, substring, toxicity, training_order
 from gleaner.llm.scan import prepare, remainder, table
+from gleaner.llm.sql import MERKLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle_manifest": MERKLE}
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -90,3 +91,11 @@ def op5_training_order(spark, folder):
         docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "doc_id", "text", training_order.Settings()
     )
     return training_order.shards(tokens)
+
+
+@query
+def op12_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.audit(docs, columns, "lang", "doc_id", {"text": merkle.lowered(F.col("text"))}, hit)
