@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, hmm, jaccard, langid, merkle, outliers, quality, substring, toxicity, training_order
+from gleaner.llm import bpe, decontaminate, hmm, identifiers, jaccard, langid, merkle, outliers, quality, substring, toxicity, training_order
 from gleaner.llm.scan import prepare, remainder, table
 from gleaner.llm.sql import MERKLE
 
@@ -99,3 +99,10 @@ def op12_merkle_manifest(spark, folder):
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     return merkle.audit(docs, columns, "lang", "doc_id", {"text": merkle.lowered(F.col("text"))}, hit)
+
+
+@query
+def op13_identifiers(spark, folder):
+    found = identifiers.find(table(spark, folder, "documents"))
+    base = F.sha2(identifiers.joined(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base, identifiers.joined(F.col("spans")).alias("spans"))
