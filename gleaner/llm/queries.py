@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, hmm, identifiers, jaccard, langid, merkle, outliers, quality, substring, toxicity, training_order
+from gleaner.llm import balltree, bpe, decontaminate, hmm, identifiers, jaccard, langid, merkle, outliers, quality, substring, toxicity, training_order
 from gleaner.llm.scan import prepare, remainder, table
-from gleaner.llm.sql import MERKLE
+from gleaner.llm.sql import LEXICAL, MERKLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op12_merkle_manifest": MERKLE}
+ORACLES: dict[str, str] = {"op11_lexical_search": LEXICAL, "op12_merkle_manifest": MERKLE}
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -106,3 +106,8 @@ def op13_identifiers(spark, folder):
     found = identifiers.find(table(spark, folder, "documents"))
     base = F.sha2(identifiers.joined(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base, identifiers.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_lexical_search(spark, folder):
+    return balltree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -57,3 +57,27 @@ walk(g, pos, doc_id, leaf, subroot, root, level, place, depth, upper, proof, fol
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM walk WHERE level = depth + upper
 """
+
+LEXICAL = r"""
+WITH items AS (SELECT item_id, text, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (
+  SELECT DISTINCT item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT doc, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS total FROM sizes),
+counts AS (
+  SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, whole WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scores AS (
+  SELECT item, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc), whole GROUP BY item, doc),
+ranked AS (
+  SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+  FROM scores JOIN sizes USING (doc) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 50
+"""
