@@ -8,7 +8,7 @@ selecting, grouping and joining is left to Spark.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from itertools import count, takewhile
 
@@ -39,9 +39,11 @@ SCOPE = frozenset(["table", "ul", "ol", "dl", "select", "body", "html"])
 
 NODE_COLUMNS = (
     "node_id int, end_id int, parent_id int, depth int, tag string, id string, "
-    "classes array<string>, attrs map<string,string>, path array<int>, text string"
+    "classes array<string>, attrs map<string,string>, path array<int>, text string, html string, inner string"
 )
-ROW_COLUMNS = "table_index int, row_index int, in_head boolean, cells array<string>, own_cells array<string>"
+ROW_COLUMNS = "table_index int, row_index int, in_head boolean, cells array<string>, own_cells array<string>, node_id int, cut boolean"
+#: Tags, "all", "classed" (text only), or a rule over tag and attributes.
+Wanted = str | tuple[str, ...] | Callable[[str, dict[str, str]], bool]
 
 
 def squeeze(parts: list[str]) -> str:
@@ -50,7 +52,7 @@ def squeeze(parts: list[str]) -> str:
 
 
 class _Node:
-    __slots__ = ("attrs", "depth", "end", "index", "parent", "path", "tag", "text")
+    __slots__ = ("attrs", "depth", "end", "index", "inner", "outer", "parent", "path", "tag", "text")
 
     def __init__(self, index: int, parent: _Node | None, tag: str, attrs: dict[str, str]):
         self.index, self.parent, self.tag, self.attrs = index, parent, tag, attrs
@@ -58,13 +60,18 @@ class _Node:
         self.path = [*parent.path, index] if parent else [index]
         self.end = index
         self.text: list[tuple[int, str]] = []
+        self.outer = self.inner = (0, 0)  # places in the source
 
 
 class _Builder(HTMLParser):
     """Pre-order node list; ``pieces`` holds the text in document order."""
 
-    def __init__(self) -> None:
+    def __init__(self, source: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.source = source
+        self.lines = [0]
+        while (at := source.find("\n", self.lines[-1])) >= 0:
+            self.lines.append(at + 1)
         self.nodes: list[_Node] = []
         self.open: list[_Node] = []
         self.starts: list[int] = []
@@ -77,6 +84,9 @@ class _Builder(HTMLParser):
         if tag in ("li", "dt", "dd", "td", "th", "tr", "tbody", "tfoot"):
             self._close_implied(tag)
         node = _Node(len(self.nodes), self.open[-1] if self.open else None, tag, {k: v or "" for k, v in reversed(attrs)})
+        begin = self._place()
+        after = begin + len(self.get_starttag_text() or "")
+        node.outer, node.inner = (begin, after), (after, after)
         self.nodes.append(node)
         self.starts.append(len(self.pieces))
         self.stops.append(len(self.pieces))
@@ -90,8 +100,14 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if any(n.tag == tag for n in self.open):
-            while self._close_top().tag != tag:
+            while (node := self._close_top()).tag != tag:
                 pass
+            # The end tag belongs to its element.
+            node.outer = (node.outer[0], self.source.find(">", node.inner[1]) + 1 or len(self.source))
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
 
     def handle_data(self, data: str) -> None:
         if not self.open or self.open[-1].tag not in ("script", "style"):
@@ -111,6 +127,8 @@ class _Builder(HTMLParser):
         node = self.open.pop()
         node.end = len(self.nodes) - 1
         self.stops[node.index] = len(self.pieces)
+        end = max(self._place(), node.inner[0])
+        node.outer, node.inner = (node.outer[0], end), (node.inner[0], end)
         return node
 
     def finish(self) -> None:
@@ -123,13 +141,19 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> _Builder:
-    builder = _Builder()
-    builder.feed(html or "")
+    builder = _Builder(html or "")
+    builder.feed(builder.source)
     builder.finish()
     return builder
 
 
-def _node_rows(html: str | None, tags: frozenset[str] | None, text_for: str | tuple[str, ...]) -> Iterator[tuple]:
+def _wants(wanted: Wanted, node: _Node, classes: list[str]) -> bool:
+    if callable(wanted):
+        return wanted(node.tag, node.attrs)
+    return wanted == "all" or bool(classes if wanted == "classed" else node.tag in wanted)
+
+
+def _node_rows(html: str | None, tags: frozenset[str] | None, text_for: Wanted, html_for: Wanted) -> Iterator[tuple]:
     tree = parse(html)
     for node in tree.nodes:
         if tags is not None and node.tag not in tags:
@@ -145,7 +169,8 @@ def _node_rows(html: str | None, tags: frozenset[str] | None, text_for: str | tu
             classes,
             list(node.attrs.items()),
             node.path,
-            tree.text_of(node) if text_for == "all" or (classes if text_for == "classed" else node.tag in text_for) else None,
+            tree.text_of(node) if _wants(text_for, node, classes) else None,
+            *([tree.source[slice(*node.outer)], tree.source[slice(*node.inner)]] if _wants(html_for, node, classes) else [None, None]),
         )
 
 
@@ -154,9 +179,9 @@ MOST_COLUMNS = 1000
 
 
 def _span(node: _Node, name: str) -> int:
-    """Span of a cell; unreadable values count as one."""
-    value = (node.attrs.get(name) or "1").strip()
-    return max(int(value), 1) if value.isdecimal() else 1
+    """Span of a cell; unreadable values count as one, and digits beyond the tenth as a very wide one."""
+    value = (node.attrs.get(name) or "1").strip().lstrip("0")
+    return int(value[:10]) if value.isdecimal() else 1
 
 
 def _tables(tree: _Builder) -> Iterator[list[tuple[_Node, list[_Node]]]]:
@@ -175,21 +200,24 @@ def _grid_rows(html: str | None) -> Iterator[tuple]:
     """Rows of every table: each cell claims the rectangle of places that its spans name.
 
     A cell starts at the first place of its row that no cell above has claimed; a row ends
-    at its first place that none has.  Row spans end with the table.
+    at its first place that none has.  Row spans end with the table.  A column span above the
+    standard's limit is cut to it, and the row says so.
     """
     tree = parse(html)
+    nodes = [n.index for n in tree.nodes if n.tag == "table"]
     for table_index, rows in enumerate(_tables(tree)):
         places: dict[tuple[int, int], str] = {}
         for r, (row, cells) in enumerate(rows):
             texts = [tree.text_of(cell) for cell in cells]
-            at = 0
+            at, cut = 0, False
             for cell, text in zip(cells, texts, strict=True):
                 at = next(c for c in count(at) if (r, c) not in places)
                 width, height = min(_span(cell, "colspan"), MOST_COLUMNS), min(_span(cell, "rowspan"), len(rows) - r)
+                cut = cut or _span(cell, "colspan") > MOST_COLUMNS
                 places.update(((r + y, at + x), text) for y in range(height) for x in range(width))
                 at += width
             line = [places[r, c] for c in takewhile(lambda c, r=r: (r, c) in places, count())]
-            yield (table_index, r, any(tree.nodes[i].tag == "thead" for i in row.path), line, texts)
+            yield (table_index, r, any(tree.nodes[i].tag == "thead" for i in row.path), line, texts, nodes[table_index], cut)
 
 
 _NODE_SCHEMA = pa.schema(
@@ -204,6 +232,8 @@ _NODE_SCHEMA = pa.schema(
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("path", pa.list_(pa.int32())),
         ("text", pa.string()),
+        ("html", pa.string()),
+        ("inner", pa.string()),
     ]
 )
 _ROW_SCHEMA = pa.schema(
@@ -213,6 +243,8 @@ _ROW_SCHEMA = pa.schema(
         ("in_head", pa.bool_()),
         ("cells", pa.list_(pa.string())),
         ("own_cells", pa.list_(pa.string())),
+        ("node_id", pa.int32()),
+        ("cut", pa.bool_()),
     ]
 )
 _ROWS_PER_BATCH = 4096
@@ -256,17 +288,19 @@ def dom_nodes(
     key: str = "page_id",
     html: str = "html",
     tags: tuple[str, ...] | None = None,
-    text_for: str | tuple[str, ...] = "all",
+    text_for: Wanted = "all",
+    html_for: Wanted = (),
 ) -> DataFrame:
     """Nodes in document order: ``end_id`` is the last descendant, ``path`` the
     ancestors and the node itself.
 
     ``tags`` limits which nodes leave the parser; ``text_for`` ("all", "classed" or
     a list of tags) limits which of them carry their text, because every outer
-    element repeats the text of its inner ones.
+    element repeats the text of its inner ones.  ``html_for`` does the same for ``html``, the
+    element as written, and ``inner``, its content.
     """
     wanted = frozenset(tags) if tags else None
-    return _flat_map(pages, key, html, NODE_COLUMNS, _NODE_SCHEMA, lambda text: _node_rows(text, wanted, text_for))
+    return _flat_map(pages, key, html, NODE_COLUMNS, _NODE_SCHEMA, lambda text: _node_rows(text, wanted, text_for, html_for))
 
 
 def table_grid(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

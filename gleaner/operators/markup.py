@@ -195,19 +195,22 @@ def table_records(
     grid: DataFrame,
     pages: DataFrame | None = None,
     header_row: int = 0,
-    table_index: int = 0,
+    table_index: int | None = 0,
     selector: str = "table",
     key: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
     """Data rows of one table per page as ``map<header, value>`` with a structural identity.
 
-    An index beyond the tables of a page falls back to its first table.
+    An index beyond the tables of a page falls back to its first table; an index of None
+    takes ``grid`` as chosen already (``structure.pick_table``).
     """
-    page = Window.partitionBy(key)
-    numbered = grid.withColumn("__last", F.max("table_index").over(page)) if table_index else grid.withColumn("__last", F.lit(0))
-    chosen = F.when(F.col("__last") >= table_index, F.lit(table_index)).otherwise(F.lit(0))
-    rows = table_rows(numbered.where(F.col("table_index") == chosen).drop("__last"), key)
+    if table_index is not None:
+        page = Window.partitionBy(key)
+        numbered = grid.withColumn("__last", F.max("table_index").over(page)) if table_index else grid.withColumn("__last", F.lit(0))
+        chosen = F.when(F.col("__last") >= table_index, F.lit(table_index)).otherwise(F.lit(0))
+        grid = numbered.where(F.col("table_index") == chosen).drop("__last")
+    rows = table_rows(grid, key)
     table = Window.partitionBy(key, "table_index")
     header = F.max(F.when(F.col("position") == header_row, F.col("cells"))).over(table)
     data = rows.withColumn("__head", header).where(F.col("position") > header_row)
