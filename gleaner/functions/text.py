@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import warnings
+from functools import lru_cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
@@ -43,19 +45,41 @@ def non_blank(value: Column) -> Column:
     return F.when(~is_blank(value), value)
 
 
-def java_pattern(pattern: str, ignore_case: bool = False) -> str | None:
-    """The pattern as the JVM takes it, or null where it is none: such a rule has no hit.
+def java_groups(pattern: str) -> str:
+    """Named groups ``(?P<name>…)`` and ``(?P=name)`` as the JVM takes them.
 
-    Named groups may be written ``(?P<name>…)`` and referred to by ``(?P=name)``.
+    The JVM allows letters and digits in names only, so groups are called ``g1``, ``g2`` … in
+    their order; their numbers stay, and callers read them by number.
     """
-    java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
-    java = f"(?iu){java}" if ignore_case else java
+    names: dict[str, str] = {}
+
+    def renamed(part: re.Match[str]) -> str:
+        opened, referred = part.group(1), part.group(2)
+        if opened:
+            return f"(?<{names.setdefault(opened, f'g{len(names) + 1}')}>"
+        return rf"\k<{names.get(referred, referred)}>" if referred else part.group()
+
+    return re.sub(r"\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)", renamed, pattern, flags=re.S)
+
+
+@lru_cache(maxsize=4096)
+def _compiles(java: str) -> bool:
     try:
-        # Spark's own compiler decides, on a constant and once for all rows.
+        # Spark's own compiler decides, on a constant and once for all rows; no job runs.
         SparkSession.active().sql("SELECT regexp_like('', :pattern)", args={"pattern": java}).collect()
     except PySparkException:
-        return None
-    return java
+        return False
+    return True
+
+
+def java_pattern(pattern: str, ignore_case: bool = False) -> str | None:
+    """The pattern as the JVM takes it, or null, with a warning, where it is none: such a rule has no hit."""
+    java = java_groups(pattern)
+    java = f"(?iu){java}" if ignore_case else java
+    if _compiles(java):
+        return java
+    warnings.warn(f"not a pattern, so it hits nothing: {pattern}", stacklevel=2)
+    return None
 
 
 def regex_pick(value: Column, pattern: str, group: int = 0, ignore_case: bool = False, default: str | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import urls
 from gleaner.functions.binding import with_once
 from gleaner.functions.records import path_column
+from gleaner.functions.text import java_groups
 from gleaner.plans.ranking import running_total, top_per_key
 from gleaner.session import pin
 
@@ -51,7 +52,7 @@ def url_frontier(
     elif config.get("same_origin_only", True):
         rows = rows.where((F.col("__origin") == "") | (F.col("__host") == F.col("__origin")))
     pattern = str(config.get("url_pattern") or "").strip()
-    java = "(?iu)" + pattern.replace("(?P<", "(?<")
+    java = "(?iu)" + java_groups(pattern)
     if pattern:
         rows = rows.where(F.col("canonical").rlike(java))
     first = top_per_key(rows, ["canonical"], [F.col(seq)])
@@ -307,15 +308,20 @@ def attach_related(
     max_files: int | None = None,
     extensions: Sequence[str] = (".xlsx", ".xls", ".csv", ".pdf", ".docx"),
     key: str = "page_id",
+    page: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed documents of listed attachments: ``(attached, misses)``.
 
+    Attachments are addresses; with ``page``, a column of the records, relative ones are resolved
+    against it.
+
     ``documents(url, ...)`` is keyed by canonical address.  ``max_files`` allows that many
     attachments of a listed extension per record; those beyond it are among the misses, with
     ``left_out`` set.
     """
-    listed = records.select(key, F.posexplode(attachments).alias("position", "__raw"))
-    listed = with_once(listed, url, urls.canonical_url(F.col("__raw"))).select(key, "position", url)
+    listed = records.select(key, *([F.col(page).alias("__page")] if page else []), F.posexplode(attachments).alias("position", "__raw"))
+    whole = urls.resolve(F.col("__page"), F.col("__raw")) if page else F.col("__raw")
+    listed = with_once(listed, url, urls.canonical_url(whole)).select(key, "position", url)
     wanted = listed.where(urls.file_suffix(F.col(url)).isin(*[e.lower() for e in extensions]))
     if max_files is None:
         chosen, beyond = wanted, None

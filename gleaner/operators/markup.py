@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import markup, urls
 from gleaner.functions.binding import let
-from gleaner.functions.dates import publication_date, source_datetime
 from gleaner.functions.numbers import parse_decimal
 from gleaner.functions.records import path_column
-from gleaner.functions.text import clean_inline, field_name, unique_strings
+from gleaner.functions.text import clean_inline, field_name
 from gleaner.plans.ranking import running_total, top_per_key
 
 DATE_LIKE = r"\b\d{2}[./-]\d{2}[./-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
@@ -236,22 +235,26 @@ def normalized_record(record: Column) -> Column:
     return F.map_concat(record, fresh)
 
 
-def table_structures(grid: DataFrame, key: str = "page_id") -> DataFrame:
-    """Lossless tables: headers (last ``thead`` row, else the first row) and data rows."""
+def table_structures(grid: DataFrame, key: str = "page_id", also: Sequence[str] = ()) -> DataFrame:
+    """Lossless tables: headers (last ``thead`` row, else the first row) and data rows; a table
+    of blank cells has neither.  ``also`` names columns that are the same in a table's rows."""
     clean = {c: F.transform(c, clean_inline) for c in ("cells", "own_cells")}
     grid = grid.withColumns(clean)
     rows = table_rows(grid, key)
     last = grid.where("in_head").groupBy(key, "table_index").agg(
         F.max_by("own_cells", "row_index").alias("head"), F.count(F.lit(1)).alias("head_rows")
     )
+    blank = grid.groupBy(key, "table_index", *also).agg(F.count(F.lit(1)).alias("all_rows"))
     matrix = rows.groupBy(key, "table_index").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "cells"))), lambda r: r["cells"]).alias("matrix")
     )
-    joined = matrix.join(last, [key, "table_index"], "left")
-    header = dedupe_headers(F.coalesce("head", F.get("matrix", F.lit(0))))
+    joined = blank.join(matrix, [key, "table_index"], "left").join(last, [key, "table_index"], "left")
+    nothing = F.array().cast("array<array<string>>")
+    joined = joined.withColumn("matrix", F.coalesce("matrix", nothing))
+    header = dedupe_headers(F.coalesce("head", F.get("matrix", F.lit(0)), F.array().cast("array<string>")))
     start = F.coalesce(F.col("head_rows"), F.lit(1)).cast("int")
     return joined.select(
-        key, "table_index", header.alias("headers"), F.slice("matrix", start + 1, F.size("matrix")).alias("rows"), "matrix"
+        key, "table_index", *also, header.alias("headers"), F.slice("matrix", start + 1, F.size("matrix")).alias("rows"), "matrix"
     )
 
 
@@ -359,44 +362,6 @@ def finish_cards(cards: DataFrame, pages: DataFrame, key: str = "page_id", url:
     return top_per_key(rows, same, [F.col("row_index")]).drop("__local", "__before")
 
 
-def article_record(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", source_name: str = "") -> DataFrame:
-    """One article per page from fallback chains over flat facts."""
-    page, body = F.col(html), F.col("__body_html")
-    inner = F.coalesce(
-        markup.inner_html(page, "article", greedy=True), markup.inner_html(page, "main", greedy=True), markup.inner_html(page, "body", greedy=True)
-    )
-    staged = pages.select(
-        key,
-        F.col(url).alias("__url"),
-        F.col(html),
-        F.coalesce(inner, F.lit("")).alias("__body_html"),
-        F.coalesce(markup.element_text(markup.inner_html(page, "h1")), F.lit("")).alias("title"),
-        F.coalesce(markup.published_at(page), F.lit("")).alias("__date"),
-        markup.modified_at(page).alias("__modified"),
-    )
-    aware = r"T\d{2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:?\d{2})$"
-    published = F.when(F.col("__date").rlike(aware), source_datetime(F.col("__date"))).otherwise(publication_date(F.col("__date")))
-    text = markup.article_text(body)
-    links = F.filter(markup.hrefs(body), lambda h: h.rlike(markup.ATTACHMENT_LINK))
-    attachments = F.transform(links, lambda h: urls.canonical_url(urls.resolve(F.col("__url"), h)))
-    staged = staged.withColumns({"url": urls.canonical_url(F.col("__url")), "__text": text})
-    keywords = unique_strings(F.split(F.coalesce(markup.meta_content(page, "keywords"), F.lit("")), "\\|"))
-    return staged.select(
-        key,
-        urls.short_id(F.col("url")).alias("record_id"),
-        "title",
-        F.coalesce(published, F.lit("")).alias("published_at"),
-        source_datetime(F.col("__modified")).alias("source_modified_at"),
-        "url",
-        F.when(F.col("__text") != "", F.col("__text")).when(F.col("title") != "", F.col("title")).otherwise(F.col("__url")).alias("body_text"),
-        body.alias("body_html"),
-        F.array_join(keywords, "|").alias("tags"),
-        attachments.alias("attachments"),
-        F.coalesce(F.substring_index(markup.language(page), "-", 1), F.lit("")).alias("language"),
-        F.lit(source_name).alias("source_name"),
-    )
-
-
 def document_record(pages: DataFrame, key: str = "page_id", url: str = "url", title: str | None = None) -> DataFrame:
     """Records of pages whose address is a document file."""
     direct = pages.where(urls.file_suffix(F.col(url)).isin(".pdf", ".doc", ".docx", ".xls", ".xlsx", ".csv", ".zip"))
@@ -409,43 +374,6 @@ def document_record(pages: DataFrame, key: str = "page_id", url: str = "url", ti
     )
 
 
-def detail_fields(pages: DataFrame, fields: Sequence[Mapping[str, Any]], html: str = "html") -> dict[str, Column]:
-    """Columns of configured detail fields: source ``listing``, ``metadata`` or ``page``;
-    modes ``text``, ``html``, ``html_text``, ``links``, ``json``; optional regex and group."""
-    from gleaner.functions.text import regex_pick
-
-    page = F.col(html)
-    metadata = {
-        "source_published_at": markup.published_at(page),
-        "source_modified_at": markup.modified_at(page),
-        "title": markup.title(page),
-        "language": markup.language(page),
-    }
-    out: dict[str, Column] = {}
-    for spec in fields:
-        name = str(spec.get("target") or spec.get("name"))
-        source = str(spec.get("source") or "page")
-        if source == "listing":
-            value = path_column(pages, str(spec.get("path") or name)).cast("string")
-        elif source == "metadata":
-            value = metadata.get(str(spec.get("path") or name), F.lit(None).cast("string"))
-        else:
-            element = markup.inner_html(page, str(spec.get("selector") or "body"), bool(spec.get("greedy", False)))
-            mode = str(spec.get("mode") or "text")
-            value = {
-                "html": lambda: element,
-                "html_text": lambda: markup.article_text(element),
-                "links": lambda: F.array_join(markup.hrefs(element), "|"),
-                "json": lambda: F.to_json(F.try_parse_json(element)),
-            }.get(mode, lambda: markup.element_text(element))()
-        if spec.get("regex"):
-            value = regex_pick(value, str(spec["regex"]), int(spec.get("group", 0)))
-        if spec.get("default") is not None:
-            value = F.coalesce(value, F.lit(str(spec["default"])))
-        out[name] = value
-    return out
-
-
 def schema_first(
     df: DataFrame,
     candidates: Mapping[str, Sequence[Mapping[str, Any]]],

@@ -57,12 +57,12 @@ def url_frontier(t: Tables):
             "url_path": "link.href",
             "frontier_title_patterns": ["^quarterly"],
             "allowed_domains": ["example.com"],
-            "url_pattern": "/(?P<lang>en|de)/(?P<num>[0-9]+)",
+            "url_pattern": "/(?P<lang>en|de)/(?P<num_id>[0-9]+)",
         },
         F.lit("https://example.com/"),
         F.lit("https://example.com/"),
     )
-    return found.select(F.col("_seq").alias("seq"), "canonical", "record_id", "lang", "num")
+    return found.select(F.col("_seq").alias("seq"), "canonical", "record_id", "lang", F.col("num_id").alias("num"))
 
 
 @query(
@@ -242,9 +242,9 @@ def budget_cutoff(t: Tables):
     + """ SELECT page_id, root || '/doc/' || page_id || '.pdf' AS url, CASE WHEN page_id % 3 = 0 THEN 'missing' ELSE 'attached' END AS state FROM root""",
 )
 def attach_related(t: Tables):
-    from gleaner.operators import markup
+    from gleaner.operators import articles
 
-    records = markup.article_record(markup_queries.linked(t)).select("page_id", "attachments")
+    records = articles.article_record(markup_queries.linked(t)).select("page_id", F.col("attachments.url").alias("attachments"))
     documents = t.pages.where("page_id % 3 <> 0").select(
         urls.canonical_url(urls.resolve(F.col("url"), F.concat(F.lit("/doc/"), "page_id", F.lit(".pdf")))).alias("url")
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import jsontext, markup as flat, urls
-from gleaner.operators import dom, markup, profile
+from gleaner.operators import articles, dom, markup, profile, structure
+from gleaner.operators.structure import Field, element, scope
 from gleaner.sources import pages as page_sources
 from queries.derived import CANON_STEPS
 from queries.process_queries import DOC_LINES_ORACLE, clean, doc_lines, strip
@@ -340,9 +341,9 @@ TEXT_LINES = (
 FROM linked l JOIN canon USING (page_id) JOIN root r ON r.page_id = l.page_id""",
 )
 def article_record(t: Tables):
-    return markup.article_record(linked(t)).select(
+    return articles.article_record(linked(t)).select(
         "page_id", "record_id", "title", "url", "published_at", F.sha2("body_text", 256).alias("body_sha"), "language",
-        F.array_join("attachments", "|").alias("attachments"),
+        F.array_join("attachments.url", "|").alias("attachments"),
     )
 
 
@@ -365,17 +366,170 @@ def document_records(t: Tables):
   regexp_extract({clean(UNESCAPED.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))}, '^[^ ]+') AS first_word, '/doc/' || page_id || '.pdf|#top|mailto:a@b.c|?page=' || page_id % 5 || '|../up/' || page_id || '|//cdn.example.org/a?b=x&c=2' AS links FROM linked""",
 )
 def detail_fields(t: Tables):
-    pages = linked(t)
-    columns = markup.detail_fields(
-        pages,
+    return articles.detail_records(
+        linked(t),
         [
-            {"target": "listing_url", "source": "listing", "path": "url"},
-            {"target": "title", "source": "metadata"},
-            {"target": "first_word", "selector": "h1", "regex": "^[^ ]+"},
-            {"target": "links", "selector": "article", "mode": "links", "greedy": True},
+            {"name": "listing_url", "source": "listing", "source_path": "url"},
+            {"name": "title", "source": "metadata"},
+            {"name": "first_word", "path": element("h1"), "regex": "^[^ ]+", "regex_group": 0},
+            {"name": "links", "path": element("article").descendant("a"), "attribute": "href", "multiple": True, "separator": "|"},
         ],
+    ).select("page_id", "listing_url", "title", "first_word", "links")
+
+
+def nested_pages(t: Tables):
+    """Documents as pages of nested lists, with decoys of the same tags around them."""
+    line = lambda x: F.concat(
+        F.lit('<li data-n="'), x["line_no"], F.lit('"><span><i></i><b>'), x["size"], F.lit("</b></span><ul><li><b>"), x["code"], F.lit("</b></li></ul></li>")
+    )
+    html = F.concat(
+        F.lit('<body><div class="head"><ul><li data-n=x><span><b>head</b></span></li></ul></div><div class="lines"><ul>'),
+        F.array_join(F.transform("lines", line), ""), F.lit('</ul><p>one</p><div><p>deep</p></div><p class="t">'), "doc_id", F.lit("</p></div></body>"),
+    )
+    return doc_lines(t).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("/docs/"), "doc_id").alias("url"), html.alias("html")).repartition("page_id")
+
+
+LINES = element("div", classes=["lines"]).child("ul")
+
+
+@query(
+    "select_paths",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id AS page_id, 'size' AS kind, '<b>' || size || '</b>' AS value, 'div.lines > ul > li > span b' AS css_selector FROM lines
+UNION ALL SELECT DISTINCT doc_id, 'later', CAST(doc_id AS VARCHAR), 'div.lines > ul ~ p.t' FROM lines
+UNION ALL SELECT DISTINCT doc_id, 'next', 'one', 'ul + p' FROM lines""",
+)
+def select_paths(t: Tables):
+    nodes = dom.dom_nodes(nested_pages(t), text_for=("p",), html_for=("b",))
+    out = None
+    for kind, path, mode in (
+        ("size", LINES.child("li").child("span").descendant("b"), "html"),
+        ("later", LINES.later("p", classes=["t"]), "text"),
+        ("next", element("ul").next("p"), "text"),
+    ):
+        found = structure.select(nodes, path, mode).select("page_id", F.lit(kind).alias("kind"), "value", "evidence.css_selector")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    "repeating_paths",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id AS page_id, CAST(line_no AS VARCHAR) AS n, '<span><i></i><b>' || size || '</b></span>' AS shown, CAST(size AS VARCHAR) AS first_b,
+  CAST(code AS VARCHAR) AS code, 'none' AS absent, CAST(code AS VARCHAR) AS code_text, 'div.lines > ul > li :scope > ul > li > b' AS code_css, 4 AS found FROM lines""",
+)
+def repeating_paths(t: Tables):
+    nodes = dom.dom_nodes(nested_pages(t), text_for=("b",), html_for=("span",))
+    fields = {
+        "n": Field(mode="@data-n"),
+        "shown": Field(scope().child("span"), "html"),
+        "first_b": Field(element("ul").descendant("li").descendant("b")),
+        "code": Field(scope().child("ul").child("li").child("b")),
+        "absent": Field(scope().child("b"), default="none"),
+    }
+    rows = structure.repeating(nodes, LINES.child("li"), fields)
+    note = F.try_element_at("evidence", F.lit("code"))
+    return rows.select(
+        "page_id", *fields, note["text"].alias("code_text"), note["css_selector"].alias("code_css"), F.size("evidence").alias("found")
+    )
+
+
+def decoy_tables(t: Tables):
+    """Pages with another table first; every fifth page has no table of the class."""
+    pages = doc_tables(t).withColumn("html", F.replace("html", F.lit("<body>"), F.lit("<body><table><tr><th>Doc</th></tr><tr><td>no</td></tr></table>")))
+    return pages.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("data-table"), F.lit("other"))).otherwise(F.col("html"))).repartition("page_id")
+
+
+def selected_tables(t: Tables):
+    pages = decoy_tables(t)
+    return structure.parse_tables(pages, dom.table_grid(pages), dom.dom_nodes(pages, tags=("table",), text_for=()), element("table", classes=["data-table"]), 3)
+
+
+@query(
+    "table_by_selector",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id AS page_id, CAST(item AS INT) AS row_index, 'table.data-table:0' AS table_id, '/docs/' || doc_id AS page_url, CAST(doc_id AS VARCHAR) AS "Doc",
+  CAST(size AS VARCHAR) AS "Part", CAST(code AS VARCHAR) AS column_4 FROM lines WHERE doc_id % 5 <> 0""",
+)
+def table_by_selector(t: Tables):
+    records, _ = selected_tables(t)
+    return records.select("page_id", "row_index", "table_id", "page_url", *[F.try_element_at("record", F.lit(n)).alias(n) for n in ("Doc", "Part", "column_4")])
+
+
+@query(
+    "table_preview",
+    DOC_LINES_ORACLE
+    + """ SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '0:Doc:' || doc_id || '|1:Part:' || max(CASE WHEN item = 0 THEN size END) || '|2:Part_2:' || max(CASE WHEN item = 0 THEN size END)
+  || '|3:column_4:' || max(CASE WHEN item = 0 THEN code END) END AS columns, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Doc=doc|Part=part|Part_2=part_2|column_4=column_4' END AS draft,
+  CASE WHEN doc_id % 5 = 0 THEN 'TABLE_NOT_FOUND' END AS error, false AS cut FROM lines GROUP BY doc_id""",
+)
+def table_preview(t: Tables):
+    _, said = selected_tables(t)
+    columns = F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["index"], c["header"], c["sample"])), "|")
+    draft = F.array_join(F.transform("mapping_draft", lambda m: F.concat_ws("=", m["header"], m["field"])), "|")
+    return said.select("page_id", F.coalesce(columns, F.lit("")).alias("columns"), F.coalesce(draft, F.lit("")).alias("draft"), "error", "cut")
+
+
+def article_pages(t: Tables):
+    """Documents as pages with two articles, dates in two places and a title in one of three."""
+    key = F.col("doc_id")
+    day = F.lpad((key % 28 + 1).cast("string"), 2, "0")
+    html = F.concat(
+        F.lit('<html lang="de-AT"><head><meta property="og:title" content="Shared '), key, F.lit('"><script type="application/ld+json">{"datePublished":"2021-01-01","dateModified":"2024-03-'),
+        day, F.lit('T10:00:00+02:00"}</script></head><body><a href="/out.pdf">out</a>'),
+        F.when(key % 3 == 0, F.concat(F.lit("<h1> Head "), key, F.lit(" </h1>"))).when(key % 3 == 1, F.concat(F.lit("<h1></h1><h2 itemprop=headline>Line "), key, F.lit("</h2>"))).otherwise(F.lit("")),
+        F.when(key % 2 == 0, F.concat(F.lit("<time datetime='2023-02-"), day, F.lit("'>then</time>"))).otherwise(F.lit("")),
+        F.lit('<article><div class="card"><div><p>'), F.array_join(F.transform("lines", lambda x: x["size"].cast("string")), "</p><p>"),
+        F.lit('</p></div><b data-x="'), key, F.lit('">z</b></div><a href="files/r.PDF">Report</a><a href="/d/plain.xlsx"></a><a href="/no">no</a></article><p>ads</p><article><p>two</p><a href="/two.pdf">2</a>'),
+        F.lit('</article><a rel="tag">T1</a><a rel="tag"> T1</a><meta name="keywords" content="T2"></body></html>'),
     )
-    return pages.select("page_id", *[c.alias(n) for n, c in columns.items()])
+    reply = F.concat(F.lit('{"a":{"b":"<p>x '), key, F.lit('</p>","list":["p"," q ",null]},"day":"2024-05-'), day, F.lit('T00:30:00+03:00"}'))
+    return doc_lines(t).select(key.alias("page_id"), F.concat(F.lit("https://x.org/n/"), key).alias("url"), html.alias("html"), reply.alias("response")).repartition("page_id")
+
+
+ARTICLE_ORACLE = DOC_LINES_ORACLE + """, d AS (SELECT doc_id, lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS day, string_agg(CAST(size AS VARCHAR), chr(10) || chr(10) ORDER BY item) AS body,
+  string_agg(CAST(size AS VARCHAR), '</p><p>' ORDER BY item) AS inside FROM lines GROUP BY doc_id)"""
+
+
+@query(
+    "article_nodes",
+    ARTICLE_ORACLE
+    + """ SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'Head ' WHEN 1 THEN 'Line ' ELSE 'Shared ' END || doc_id AS title,
+  CASE WHEN doc_id % 2 = 0 THEN '2023-02-' || day ELSE '2021-01-01' END AS published_at, '2024-03-' || day || 'T08:00:00Z' AS source_modified_at,
+  sha256(body || chr(10) || chr(10) || 'z' || chr(10) || chr(10) || 'Report' || chr(10) || chr(10) || 'no') AS body_sha,
+  'Report=https://x.org/n/files/r.PDF|plain.xlsx=https://x.org/d/plain.xlsx' AS attachments, 'T1|T2' AS tags, 'de' AS language FROM d""",
+)
+def article_nodes(t: Tables):
+    found = articles.article_record(article_pages(t))
+    links = F.array_join(F.transform("attachments", lambda a: F.concat_ws("=", a["title"], a["url"])), "|")
+    return found.select(
+        "page_id", "title", "published_at", "source_modified_at", F.sha2("body_text", 256).alias("body_sha"), links.alias("attachments"), "tags", "language"
+    )
+
+
+@query(
+    "detail_nodes",
+    ARTICLE_ORACLE
+    + """ SELECT doc_id AS page_id, CAST(doc_id AS VARCHAR) AS code, sha256('<div><p>' || inside || '</p></div><b data-x="' || doc_id || '">z</b>') AS card_sha,
+  'x ' || doc_id AS reply, 'p|q' AS listed, strftime(CAST('2024-05-' || day AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') || 'T21:30:00Z' AS source_published_at,
+  'Report=https://y.org/files/r.PDF|plain.xlsx=https://y.org/d/plain.xlsx|no=https://y.org/no|2=https://y.org/two.pdf' AS attachments, 'missing' AS nothing, 'fixed' AS kind FROM d""",
+)
+def detail_nodes(t: Tables):
+    found = articles.detail_records(
+        article_pages(t),
+        [
+            {"name": "code", "path": element("div", classes=["card"]).child("b"), "attribute": "data-x"},
+            {"name": "card", "path": element("article").child(classes=["card"]), "value": "html"},
+            {"name": "reply", "source": "response", "source_path": "a.b", "value": "html_text"},
+            {"name": "listed", "source": "response", "source_path": "a.list", "value": "join"},
+            {"name": "source_published_at", "source": "response", "source_path": "day"},
+            {"name": "attachments", "path": element("article").descendant("a"), "value": "links", "multiple": True},
+            {"name": "nothing", "path": element("article").child("i"), "default": "missing"},
+        ],
+        constants={"kind": "fixed"}, attachment_base="https://y.org/",
+    )
+    links = F.array_join(F.transform("attachments", lambda a: F.concat_ws("=", a["title"], a["url"])), "|")
+    return found.select("page_id", "code", F.sha2("card", 256).alias("card_sha"), "reply", "listed", "source_published_at", links.alias("attachments"), "nothing", "kind")
 
 
 @query(
