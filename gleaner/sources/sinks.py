@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,31 +115,3 @@ def upsert_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -
     """New table content: incoming rows replace rows with equal keys."""
     kept = existing.join(incoming.select(*keys), list(keys), "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True).select(*existing.columns)
-
-
-def write_jdbc(
-    df: DataFrame,
-    url: str,
-    table: str,
-    *,
-    table_columns: Sequence[str],
-    allowed_tables: Sequence[str] = (),
-    schema: str = "public",
-    mapping: Mapping[str, str] | None = None,
-    conflict_keys: Sequence[str] = (),
-    options: Mapping[str, Any] | None = None,
-) -> None:
-    """Insert, or with ``conflict_keys`` write a staging table to be swapped in.
-
-    Each task writes its own partition; the upsert reads the target by JDBC, joins
-    on the keys and writes ``<table>_staging``.
-    """
-    qualified = check_table(table, allowed_tables, schema)
-    settings = dict(options or {})
-    rows = prepare_for_table(df, table_columns, mapping)
-    if not conflict_keys:
-        rows.write.format("jdbc").options(url=url, dbtable=qualified, **settings).mode("append").save()
-        return
-    existing = df.sparkSession.read.format("jdbc").options(url=url, dbtable=qualified, **settings).load()
-    merged = upsert_rows(existing, rows, conflict_keys)
-    merged.write.format("jdbc").options(url=url, dbtable=f"{qualified}_staging", **settings).mode("overwrite").save()
