@@ -60,68 +60,29 @@ def path_values(df: DataFrame, json: str, path: str, target: str = "value") -> D
     return with_once(current, target, F.col(target), drop_null=True)
 
 
-_NODE = "array<struct<path:string,place:array<bigint>,items:array<variant>,fields:map<string,variant>>>"
-_USUAL_DEPTH = 6
-
-
-def _node(path: Column, place: Column, value: Column) -> Column:
-    """One payload value opened as an array or an object; both stay null for scalars."""
-    opened = let(
-        F.struct(value.alias("v"), F.try_variant_get(value, "$", "array<variant>").alias("items")),
-        lambda b: F.struct(
-            b["items"].alias("items"),
-            F.when(b["items"].isNull(), F.try_variant_get(b["v"], "$", "map<string,variant>")).alias("fields"),
-        ),
-    )
-    return let(
-        opened,
-        lambda o: F.struct(path.alias("path"), place.alias("place"), o["items"].alias("items"), o["fields"].alias("fields")),
-    )
-
-
-def _containers(nodes: Column) -> Column:
-    return F.filter(nodes, lambda n: n["items"].isNotNull() | n["fields"].isNotNull())
-
-
-def _below(node: Column, first_only: bool) -> Column:
-    """Objects and arrays directly inside one node, with their path and place."""
-    items = F.slice(node["items"], 1, 1) if first_only else node["items"]
-
-    def child(step: Column, position: Column, value: Column) -> Column:
-        place = F.concat(node["place"], F.array(position.cast("bigint")))
-        return _node(F.concat(node["path"], step), place, value)
-
-    from_array = F.transform(items, lambda v, i: child(F.lit("[*]"), i, v))
-    from_object = F.transform(
-        F.map_entries(node["fields"]), lambda e, i: child(F.concat(F.lit("."), e["key"]), i, e["value"])
-    )
-    return _containers(F.coalesce(from_array, from_object))
+_NESTED = """
+WITH RECURSIVE nodes({keys}, path, place, value) AS (
+  SELECT {keys}, '$', CAST(array() AS ARRAY<BIGINT>), __root FROM {{source}}
+  UNION ALL
+  SELECT {under}, path || CASE WHEN child.key IS NULL THEN '[*]' ELSE '.' || child.key END, array_append(place, CAST(child.pos AS BIGINT)), child.value
+  FROM nodes, LATERAL variant_explode(nodes.value) AS child{limit})
+SELECT {keys}, path, place, try_variant_get(value, '$', 'array<variant>') AS items FROM nodes
+"""
 
 
-def nested_arrays(df: DataFrame, json: str, keys: list[str], first_only: bool = False, max_depth: int | None = None) -> DataFrame:
+def nested_arrays(df: DataFrame, json: str, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """Every array inside the payload: its path, its place (child positions) and its items.
 
-    Levels are array columns of the same row, so nothing is shuffled or parsed
-    twice.  Without ``max_depth`` deeper levels are added until none is left.
+    A recursive query opens the values of one level after the other, whatever their depth: each payload is
+    parsed once, nothing is exchanged, and no job runs before the result is asked for.
     """
-    root = _node(F.lit("$"), F.array().cast("array<bigint>"), F.try_parse_json(F.col(json)))
-    staged = df.select(*keys, _containers(F.array(root)).alias("__level0"))
-    depth = 0
-    while True:
-        depth += 1
-        last = F.col(f"__level{depth - 1}")
-        staged = staged.withColumn(f"__level{depth}", F.flatten(F.transform(last, lambda n: _below(n, first_only))))
-        if max_depth is not None:
-            if depth >= max_depth:
-                break
-        elif depth >= _USUAL_DEPTH:
-            # One parallel aggregate; a limit would probe the partitions one by one.
-            widest = staged.agg(F.max(F.size(f"__level{depth}")).alias("n")).first()["n"]
-            if not widest or widest < 1:
-                break
-    every = F.concat(*[F.coalesce(f"__level{i}", F.array().cast(_NODE)) for i in range(depth + 1)])
-    arrays = F.filter(every, lambda n: n["items"].isNotNull())
-    return staged.select(*keys, F.explode(arrays).alias("n")).select(*keys, "n.path", "n.place", "n.items")
+    names = [f"k{i}" for i in range(len(keys))]
+    source = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.try_parse_json(F.col(json)).alias("__root"))
+    limit = "" if max_depth is None else f" WHERE size(place) < {int(max_depth)}"
+    listed = ", ".join(names)
+    text = _NESTED.format(keys=listed, under=", ".join(f"nodes.{n}" for n in names), limit=limit)
+    found = df.sparkSession.sql(text, source=source).where(F.col("items").isNotNull())
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "path", "place", "items")
 
 
 def url_of(item: Column) -> Column:
@@ -148,29 +109,38 @@ def largest_url_list(df: DataFrame, json: str, key: str, max_depth: int | None =
     return top_per_key(scored, [key], [F.col("urls").desc(), F.col("length").desc(), F.col("place")])
 
 
+def _kind(value: Column) -> Column:
+    name = F.schema_of_variant(value)
+    return (
+        F.when(name.startswith("OBJECT"), "object")
+        .when(name.startswith("ARRAY"), "array")
+        .when(name == "STRING", "string")
+        .when(name == "BOOLEAN", "boolean")
+        .when(name == "VOID", "null")
+        .otherwise("number")
+    )
+
+
 def schema_hints(df: DataFrame, json: str, key: str, max_depth: int | None = None) -> DataFrame:
-    """Per array path: length and the field kinds of its first object."""
-    arrays = nested_arrays(df, json, [key], first_only=True, max_depth=max_depth)
-    sample = F.get(F.filter("items", lambda v: F.schema_of_variant(v).startswith("OBJECT")), F.lit(0))
-    fields = F.map_entries(F.try_variant_get(sample, "$", "map<string,variant>"))
-
-    def kind(value: Column) -> Column:
-        name = F.schema_of_variant(value)
-        return (
-            F.when(name.startswith("OBJECT"), "object")
-            .when(name.startswith("ARRAY"), "array")
-            .when(name == "STRING", "string")
-            .when(name == "BOOLEAN", "boolean")
-            .when(name == "VOID", "null")
-            .otherwise("number")
-        )
-
-    shown = F.array_join(
-        F.array_sort(F.transform(fields, lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(kind(e["value"]), F.lit("null"))))), ","
+    """Per array path: length of the first array there, and the fields of all items of all arrays there.
+
+    A field with values of several kinds names them all, ``null`` only where there is no other.
+    """
+    arrays = nested_arrays(df, json, [key], max_depth=max_depth)
+    entries = F.flatten(F.transform("items", lambda v: F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.array())))
+    pairs = F.array_distinct(F.transform(entries, lambda e: F.struct(e["key"].alias("f"), F.coalesce(_kind(e["value"]), F.lit("null")).alias("kind"))))
+    # Distinct kinds of one array each, so what meets is small.
+    rows = arrays.select(key, "path", "place", F.size("items").alias("n"), pairs.alias("pairs"))
+    merged = rows.groupBy(key, "path").agg(
+        F.min_by("n", "place").alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
-    return arrays.select(
-        key,
-        F.concat("path", F.lit("[*]")).alias("json_path"),
-        F.size("items").cast("bigint").alias("length"),
-        F.coalesce(shown, F.lit("")).alias("fields"),
+
+    def shown(name: Column, all_pairs: Column) -> Column:
+        kinds = F.array_sort(F.transform(F.filter(all_pairs, lambda p: (p["f"] == name) & (p["kind"] != "null")), lambda p: p["kind"]))
+        return F.concat(name, F.lit(":"), F.when(F.size(kinds) > 0, F.array_join(kinds, "|")).otherwise("null"))
+
+    names = F.array_sort(F.array_distinct(F.transform("pairs", lambda p: p["f"])))
+    fields = F.array_join(let(F.col("pairs"), lambda every: F.transform(names, lambda f: shown(f, every))), ",")
+    return merged.select(
+        key, F.concat("path", F.lit("[*]")).alias("json_path"), F.col("n").cast("bigint").alias("length"), F.coalesce(fields, F.lit("")).alias("fields")
     )

@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Small shuffles keep their parallelism; parse stages after them are CPU-bound.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
+    # Nested payloads are opened by recursive queries: as deep and as many as they are.
+    "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

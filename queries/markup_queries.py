@@ -122,7 +122,7 @@ def content_links(t: Tables):
     + " AS value, 1::BIGINT AS count FROM pages",
 )
 def select_elements(t: Tables):
-    nodes = dom.dom_nodes(t.pages, tags=("h1",))
+    nodes = dom.dom_nodes(t.pages.repartition("page_id"), tags=("h1",))
     return markup.select_elements(nodes, markup.matches("h1"), markup.node_value(), single=True).select("page_id", "value", "count")
 
 
@@ -139,7 +139,7 @@ cards AS (SELECT page_id, n, regexp_extract(item, 'href="([^"]*)"', 1) AS url, "
 
 
 def nav_cards(t: Tables):
-    nodes = dom.dom_nodes(t.pages, tags=("li", "a"))
+    nodes = dom.dom_nodes(t.pages.repartition("page_id"), tags=("li", "a"), text_for=("li", "a"))
     link = markup.matches("a", attributes={"href": None})
     return markup.repeating_list(
         nodes,
@@ -186,7 +186,8 @@ def doc_tables(t: Tables):
         F.lit("</table></body></html>"),
     )
     lines = doc_lines(t)
-    return lines.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("/docs/"), "doc_id").alias("url"), html.alias("html"))
+    pages = lines.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("/docs/"), "doc_id").alias("url"), html.alias("html"))
+    return pages.repartition("page_id")
 
 
 @query(
@@ -249,7 +250,7 @@ def doc_cards(t: Tables):
     html = F.concat(
         F.lit('<body><ul><li class="m"><a href=/a>a</a><li class="m">b<li class="m">c</ul>'), F.array_join(F.transform("lines", card), "\n"), F.lit("</body>")
     )
-    return doc_lines(t).select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return doc_lines(t).select(F.col("doc_id").alias("page_id"), html.alias("html")).repartition("page_id")
 
 
 @query(
