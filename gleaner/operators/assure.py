@@ -239,8 +239,20 @@ def assess(checked: DataFrame, want: Expectations, counters: Mapping[str, int] |
     )
 
 
-def postconditions(df: DataFrame, checks: Mapping[str, tuple[Column, str, float]]) -> DataFrame:
-    """Named assertions over aggregates, all evaluated in one pass."""
+def _length(df: DataFrame, name: str) -> Column:
+    """Items of a list or map, characters of a text; null for anything else."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.size(F.col(name))
+    return F.char_length(name) if isinstance(kind, T.StringType) else F.lit(None).cast("int")
+
+
+def postconditions(df: DataFrame, checks: Mapping[str, tuple[Column, str, Any]]) -> DataFrame:
+    """Named assertions over aggregates, all evaluated in one pass: ``name, passed``.
+
+    Comparisons (gt, gte, lt, lte, eq, ne) are of numbers; ``equals`` is of any value, ``minItems`` of a list's size,
+    ``minLength`` of a list, map or text, and ``exists`` fails for null and anything empty.
+    """
     compare = {
         "gt": lambda a, b: a > b,
         "gte": lambda a, b: a >= b,
@@ -249,12 +261,22 @@ def postconditions(df: DataFrame, checks: Mapping[str, tuple[Column, str, float]
         "eq": lambda a, b: a == b,
         "ne": lambda a, b: a != b,
     }
-    row = df.agg(*[value.cast("double").alias(f"v{i}") for i, (value, _, _) in enumerate(checks.values())])
-    entries = [
-        F.struct(
-            F.lit(name).alias("name"),
-            F.coalesce(compare[op](F.col(f"v{i}"), F.lit(float(limit))), F.lit(False)).alias("passed"),
-        )
-        for i, (name, (_, op, limit)) in enumerate(checks.items())
-    ]
+    cast = lambda value, op: value.cast("double") if op in compare else value
+    row = df.agg(*[cast(value, op).alias(f"v{i}") for i, (value, op, _) in enumerate(checks.values())])
+    entries = []
+    for i, (name, (_, op, limit)) in enumerate(checks.items()):
+        value = F.col(f"v{i}")
+        if op in compare:
+            passed = compare[op](value, F.lit(float(limit)))
+        elif op == "equals":
+            passed = value.eqNullSafe(F.lit(limit))
+        elif op == "minItems":
+            passed = _length(row, f"v{i}") >= limit if isinstance(row.schema[f"v{i}"].dataType, T.ArrayType) else F.lit(False)
+        elif op == "minLength":
+            passed = _length(row, f"v{i}") >= limit
+        elif op == "exists":
+            passed = value.isNotNull() & F.coalesce(_length(row, f"v{i}") > 0, F.lit(True))
+        else:
+            raise ValueError(f"unknown check: {op}")
+        entries.append(F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed")))
     return row.select(F.explode(F.array(*entries)).alias("p")).select("p.*")

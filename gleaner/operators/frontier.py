@@ -12,7 +12,7 @@ from gleaner.functions import urls
 from gleaner.functions.binding import with_once
 from gleaner.functions.records import path_column
 from gleaner.functions.text import java_groups
-from gleaner.plans.ranking import running_total, top_per_key
+from gleaner.plans.ranking import running_total, running_totals, top_per_key
 from gleaner.session import pin
 
 
@@ -254,6 +254,48 @@ def lookback_window(df: DataFrame, time: str, clock: Column, days: int, zone: st
     return df.where(day.between(F.date_sub(today, days), today))
 
 
+# What a run may use up, in the order of checking, with the code of each.
+BUDGETS = {
+    "deadline": "BUDGET_DEADLINE_EXCEEDED",
+    "requests": "BUDGET_MAX_REQUESTS_EXCEEDED",
+    "bytes": "BUDGET_MAX_BYTES_EXCEEDED",
+    "pages": "BUDGET_MAX_PAGES_EXCEEDED",
+    "items": "BUDGET_MAX_ITEMS_EXCEEDED",
+}
+
+
+def budgeted(df: DataFrame, limits: Mapping[str, float], uses: Mapping[str, Column], seq: str = "_seq") -> DataFrame:
+    """Rows with what the run has used up to them (``used_…``) and ``cut``, the code of the first budget beyond its limit.
+
+    ``limits`` names budgets of ``BUDGETS``; ``uses`` gives a row's share of each, negative and null ones as
+    none.  The deadline's use is the time since the start at that row, which ascends with ``seq``.  All totals
+    are sums of one range pass.  A total never falls, so a row is within the budgets just when its own ``cut`` is null.
+    """
+    unknown = (set(limits) | set(uses)) - set(BUDGETS)
+    if unknown or set(limits) - set(uses):
+        raise ValueError(f"no such budget, or nothing that uses it: {sorted(unknown or set(limits) - set(uses))}")
+    share = {f"used_{n}": F.greatest(F.coalesce(u, F.lit(0)), F.lit(0)) for n, u in uses.items() if n != "deadline"}
+    rows = running_totals(df, [seq], share) if share else df
+    if "deadline" in uses:
+        rows = rows.withColumn("used_deadline", uses["deadline"])
+    cut = F.lit(None).cast("string")
+    for name in reversed([n for n in BUDGETS if n in limits]):
+        cut = F.when(F.col(f"used_{name}") > F.lit(limits[name]), BUDGETS[name]).otherwise(cut)
+    return rows.withColumn("cut", cut)
+
+
+def budget_report(rows: DataFrame, seq: str = "_seq") -> DataFrame:
+    """One row about ``budgeted`` rows: why and where the run was cut, rows kept, and what those used."""
+    used = [c for c in rows.columns if c.startswith("used_")]
+    within = F.col("cut").isNull()
+    return rows.agg(
+        F.min_by("cut", F.when(~within, F.col(seq))).alias("reason"),
+        F.min(F.when(~within, F.col(seq))).alias("cut_at"),
+        F.count_if(within).alias("kept"),
+        *[F.max(F.when(within, F.col(c))).alias(c) for c in used],
+    )
+
+
 def budget_cutoff(
     df: DataFrame,
     seq: str = "_seq",

@@ -223,3 +223,25 @@ def merge_branches(*branches: DataFrame) -> DataFrame:
     for other in branches[1:]:
         merged = merged.unionByName(other, allowMissingColumns=True)
     return merged
+
+
+def merge_fields(branches: Sequence[DataFrame], keys: Sequence[str], seq: str | None = None) -> DataFrame:
+    """One row a key with the fields of all branches; of a field that several have, the last branch's.
+
+    A branch has a field if it has the column, so its null replaces an earlier value; keys that only some
+    branches have keep those branches' fields.  Within a branch the last row by ``seq`` counts, without one the
+    greatest value.  All fields fold in one aggregation with partial results; null keys are equal.
+    """
+    owners = {c: [n for n, b in enumerate(branches) if c in b.columns] for b in branches for c in b.columns}
+    fields = [c for c in owners if c not in keys and c != seq]
+    merged = None
+    for n, branch in enumerate(branches):
+        marked = branch.withColumn("__edge", F.lit(n))
+        merged = marked if merged is None else merged.unionByName(marked, allowMissingColumns=True)
+    parts = []
+    for i, c in enumerate(fields):
+        value = F.struct(F.col(f"`{c}`").alias("v"))
+        place = F.struct(F.col("__edge"), F.col(seq) if seq else value)
+        parts.append(F.max_by(value, F.when(F.col("__edge").isin(*owners[c]), place)).alias(f"__f{i}"))
+    rows = merged.groupBy(*keys).agg(*(parts or [F.count("*").alias("__n")]))
+    return rows.select(*keys, *[F.col(f"__f{i}")["v"].alias(c) for i, c in enumerate(fields)])

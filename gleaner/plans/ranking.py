@@ -6,7 +6,7 @@ key holding a third of all rows sends at most ``k`` rows per map task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,34 +37,39 @@ def running_total(
     name: str,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Global inclusive running sum in ``order`` without a single-task window.
+    """Global inclusive running sum in ``order`` without a single-task window."""
+    return running_totals(df, order, {name: measure}, partitions)
+
+
+def running_totals(df: DataFrame, order: Sequence[str], measures: Mapping[str, Column], partitions: int | None = None) -> DataFrame:
+    """Global inclusive running sums in ``order``, all in one pass.
 
     Rows are range-partitioned and pinned; every range is summed on its own, the
-    few per-range totals are prefixed, and each range adds its offset.
+    few per-range totals are prefixed, and each range adds its offsets.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = list(measures)
     ranged = pin(
-        df.withColumn("__measure", measure)
+        df.withColumns({f"__measure{i}": m for i, m in enumerate(measures.values())})
         .repartitionByRange(n, *[F.col(c) for c in order])
         .withColumn("__range", F.spark_partition_id())
     )
-    totals = ranged.groupBy("__range").agg(F.sum("__measure").alias("__total"))
+    count = range(len(names))
+    totals = ranged.groupBy("__range").agg(*[F.sum(f"__measure{i}").alias(f"__total{i}") for i in count])
     # One row per range (at most ``n``), so this window and broadcast are bounded.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset")
-    )
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__total{i}").over(before), F.lit(0)).alias(f"__offset{i}") for i in count])
     inside = (
         Window.partitionBy("__range")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        ranged.withColumn("__inside", F.sum("__measure").over(inside))
+        ranged.withColumns({f"__inside{i}": F.sum(f"__measure{i}").over(inside) for i in count})
         .join(F.broadcast(offsets), "__range")
-        .withColumn(name, F.col("__inside") + F.col("__offset"))
-        .drop("__measure", "__range", "__inside", "__offset")
+        .withColumns({names[i]: F.col(f"__inside{i}") + F.col(f"__offset{i}") for i in count})
+        .drop("__range", *[f"__{part}{i}" for part in ("measure", "inside", "offset") for i in count])
     )
 
 

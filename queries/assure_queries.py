@@ -173,3 +173,28 @@ def postconditions(t: Tables):
             "customers": (F.countDistinct("o_custkey"), "ne", 0),
         },
     )
+
+
+@query(
+    "postcondition_kinds",
+    """
+WITH a AS (SELECT count(DISTINCT lang) AS langs, max(length(text)) AS longest, min(lang) AS first, count(*) FILTER (lang = 'none') AS none FROM documents)
+SELECT unnest(['langs', 'many', 'long', 'text', 'there', 'nothing', 'first', 'no_list']) AS name,
+  unnest([langs >= 2, langs >= 50, longest >= 100, longest >= 10000000, true, false, true, false]) AS passed FROM a
+""",
+)
+def postcondition_kinds(t: Tables):
+    longest = F.max_by("text", F.char_length("text"))
+    return assure.postconditions(
+        t.documents,
+        {
+            "langs": (F.collect_set("lang"), "minItems", 2),
+            "many": (F.collect_set("lang"), "minItems", 50),
+            "long": (longest, "minLength", 100),
+            "text": (longest, "minLength", 10_000_000),
+            "there": (F.min("lang"), "exists", None),
+            "nothing": (F.max(F.when(F.col("lang") == "none", F.col("lang"))), "exists", None),
+            "first": (F.count(F.lit(1)) > 0, "equals", True),
+            "no_list": (F.max("doc_id"), "minItems", 1),
+        },
+    )

@@ -266,3 +266,48 @@ def attach_payload(t: Tables):
     records = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("title"), "o_custkey")
     out = frontier.attach_payload(records, payloads, F.concat(F.lit("/api/"), "o_custkey"), "related", ["^1-URG"])
     return out.select("o_orderkey", "related", "related_error")
+
+
+BUDGET_ORACLE = """
+WITH u AS (SELECT doc_id, sum(1 + doc_id % 3) OVER w AS requests, sum(greatest(coalesce(n_chars, 0), 0)) OVER w AS bytes, sum(doc_id % 5) OVER w AS items,
+  doc_id * 0.5::DOUBLE AS elapsed FROM documents WINDOW w AS (ORDER BY doc_id)),
+b AS (SELECT doc_id, CAST(requests AS BIGINT) AS used_requests, CAST(bytes AS BIGINT) AS used_bytes, CAST(items AS BIGINT) AS used_items,
+  CASE WHEN elapsed > 450 THEN 'BUDGET_DEADLINE_EXCEEDED' WHEN requests > 1700 THEN 'BUDGET_MAX_REQUESTS_EXCEEDED' WHEN bytes > 1000000 THEN 'BUDGET_MAX_BYTES_EXCEEDED'
+  WHEN items > 300 THEN 'BUDGET_MAX_ITEMS_EXCEEDED' END AS cut FROM u)
+"""
+
+
+def spent(t: Tables):
+    key = F.col("doc_id")
+    limits = {"deadline": 450, "requests": 1700, "bytes": 1_000_000, "items": 300}
+    uses = {"requests": 1 + key % 3, "bytes": F.col("n_chars"), "items": key % 5, "deadline": key * F.lit(0.5)}
+    return frontier.budgeted(t.documents.select("doc_id", "n_chars"), limits, uses, "doc_id")
+
+
+@query("budget_use", BUDGET_ORACLE + " SELECT doc_id, used_requests, used_bytes, used_items, cut FROM b")
+def budget_use(t: Tables):
+    return spent(t).select("doc_id", "used_requests", "used_bytes", "used_items", "cut")
+
+
+@query(
+    "budget_report",
+    BUDGET_ORACLE
+    + """ SELECT arg_min(cut, doc_id) FILTER (cut IS NOT NULL) AS reason, min(doc_id) FILTER (cut IS NOT NULL) AS cut_at, count(*) FILTER (cut IS NULL) AS kept,
+  max(used_requests) FILTER (cut IS NULL) AS used_requests, max(used_bytes) FILTER (cut IS NULL) AS used_bytes, max(used_items) FILTER (cut IS NULL) AS used_items FROM b""",
+)
+def budget_report(t: Tables):
+    return frontier.budget_report(spent(t), "doc_id").drop("used_deadline")
+
+
+@query(
+    "detail_order_ranked",
+    """SELECT doc_id, row_number() OVER (ORDER BY published_at DESC, record_id DESC) AS place FROM (
+  SELECT doc_id, coalesce(lang, '') AS published_at, CAST(doc_id AS VARCHAR) AS record_id FROM documents)""",
+)
+def detail_order_ranked(t: Tables):
+    """Result order of a crawl, read back as places."""
+    from gleaner.plans.ranking import running_total
+
+    rows = t.documents.select("doc_id", F.col("lang").alias("published_at"), F.col("doc_id").cast("string").alias("record_id"))
+    ordered = frontier.detail_order(rows).withColumn("at", F.monotonically_increasing_id())
+    return running_total(ordered, ["at"], F.lit(1), "place").select("doc_id", "place")

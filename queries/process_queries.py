@@ -9,7 +9,7 @@ from gleaner.functions import dates, numbers, text
 from gleaner.functions.formula import float_divide, formula, signed_modulo
 from gleaner.functions.records import short_identity
 from gleaner.operators import collection, dedupe, rules
-from gleaner.operators.process import apply_operations, map_fields
+from gleaner.operators.process import apply_operations, map_fields, merge_fields
 from queries.derived import RAW, raw_strings
 from queries.registry import Tables, query
 
@@ -598,3 +598,23 @@ def field_names(t: Tables):
         t.part.select(F.concat(F.lit("Срок, мес. ("), F.col("p_size"), F.lit(")")).alias("header"))
     )
     return headers.distinct().select("header", text.field_name(F.col("header")).alias("field"))
+
+
+@query(
+    "branch_merge",
+    """
+WITH last AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS balance, arg_max(o_orderstatus, o_orderkey) AS state FROM orders GROUP BY o_custkey),
+keys AS (SELECT c_custkey AS k FROM customer UNION SELECT k FROM last)
+SELECT keys.k, c.c_name AS name, CASE WHEN c.c_custkey % 3 = 0 THEN CASE WHEN c.c_custkey % 2 = 0 THEN 'b-' || c.c_custkey END ELSE c.c_mktsegment END AS segment,
+  CASE WHEN c.c_custkey % 3 = 0 THEN 'seen' END AS extra, CASE WHEN last.k IS NULL THEN c.c_acctbal ELSE last.balance END AS balance, last.state
+FROM keys LEFT JOIN customer c ON c.c_custkey = keys.k LEFT JOIN last ON last.k = keys.k
+""",
+)
+def branch_merge(t: Tables):
+    key = F.col("c_custkey")
+    base = t.customer.select(key.alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.lit(0).cast("bigint").alias("seq"))
+    some = t.customer.where(key % 3 == 0).select(
+        key.alias("k"), F.when(key % 2 == 0, F.concat(F.lit("b-"), key)).alias("segment"), F.lit("seen").alias("extra"), F.lit(0).cast("bigint").alias("seq")
+    )
+    orders = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("balance"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("seq"))
+    return merge_fields([base, some, orders], ["k"], "seq")
