@@ -67,18 +67,17 @@ def upsert_runs(spark, folder: str, count: int = 10) -> float:
 
 
 def keyset_walk(spark, folder: str, size: int = 500, pages: int = 20) -> float:
-    """Twenty pages of the history view; the view is computed once and kept on disk."""
+    """Twenty pages of the history view from its timeline; the timeline is built once before."""
     from queries.registry import Tables
     from queries.view_queries import tables
     from gleaner.operators import views
+    from gleaner.sources import timeline
 
     view = views.history_view(*tables(Tables(spark, folder))).select("time", "stable_id", "natural_key", "version_number")
-    place = tempfile.mkdtemp(prefix="spark-") + "/history"
-    view.write.parquet(place)
-    stored = spark.read.parquet(place)
+    line = timeline.build(view, tempfile.mkdtemp(prefix="spark-") + "/history")
     started, key = time.perf_counter(), None
     for _ in range(pages):
-        page = views.read_page(stored, size, key)
+        page = line.page(size, key)
         key = page.next_key
         if key is None:
             break

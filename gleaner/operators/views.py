@@ -116,11 +116,12 @@ def at_second(df: DataFrame, moment: str, time: str = "time") -> DataFrame:
 
 @dataclass(frozen=True)
 class PageKey:
-    """Resume point of a page: plain sort key plus the filters it belongs to."""
+    """Resume point of a page: plain sort key plus the filters it belongs to, and the number of rows if known."""
 
     time: str | None
     stable_id: str
     context: tuple[tuple[str, Any], ...] = ()
+    total: int | None = None
 
 
 @dataclass(frozen=True)

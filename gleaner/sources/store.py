@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from gleaner.context import merge_review_policy
 from gleaner.operators import dataset, review, views
 from gleaner.plans.ranking import top_per_key
+from gleaner.sources import timeline
 
 RECORDS = (
     "natural_key string, current_version bigint, last_version bigint, data string, data_hash string, "
@@ -253,3 +254,13 @@ class DatasetStore:
         """Content of the newest committed run; empty when that run observed nothing."""
         last = self.last_commit("run")
         return self.history(run_id=last["run_id"] if last else "", **options)
+
+    def timeline(self, view: str = "current", time_basis: str = "observed_at", files: int | None = None, **options: Any) -> timeline.Timeline:
+        """Pages of a view (``current`` or ``history``) as of the last commit; built when first asked for."""
+        last = self.last_commit()
+        frame = getattr(self, view)(time_basis=time_basis, **options)
+        named = "-".join(f"{k}={v}" for k, v in sorted(options.items()))
+        place = f"{self.path}/timeline/{view}-{time_basis}{'-' + uuid.uuid5(uuid.NAMESPACE_OID, named).hex[:12] if named else ''}/{last['folder'] if last else 'none'}"
+        if timeline.exists(self.spark, place):
+            return timeline.Timeline(self.spark, place, timeline.shape(frame))
+        return timeline.build(frame, place, files)

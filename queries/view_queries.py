@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.operators import dedupe, views
+from gleaner.session import ensure_checkpoint_dir
+from gleaner.sources import timeline
 from queries import derived
 from queries.derived import STATE
 from queries.registry import Tables, query
@@ -128,6 +132,37 @@ def keyset_page_2(t: Tables):
     return views.keyset_rows(current(t, "source_published_at"), 101, after).select("stable_id", text("time"))
 
 
+def timed(t: Tables):
+    """The current view as a timeline, in the folder that the cluster shares."""
+    place = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/timeline-{uuid.uuid4().hex}"
+    return timeline.build(current(t, "source_published_at").select("stable_id", "time", "natural_key"), place)
+
+
+@query(
+    "timeline_page_2",
+    STATE
+    + LATEST
+    + PAGED
+    + """ SELECT stable_id, CAST(t AS VARCHAR) AS time FROM keyed WHERE null_rank > 0 OR t < TIMESTAMP '2024-01-29 12:00:00'
+  OR (t = TIMESTAMP '2024-01-29 12:00:00' AND stable_id < 'x') ORDER BY null_rank, t DESC, stable_id DESC LIMIT 101""",
+)
+def timeline_page_2(t: Tables):
+    return timed(t).page_rows(101, views.PageKey("2024-01-29T12:00:00", "x")).select("stable_id", text("time"))
+
+
+@query(
+    "timeline_files",
+    STATE
+    + LATEST
+    + PAGED
+    + """ SELECT null_rank > 0 AS undated, count(*) AS rows, CAST(min(t) AS VARCHAR) AS first, CAST(max(t) AS VARCHAR) AS last FROM keyed GROUP BY null_rank""",
+)
+def timeline_files(t: Tables):
+    """What the list of files says of the whole view."""
+    said = timed(t).files().groupBy("undated").agg(F.sum("rows").alias("rows"), F.min("first_time").alias("f"), F.max("last_time").alias("l"))
+    return said.select("undated", "rows", text("f").alias("first"), text("l").alias("last"))
+
+
 @query(
     "record_item",
     STATE
