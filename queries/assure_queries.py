@@ -198,3 +198,23 @@ def postcondition_kinds(t: Tables):
             "no_list": (F.max("doc_id"), "minItems", 1),
         },
     )
+
+
+@query(
+    "ratio_checks",
+    """
+SELECT part, array_to_string(list_sort(list_filter([CASE WHEN n > 0 AND ok / n < 0.9 THEN 'DETAIL_COVERAGE_FAILED' END,
+  CASE WHEN parsed / documents < 0.75 THEN 'DOCUMENT_PARSE_INCOMPLETE' END], lambda x: x IS NOT NULL)), '|') AS codes, n AS records
+FROM (VALUES ('good', 95, 10, 8), ('few', 50, 10, 8), ('unread', 95, 10, 7), ('both', 10, 10, 1)) v(part, percent, documents, parsed),
+  LATERAL (SELECT count(*) AS n, count(*) * percent // 100 AS ok FROM orders) x
+""",
+)
+def ratio_checks(t: Tables):
+    total, out = t.orders.count(), None
+    checked = assure.with_errors(t.orders.select(F.col("o_orderkey").alias("_seq")), [])
+    want = assure.Expectations(detail_ratio=0.9, document_ratio=0.75)
+    for part, percent, documents, parsed in (("good", 95, 10, 8), ("few", 50, 10, 8), ("unread", 95, 10, 7), ("both", 10, 10, 1)):
+        counters = {"discovered": total, "succeeded": total * percent // 100, "documents_discovered": documents, "documents_parsed": parsed}
+        row = assure.assess(checked, want, counters).select(F.lit(part).alias("part"), "codes", "records")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -273,3 +273,37 @@ def fetch_attempts(t: Tables):
         F.col("doc_id").alias("url"), F.concat(F.lit("h"), F.col("doc_id") % 50).alias("domain"), attempts.alias("attempts")
     )
     return ops.fetch_rollup(fetches)
+
+
+def streamed(t: Tables, job, mode: str = "append"):
+    """Run a job over the events as a stream until all is read; its output as a table in the shared folder."""
+    import uuid
+
+    from gleaner.session import ensure_checkpoint_dir
+
+    place = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    out = job(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    out.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{place}/rows")
+
+
+@query("stream_unique", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS run_id, event_type AS natural_key FROM events")
+def stream_unique(t: Tables):
+    from gleaner.streaming import jobs
+
+    named = lambda s: s.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("natural_key"), F.col("ts").alias("observed_at"))
+    return streamed(t, lambda s: jobs.unique_observations(named(s))).select("run_id", "natural_key")
+
+
+@query(
+    "stream_rate_limit",
+    """SELECT event_type, CAST(minute AS VARCHAR) AS minute, least(n, 2) AS accepted, greatest(n - 2, 0) AS rejected FROM (
+  SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL) WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE""",
+)
+def stream_rate_limit(t: Tables):
+    """Minutes that the watermark has closed."""
+    from gleaner.streaming import jobs
+
+    out = streamed(t, lambda s: jobs.requests_per_minute(s, 2, token="event_type"))
+    return out.select("event_type", F.col("bucket_start").cast("string").alias("minute"), "accepted", "rejected")

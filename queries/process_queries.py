@@ -618,3 +618,43 @@ def branch_merge(t: Tables):
     )
     orders = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("balance"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("seq"))
     return merge_fields([base, some, orders], ["k"], "seq")
+
+
+@query(
+    "process_provenance",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'feed' END AS source, 'process@7' AS revision FROM orders",
+)
+def process_provenance(t: Tables):
+    from gleaner.operators.process import with_process_provenance
+
+    known = F.struct(F.when(F.col("o_orderkey") % 2 == 0, "feed").alias("source"))
+    rows = with_process_provenance(t.orders.withColumn("_provenance", known), "process@7")
+    return rows.select("o_orderkey", F.col("_provenance.source").alias("source"), F.col("_provenance.process.transform_revision").alias("revision"))
+
+
+@query(
+    "dedupe_text_keys",
+    """SELECT min(o_orderkey) AS o_orderkey, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END, '') || '|' || o_orderpriority AS k FROM orders GROUP BY k""",
+)
+def dedupe_text_keys(t: Tables):
+    """Extracted records: the joined text of the key fields, where null and empty are one."""
+    from gleaner.operators.dedupe import keep_first_text
+
+    status = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus")).when(F.col("o_orderkey") % 8 > 0, "")
+    rows = t.orders.select("o_orderkey", F.col("o_orderkey").alias("_seq"), status.alias("status"), "o_orderpriority")
+    kept = keep_first_text(rows, ["status", "o_orderpriority"])
+    return kept.select("o_orderkey", F.concat_ws("|", F.coalesce("status", F.lit("")), "o_orderpriority").alias("k"))
+
+
+@query(
+    "validity_moments",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR AS VARCHAR)
+  WHEN 1 THEN CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 7 HOUR AS VARCHAR) END AS moment FROM orders""",
+)
+def validity_moments(t: Tables):
+    """Texts without a zone are UTC."""
+    from gleaner.functions.dates import utc_timestamp
+
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(day, F.lit("T10:00:00"))).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("T10:00:00+03:00"))).otherwise("soon")
+    return t.orders.select("o_orderkey", utc_timestamp(text).cast("string").alias("moment"))

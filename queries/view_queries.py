@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import dedupe, views
+from gleaner.operators import dataset, dedupe, review, views
 from gleaner.session import ensure_checkpoint_dir
 from gleaner.sources import timeline
 from queries import derived
@@ -280,3 +280,49 @@ def project_scope(t: Tables):
 def top_k_runs(t: Tables):
     newest = dedupe.latest(derived.runs(t), [F.col("created_at").desc(), F.col("run_id").desc()], 200)
     return newest.select("run_id", text("created_at"))
+
+
+@query("approved_export", STATE + " SELECT natural_key, data FROM records WHERE status = 'ACTIVE' AND review_status = 'APPROVED'")
+def approved_export(t: Tables):
+    records, _, _ = tables(t)
+    return views.approved_export(records).select("natural_key", "data")
+
+
+@query("clear_dataset", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '2-HIGH'")
+def clear_dataset(t: Tables):
+    named = t.orders.withColumn("dataset_id", F.col("o_orderpriority"))
+    return review.clear_dataset(named, "2-HIGH").select("o_orderkey", "o_orderpriority")
+
+
+@query(
+    "output_preflight",
+    """SELECT unnest(['ASSESSMENT_BLOCKED', 'MAPPING_REQUIRED', 'MINIMUM_EXPECTED_RECORDS']) AS code, n FROM (SELECT count(*) AS n FROM orders)""",
+)
+def output_preflight(t: Tables):
+    total = t.orders.count()
+    codes = dataset.preflight(t.orders, business_records=False, commit_allowed=False, minimum=total + 1)
+    return t.orders.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(c) for c in codes])).alias("code"), "n")
+
+
+@query(
+    "store_two_runs",
+    """SELECT 'r1' AS run_id, count(*) AS created, 0::BIGINT AS updated, 0::BIGINT AS unchanged FROM customer
+UNION ALL SELECT 'r2', count(*) FILTER (c_custkey % 5 = 0), count(*) FILTER (c_custkey % 3 = 0 AND c_custkey % 5 > 0), count(*) FILTER (c_custkey % 3 > 0 AND c_custkey % 5 > 0) FROM customer WHERE c_custkey % 7 > 0""".replace(
+        "SELECT 'r1' AS run_id, count(*) AS created", "SELECT 'r1' AS run_id, count(*) FILTER (c_custkey % 5 > 0) AS created"
+    ),
+)
+def store_two_runs(t: Tables):
+    """Two runs and a repeated one committed to a store in the shared folder."""
+    from gleaner.sources.store import DatasetStore
+
+    store = DatasetStore(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/store-{uuid.uuid4().hex}", 4)
+    key = F.col("c_custkey")
+
+    def rows(run: int):
+        value = F.when((key % 3 == 0) & F.lit(run == 2), "new").otherwise("old")
+        chosen = t.customer.where(key % 5 > 0) if run == 1 else t.customer.where(key % 7 > 0)
+        return chosen.select(key.cast("string").alias("natural_key"), F.to_json(F.struct(value.alias("v"))).alias("data"), F.sha2(value, 256).alias("data_hash"))
+
+    for run in (1, 2, 2):
+        store.commit(rows(run), f"r{run}", f"2024-01-0{run}T00:00:00", {})
+    return store.dataset_runs().select("run_id", "created", "updated", "unchanged")
