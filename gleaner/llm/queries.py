@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import balltree, bpe, decontaminate, hmm, identifiers, jaccard, langid, merkle, outliers, quality, substring, toxicity, training_order
 from gleaner.llm.scan import prepare, remainder, table
-from gleaner.llm.sql import LEXICAL, MERKLE
+from gleaner.llm.sql import LEXICAL, MERKLE, NEAR_COPIES, REPEATS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op11_lexical_search": LEXICAL, "op12_merkle_manifest": MERKLE}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": NEAR_COPIES,
+    "op7_substring_dedup": REPEATS,
+    "op11_lexical_search": LEXICAL,
+    "op12_merkle_manifest": MERKLE,
+}
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 

@@ -81,3 +81,29 @@ ranked AS (
   FROM scores JOIN sizes USING (doc) WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 50
 """
+
+REPEATS = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT d, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+windows AS (SELECT d, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT d, i + k AS p FROM windows JOIN twice USING (h), range(35) r(k)),
+words AS (SELECT d, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs),
+kept AS (SELECT d, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (d, p) GROUP BY d)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (d)
+"""
+
+NEAR_COPIES = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT d, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT d, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT d, count(*) AS n FROM shingles GROUP BY d),
+met AS (SELECT x.d AS a, y.d AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.d < y.d GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes p ON p.d = a JOIN sizes q ON q.d = b WHERE 100 * met.n >= 80 * (p.n + q.n - met.n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(d, r) AS (SELECT d, d FROM docs UNION SELECT reach.d, ways.b FROM reach JOIN ways ON reach.r = ways.a),
+least AS (SELECT reach.d, min(doc_id) AS component_id FROM reach JOIN docs ON docs.d = reach.r GROUP BY reach.d)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM docs JOIN least USING (d) LEFT JOIN sizes USING (d)
+"""
