@@ -64,12 +64,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 class Timeline:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self._list = spark.read.schema(FILES).parquet(f"{self.path}/files")
 
     def files(self, lower: str | None = None, upper: str | None = None) -> DataFrame:
         """Files with rows in a half-open range; rows without a time are in no range."""
         if lower and upper and upper <= lower:
             raise ValueError("the end of a range must be after its start")
-        found = self.spark.read.schema(FILES).parquet(f"{self.path}/files")
+        found = self._list
         if lower:
             found = found.where(F.col("last_time") >= F.lit(lower).cast("timestamp_ntz"))
         if upper:

@@ -72,3 +72,14 @@ def test_detail_fields(spark):
         "2024-01-02T00:04:00Z", "5", "17", "x;y  z".replace("  ", " "), "L", "k", "L",
     )
     assert (empty["card"], empty["attachments"], empty["parts"], empty["tables"], empty["n"], empty["url"]) == (None, [], [], None, "5", "https://x.org/p1")
+
+
+def test_relative_attachments_are_resolved(spark):
+    from gleaner.operators import frontier
+
+    links = [f"f{i}.pdf" for i in range(30)] + ["/top.xlsx", "https://y.org/a.docx?utm_source=1", "no.html"]
+    records = spark.createDataFrame([(1, "https://x.org/d/p", links), (2, "https://x.org/e/", ["f1.pdf"])], "page_id long, page string, attachments array<string>")
+    known = ["https://x.org/d/f29.pdf", "https://x.org/top.xlsx", "https://y.org/a.docx"]
+    attached, misses = frontier.attach_related(records, spark.createDataFrame([(u, "text") for u in known], "url string, text string"), page="page")
+    assert sorted(r["url"] for r in attached.collect()) == sorted(known)
+    assert misses.count() == 30 and misses.where("page_id = 2").first()["url"] == "https://x.org/e/f1.pdf"
