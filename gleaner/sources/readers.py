@@ -75,6 +75,8 @@ def _csv_records(separator: str | None):
 
     @F.pandas_udf("array<map<string,string>>")
     def parse(texts: pd.Series) -> pd.Series:
+        csv.field_size_limit((1 << 31) - 1)  # a field may be as long as its document
+
         def records(text: str | None) -> list[dict[str, str]]:
             text = (text or "").lstrip("\ufeff")
             rows = csv.reader(io.StringIO(text, newline=""), delimiter=separator or sniff_separator(text))

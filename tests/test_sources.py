@@ -87,3 +87,10 @@ def test_policy_levels():
 def test_cron_fields(spark):
     df = spark.createDataFrame([("1-10/3,50",), ("*/30",), ("7",)], "f string")
     assert [r[0] for r in df.select(ops.cron_values(F.col("f"), 0, 59)).collect()] == [[1, 4, 7, 10, 50], [0, 30], [7]]
+
+
+def test_csv_fields_of_any_length(spark):
+    long = "x," * 100_000
+    df = spark.createDataFrame([(1, f'a,b\n1,"{long}"\n2,{"y" * 300_000}\n')], "id int, text string")
+    rows = readers.parse_csv_column(df, "text", "a int, b string", ",").orderBy("row_index").select("record").collect()
+    assert [(r["record"]["a"], r["record"]["b"]) for r in rows] == [(1, long), (2, "y" * 300_000)]
