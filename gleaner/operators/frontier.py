@@ -168,19 +168,27 @@ def advance_checkpoint(checkpoint: DataFrame, visited: DataFrame, url: str = "ur
     return checkpoint.select(url).unionByName(visited.select(url)).distinct()
 
 
-def repeated_pages(pages: DataFrame, signature: Column, seq: str) -> DataFrame:
-    """Pages whose canonical address or text signature was seen before.
+def _first_seen(rows: DataFrame, value: Column, seq: str, name: str) -> DataFrame:
+    """The first place of each row's value; a null value is its own first.
 
-    First positions are pre-aggregated per signature, so a group of copies of any
-    size is only ever a minimum.
+    First places are pre-aggregated, so a group of copies of any size is only ever a minimum.
     """
-    marked = pages.withColumn("__signature", signature)
-    # Pages without a signature repeat nothing; they stay out of the join, where one key
+    marked = rows.withColumn("__signature", value)
+    # Rows without a value repeat nothing; they stay out of the join, where one key
     # would take them all.
     signed, unsigned = marked.where(F.col("__signature").isNotNull()), marked.where(F.col("__signature").isNull())
-    firsts = signed.groupBy("__signature").agg(F.min(seq).alias("first_seen"))
-    joined = signed.join(firsts, "__signature").unionByName(unsigned.withColumn("first_seen", F.col(seq)))
-    return joined.withColumn("repeated", F.col(seq) > F.col("first_seen")).drop("__signature")
+    firsts = signed.groupBy("__signature").agg(F.min(seq).alias(name))
+    return signed.join(firsts, "__signature").unionByName(unsigned.withColumn(name, F.col(seq))).drop("__signature")
+
+
+def repeated_pages(pages: DataFrame, signature: Column, seq: str, address: Column | None = None) -> DataFrame:
+    """Pages whose text signature, or canonical ``address`` if given, was seen before."""
+    found = _first_seen(pages, signature, seq, "first_seen")
+    repeated = F.col(seq) > F.col("first_seen")
+    if address is not None:
+        found = _first_seen(found, urls.canonical_url(address), seq, "first_address")
+        repeated = repeated | (F.col(seq) > F.col("first_address"))
+    return found.withColumn("repeated", repeated)
 
 
 def reconciliation(outcomes: DataFrame, status: str = "status") -> DataFrame:

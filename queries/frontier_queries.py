@@ -311,3 +311,18 @@ def detail_order_ranked(t: Tables):
     rows = t.documents.select("doc_id", F.col("lang").alias("published_at"), F.col("doc_id").cast("string").alias("record_id"))
     ordered = frontier.detail_order(rows).withColumn("at", F.monotonically_increasing_id())
     return running_total(ordered, ["at"], F.lit(1), "place").select("doc_id", "place")
+
+
+@query(
+    "repeated_addresses",
+    CANON
+    + """, p AS (SELECT page_id * 4 + v AS seq, page_id, v, canonical FROM canon),
+f AS (SELECT *, min(seq) OVER (PARTITION BY canonical) AS first_address, CASE WHEN v < 2 THEN min(seq) OVER (PARTITION BY CASE WHEN v < 2 THEN page_id % 50 END, v < 2) ELSE seq END AS first_seen FROM p)
+SELECT seq, first_seen, first_address, seq > first_seen OR seq > first_address AS repeated FROM f""",
+)
+def repeated_addresses(t: Tables):
+    """Pages seen before by their canonical address or their text; some have no text."""
+    pid = F.col("page_id")
+    pages = url_table(t).select((pid * 4 + F.col("v")).alias("seq"), "page_id", "url", F.when(F.col("v") < 2, pid % 50).alias("text"))
+    found = frontier.repeated_pages(pages, F.col("text"), "seq", F.col("url"))
+    return found.select("seq", "first_seen", "first_address", "repeated")
