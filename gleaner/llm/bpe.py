@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -52,7 +53,11 @@ class Vocabulary:
                 self.heads[token] = (*head[:-1], (parts[0], rank), (token, NEVER))
                 self.tails[token] = (*tail[:-1], (parts[1], rank), (token, NEVER))
             # else no merges lead to this token: it only ever stands for a whole piece
-        self.built = {t: ranks[t] for t in self.heads}
+        # Finds the tokens that end at each byte, the longest first.
+        self.endings = ahocorasick.Automaton()
+        for token in self.heads:
+            self.endings.add_word(token.decode("latin-1"), (ranks[token], len(token)))
+        self.endings.make_automaton()
         self.pairs: dict[int, bool] = {}
 
     def merge(self, data: bytes, below: int) -> list[bytes]:
@@ -95,28 +100,29 @@ class Prefixes:
 
     def _fill(self, to: int) -> None:
         """Extend ``last`` to the prefix of length ``to``: longest token first, one is valid."""
-        data, last, vocabulary = self.data, self.last, self.vocabulary
-        rank_of, tokens, pairs, longest = vocabulary.built.get, vocabulary.tokens, vocabulary.pairs, vocabulary.longest
-        for end in range(len(last) + 1, to + 1):
-            start = end - longest if end > longest else 0
-            while start < end:
-                rank = rank_of(data[start:end])
-                if rank is not None:
-                    if not start:
-                        break
-                    before = last[start - 1]
-                    key = before << 32 | rank
-                    valid = pairs.get(key)
-                    if valid is None:
-                        if len(pairs) > MEMORY:
-                            pairs.clear()
-                        valid = pairs[key] = vocabulary.compatible(tokens[before], tokens[rank])
-                    if valid:
-                        break
-                start += 1
-            else:
-                raise ValueError(f"no token ends {data[:end]!r}")
+        last, vocabulary = self.last, self.vocabulary
+        tokens, pairs, done = vocabulary.tokens, vocabulary.pairs, len(last)
+        base = max(0, done + 1 - vocabulary.longest)  # no token that ends behind ``done`` starts earlier
+        for end, (rank, size) in vocabulary.endings.iter(self.data[base:to].decode("latin-1")):
+            end += base
+            if end < done:
+                continue
+            if end > done:
+                break
+            if size <= end:
+                before = last[end - size]
+                key = before << 32 | rank
+                valid = pairs.get(key)
+                if valid is None:
+                    if len(pairs) > MEMORY:
+                        pairs.clear()
+                    valid = pairs[key] = vocabulary.compatible(tokens[before], tokens[rank])
+                if not valid:
+                    continue
             last.append(rank)
+            done += 1
+        if done < to:
+            raise ValueError(f"no token ends {self.data[: done + 1]!r}")
 
     def append(self, data: bytes) -> Prefixes:
         self.data += data
