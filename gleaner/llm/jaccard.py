@@ -61,6 +61,7 @@ class Settings:
 
     sketch: int = 16  # 64-bit words; changes no result
     first: int = 3  # sets that a set is compared with at first; changes no result
+    least: int = 32  # units a set carries to bring a pair up once; changes no result
 
     def budget(self, total):
         """Most different tokens of sets of ``total`` tokens together."""
@@ -399,6 +400,38 @@ def _first_links(shared: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     return _sides(chosen.distinct(), known).where(_like("a_", "b_", s)).select("a", "b")
 
 
+def _least(rows: DataFrame, s: Settings) -> DataFrame:
+    """Each node's least units, in whole segments (``full``) and shortened ones (``near``)."""
+    less = F.col("role").isin(OWN_LESS, LOWER_LESS)
+    order = Window.partitionBy("node").orderBy("sig", "role")
+    ranked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.least)
+    return ranked.groupBy("node").agg(*[F.collect_list(F.when(c, F.col("sig"))).alias(n) for c, n in ((~less, "full"), (less, "near"))])
+
+
+def _met(bought: DataFrame, index: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that share a bought unit, hardly any twice.
+
+    Near copies share most of their units.  A pair is left to the least unit that the lists
+    of both sets hold; the least of all shared units is never left to another, so none is lost.
+    """
+    sides = [
+        x.join(known.join(_least(x, s), "node"), "node").select(
+            "sig", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "role", "size", "sketch", "full", "near")]
+        )
+        for x, n in ((bought, "p"), (index, "i"))
+    ]
+    less = F.col("p_role").isin(OWN_LESS, LOWER_LESS) & (F.col("i_role") == OWN_LESS)
+    # Each probe finds all its partners, so of two sets of one size one need look.
+    larger = F.struct("p_size", "p_node") > F.struct("i_size", "i_node")
+    fit = (F.col("p_label") != F.col("i_label")) & larger & ~less & _like("p_", "i_", s)
+    common = F.concat(
+        F.array_intersect("p_full", F.concat("i_full", "i_near")), F.array_intersect("p_near", "i_full")
+    )
+    first = F.coalesce(F.array_min(common) >= sides[0]["sig"], F.lit(True))
+    met = sides[0].join(sides[1], (sides[0]["sig"] == sides[1]["sig"]) & fit & first)
+    return met.select(F.col("p_node").alias("a"), F.col("i_node").alias("b"))
+
+
 def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
     """Pairs of different components that the probes' cheapest ``H + 1`` units bring up.
 
@@ -425,13 +458,7 @@ def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settin
     bought = bought.where((F.col("gain") == 0) | (F.col("before") < F.col("lacking"))).select("sig", "node", "label", "role")
     index = rows.where(F.col("sig").isNotNull() & F.col("role").isin(*INDEXED)).select("sig", "node", "label", "role")
     index = index.join(bought.select("sig").distinct(), "sig", "left_semi")
-    sides = [
-        x.join(known, "node").select("sig", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "role", "size", "sketch")])
-        for x, n in ((bought, "p"), (index, "i"))
-    ]
-    less = F.col("p_role").isin(OWN_LESS, LOWER_LESS) & (F.col("i_role") == OWN_LESS)
-    fit = (F.col("p_label") != F.col("i_label")) & (F.col("p_size") >= F.col("i_size")) & ~less & _like("p_", "i_", s)
-    met = sides[0].join(sides[1], (sides[0]["sig"] == sides[1]["sig"]) & fit).select(F.col("p_node").alias("a"), F.col("i_node").alias("b"))
+    met = _met(bought, index, known, s)
     return near.unionByName(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

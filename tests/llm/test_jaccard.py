@@ -79,6 +79,23 @@ def test_group_of_near_copies_is_one_component(spark):
     assert found(table(spark, [t for _, t in rows])) == brute(rows)
 
 
+def test_near_copies_under_the_threshold_are_brought_up_once(spark, monkeypatch):
+    chance, texts, met = random.Random(4), [], []
+    base = sentence(chance, 300, 5000).split()
+    for i in range(120):
+        copy = list(base)
+        for at, width in zip(chance.sample(range(5, 290, 6), 3), (2, 2, 1), strict=True):
+            for k in range(width):
+                copy[at + k] = f"x{i}y{at + k}"
+        texts.append(" ".join(copy))
+    meet = jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda *given: met.append(meet(*given)) or met[-1])
+    assert found(table(spark, texts)) == brute(list(enumerate(texts)))
+    pairs = met[0].selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
+    once = pairs.distinct().count()
+    assert 0 < pairs.count() <= 1.2 * once
+
+
 def test_sets_without_spare_segments_meet_all_of_like_size(spark, monkeypatch):
     """With far too few segments many sets are short of units; the result stays whole."""
     monkeypatch.setattr(jaccard, "_listed", lambda size, m, s: min(m, s.budget(2 * size) + 1))
