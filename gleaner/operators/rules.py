@@ -71,6 +71,12 @@ def _first_rule(df: DataFrame, operation: Mapping[str, Any]) -> tuple[Column, Co
     return index, terms
 
 
+def _evidence(operation: Mapping[str, Any]) -> Column:
+    """The terms that were hit and the fields the operation names (none: all were searched)."""
+    names = [F.lit(str(f)) for f in _as_list(operation.get("fields") or [])]
+    return F.struct(F.col("__terms").alias("matched_terms"), F.array(*names).cast("array<string>").alias("fields"))
+
+
 def _by_index(index: Column, values: Sequence[str], default: str) -> Column:
     result = F.lit(default)
     for i, value in enumerate(values):
@@ -102,7 +108,7 @@ def select_by_rules(df: DataFrame, operation: Mapping[str, Any]) -> DataFrame:
                 [str(r.get("reason") or r.get("id") or "configured selection rule") for r in rules],
                 str(default.get("reason") or "no deterministic rule matched"),
             ),
-            "selection_evidence": F.col("__terms"),
+            "selection_evidence": _evidence(operation),
         }
     ).drop("__rule", "__terms")
 
@@ -118,7 +124,7 @@ def classify_access(df: DataFrame, operation: Mapping[str, Any]) -> DataFrame:
     names = [state(str(r.get("status") or r.get("action") or fallback).upper()) for r in rules]
     out = df.withColumns({"__rule": index, "__terms": terms})
     out = out.withColumns(
-        {"access_status": _by_index(F.col("__rule"), names, state(fallback)), "access_evidence": F.col("__terms")}
+        {"access_status": _by_index(F.col("__rule"), names, state(fallback)), "access_evidence": _evidence(operation)}
     ).drop("__rule", "__terms")
     hidden = [f for f in _as_list(_option(operation, "redactFields", "redact_fields", default=[]))]
     if not hidden:

@@ -306,7 +306,7 @@ SELECT doc_id,
   CASE WHEN a THEN 'advert' WHEN b THEN 'r-keep' WHEN c THEN 'long number' ELSE 'no deterministic rule matched' END AS selection_reason,
   CASE WHEN a THEN concat_ws('|', CASE WHEN contains(s, 'http') THEN 'http' END, CASE WHEN contains(s, 'click here') THEN 'click here' END)
        WHEN b THEN concat_ws('|', CASE WHEN contains(s, 'the ') THEN 'THE ' END, CASE WHEN contains(s, 'los ') THEN 'los ' END, 'an')
-       WHEN c THEN '[0-9]{4}' ELSE '' END AS matched_terms
+       WHEN c THEN '[0-9]{4}' ELSE '' END AS matched_terms, 'text' AS evidence_fields
 FROM h
 """,
 )
@@ -316,7 +316,8 @@ def select_by_rules(t: Tables):
         "candidate_status",
         "selection_rule_id",
         "selection_reason",
-        F.array_join("selection_evidence", "|").alias("matched_terms"),
+        F.array_join("selection_evidence.matched_terms", "|").alias("matched_terms"),
+        F.array_join("selection_evidence.fields", "|").alias("evidence_fields"),
     )
 
 

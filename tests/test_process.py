@@ -76,6 +76,16 @@ def test_rules_and_access(spark):
     ]
 
 
+def test_rule_evidence_names_terms_and_fields(spark):
+    df = spark.createDataFrame([(0, "cheap fish"), (1, None)], "_seq long, title string")
+    rule = {"when": {"anyPatterns": ["fish"]}}
+    out = rules.select_by_rules(df, {"fields": ["title", "absent"], "rules": [{**rule, "action": "include"}]})
+    out = rules.classify_access(out, {"rules": [{**rule, "status": "PAYWALLED"}]})
+    fields = ("selection_evidence.matched_terms", "selection_evidence.fields", "access_evidence.matched_terms", "access_evidence.fields")
+    found = [tuple(r) for r in out.orderBy("_seq").select(*[F.col(c).alias(str(i)) for i, c in enumerate(fields)]).collect()]
+    assert found == [(["fish"], ["title", "absent"], ["fish"], []), ([], ["title", "absent"], [], [])]
+
+
 def test_condition_sends_null_to_false(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 1)], "_seq long, n int")
     yes, no = rules.route(df, "n", "gt", 2)
