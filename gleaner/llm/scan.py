@@ -8,12 +8,12 @@ occur inside a UTF-8 character, so bytes give the same words as code points.  Ha
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import ensure_checkpoint_dir, tune
@@ -253,3 +253,24 @@ def bit_arrays(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         place = slice(row["part"] * width // 8, (row["part"] + 1) * width // 8)
         out[0, place], out[1, place] = np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["again"], np.uint8)
     return out[0], out[1]
+
+
+def may_hold(values: DataFrame, bits: int = 1 << 26, probes: int = 2) -> Callable[[Column], Column]:
+    """A test whether a 64-bit value may be among those of ``values``, a table of one column.
+
+    It never denies a value that is there, and its bit array has a fixed size.  Rows that it denies
+    need no join; the others are for an exact one.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from bit_rows(batch.column(0).to_numpy().view(np.uint64), bits, probes)
+
+    seen = bit_arrays(values.mapInArrow(fill, "part int, bits binary, again binary"), bits)[0]
+    shared = values.sparkSession.sparkContext.broadcast(seen)
+
+    @F.arrow_udf("boolean")
+    def test(value: pa.Array) -> pa.Array:
+        return pa.array(holds(shared.value, value.to_numpy(zero_copy_only=False).view(np.uint64), probes))
+
+    return test

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.scan import Runs, bit_arrays, bit_rows, complete, holds, mix, passes, runs, signed, windows
+from gleaner.llm.scan import Runs, bit_arrays, bit_rows, complete, holds, may_hold, mix, passes, runs, signed, stored, windows
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,11 @@ def remove_repeats(
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_id"),
     )
-    joined = docs.join(_starts(docs, settings), "_id", "left").drop("_id")
+    # Texts without a repeated window, most of them, go straight on; the others meet their starts.
+    starts = stored(_starts(docs, settings))
+    may = may_hold(starts.select("_id"))("_id")
+    plain = docs.where(~may).withColumn("_starts", F.lit(None).cast(starts.schema["_starts"].dataType))
+    joined = docs.where(may).join(starts, "_id", "left").select(plain.columns).unionByName(plain).drop("_id")
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[: len(keep)]]
     schema = ", ".join([*head, "n_words long, n_removed long, kept_text string"])
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from llm_data import awkward, empty, table
+from pyspark.sql import functions as F
 
 from gleaner.llm import substring
 
@@ -58,3 +59,14 @@ def test_query_matches_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     want = {(k, n, m, hashlib.sha256(t.encode()).hexdigest()) for k, n, m, t in brute(rows, 35)}
     assert {tuple(r) for r in QUERIES["op7_substring_dedup"](spark, folder).collect()} == want
+
+
+def test_may_hold_never_denies_a_value(spark):
+    from gleaner.llm.scan import may_hold
+
+    values = spark.range(-500, 500).select(F.xxhash64("id").alias("h"))
+    test = may_hold(values, bits=1 << 16)
+    found = spark.range(-5000, 5000).select("id", test(F.xxhash64("id")).alias("may")).where("may").collect()
+    ids = {r["id"] for r in found}
+    assert set(range(-500, 500)) <= ids and len(ids) < 1500
+    assert not spark.range(9).where(may_hold(values.limit(0))(F.col("id"))).count()
