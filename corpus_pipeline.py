@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, decontaminate, jaccard, langid, substring
-from gleaner.llm.scan import prepare, stored, table
+from gleaner.llm.scan import may_hold, prepare, stored, table
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -42,9 +42,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     gone = stored(decided.where("key <> component_id").select("key").distinct())
     twice = stored(decided.groupBy("key").count().where("count > 1").select("key"))
     hashed = F.col("key.hash")
-    single = rows.join(gone.unionByName(twice).select(hashed.alias("hash")).distinct(), hashed == F.col("hash"), "left_anti")
+    named = gone.unionByName(twice).select(hashed.alias("hash")).distinct()
+    # Rows of no such key, most of them, pass without a join.
+    may = may_hold(named)(hashed)
+    risky = rows.where(may)
+    single = rows.where(~may).unionByName(risky.join(named, hashed == F.col("hash"), "left_anti"))
     order = Window.partitionBy("key").orderBy(*[n for k, n in c.items() if k not in ("doc_id", "text")])
-    again = rows.join(twice.join(gone, "key", "left_anti").select(hashed.alias("hash")), hashed == F.col("hash"), "left_semi")
+    again = risky.join(twice.join(gone, "key", "left_anti").select(hashed.alias("hash")), hashed == F.col("hash"), "left_semi")
     again = again.withColumn("n", F.row_number().over(order)).where("n = 1")
     return single.select(*c.values()).unionByName(again.select(*c.values())).toDF(*docs.columns)
 
