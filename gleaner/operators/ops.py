@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,101 @@ def node_stats(node_runs: DataFrame) -> DataFrame:
     return stats.withColumn("warning_code", F.when(F.col("zero_outputs") > 0, code))
 
 
+def node_diagnostics(node_runs: DataFrame) -> DataFrame:
+    """Each execution with ``status``, ``warning_code`` and ``recommendation``.
+
+    An execution that failed, or gave a document (``output_type`` or ``document_diagnostics``,
+    both optional columns), has no warning for an empty result; a failed one is recommended to
+    have its configuration checked.
+    """
+    failed = F.col("error").isNotNull()
+    empty = F.coalesce(F.col("output_count"), F.lit(0)) == 0
+    document = F.lit(False)
+    if "output_type" in node_runs.columns:
+        document = document | F.col("output_type").eqNullSafe("DOCUMENT")
+    if "document_diagnostics" in node_runs.columns:
+        document = document | F.coalesce("document_diagnostics", F.lit(False))
+    listed = F.col("node_type") == "extract_repeating_list"
+    warning = F.when(listed, "REPEATING_LIST_NO_MATCH").otherwise("NODE_ZERO_OUTPUT")
+    advice = F.when(failed, "CHECK_CONFIGURATION").when(empty & listed, "CHECK_SELECTOR").when(empty, "CHECK_INPUT_PATH")
+    return node_runs.withColumns(
+        {
+            "status": F.when(failed, "FAILED").otherwise("SUCCESS"),
+            "warning_code": F.when(~failed & empty & ~document, warning),
+            "recommendation": advice,
+        }
+    )
+
+
+def duration_histogram(node_runs: DataFrame, keys: Sequence[str] = ("node_type",), duration: str = "duration_ms") -> DataFrame:
+    """``n`` executions by ``keys`` and ``bucket``, the duration cut to three leading digits.
+
+    A bucket is at most one per cent wide and a decade has 900 of them, so a histogram is small
+    whatever the number of executions.  Histograms of runs, days or nodes are merged by adding
+    ``n`` up, so they may be stored a run and never computed again.  Null durations count
+    nowhere, negative ones as zero.
+    """
+    value = F.greatest(F.col(duration).cast("bigint"), F.lit(0))
+    width = F.pow(F.lit(10), F.greatest(F.length(value.cast("string")) - 3, F.lit(0))).cast("bigint")
+    rows = node_runs.where(F.col(duration).isNotNull())
+    return rows.groupBy(*keys, (value - value % width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_histograms(histograms: DataFrame, keys: Sequence[str] = ("node_type",)) -> DataFrame:
+    """Histograms of finer keys, or of several runs, as one of ``keys``."""
+    return histograms.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+
+
+def duration_percentiles(
+    histogram: DataFrame, keys: Sequence[str] = ("node_type",), shares: Sequence[int] = (50, 95, 99)
+) -> DataFrame:
+    """``executions`` and ``p50_ms`` …: the least bucket that reaches the share, in per cent, of all executions."""
+    group = Window.partitionBy(*keys)  # the buckets of one key, some thousands at most
+    reached = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    rows = histogram.withColumns({"__reached": reached, "__total": F.sum("n").over(group)})
+    return rows.groupBy(*keys).agg(
+        F.max("__total").alias("executions"),
+        *[F.min(F.when(F.col("__reached") * 100 >= F.col("__total") * p, F.col("bucket"))).alias(f"p{p}_ms") for p in shares],
+    )
+
+
+def run_list(
+    runs: DataFrame, workflows: DataFrame, node_runs: DataFrame, workflow: str | None = None, status: str | None = None, limit: int = 200
+) -> DataFrame:
+    """The newest runs of known workflows with their name, node counts and error code.
+
+    Node executions are counted for the listed runs only, at most ``limit`` of them, which is
+    the bound of what is broadcast.  An empty error code is none.
+    """
+    rows = runs.join(workflows.select("workflow_id", F.col("name").alias("workflow_name")), "workflow_id")
+    if workflow is not None:
+        rows = rows.where(F.col("workflow_id") == workflow)
+    if status is not None:
+        rows = rows.where(F.col("status") == status)
+    newest = rows.orderBy(F.col("created_at").desc(), F.col("run_id").desc()).limit(limit)
+    counts = (
+        node_runs.join(F.broadcast(newest.select("run_id")), "run_id", "left_semi")
+        .groupBy("run_id")
+        .agg(
+            F.count(F.lit(1)).alias("nodes"),
+            F.count_if(F.col("error").isNotNull()).alias("failed_nodes"),
+            F.sum("output_count").alias("output_count"),
+        )
+    )
+    code = F.get_json_object("error_json", "$.code")
+    return newest.join(counts, "run_id", "left").select(
+        "run_id",
+        "workflow_id",
+        "workflow_name",
+        "status",
+        "created_at",
+        F.coalesce("nodes", F.lit(0)).alias("nodes"),
+        F.coalesce("failed_nodes", F.lit(0)).alias("failed_nodes"),
+        F.coalesce("output_count", F.lit(0)).alias("output_count"),
+        F.when(code != "", code).alias("error_code"),
+    )
+
+
 def model_usage(calls: DataFrame) -> DataFrame:
     """Call log rolled up by provider and model."""
     return calls.groupBy("provider", "model").agg(

@@ -112,6 +112,55 @@ def node_stats(t: Tables):
     return ops.node_stats(node_runs(t))
 
 
+@query(
+    "node_diagnostics",
+    NODE_RUNS
+    + """ SELECT run_id, node_type, duration_ms, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  CASE WHEN error IS NULL AND output_count = 0 AND node_type <> 'output' THEN CASE node_type WHEN 'extract_repeating_list' THEN 'REPEATING_LIST_NO_MATCH' ELSE 'NODE_ZERO_OUTPUT' END END AS warning_code,
+  CASE WHEN error IS NOT NULL THEN 'CHECK_CONFIGURATION' WHEN output_count = 0 AND node_type = 'extract_repeating_list' THEN 'CHECK_SELECTOR'
+    WHEN output_count = 0 THEN 'CHECK_INPUT_PATH' END AS recommendation FROM node_runs""",
+)
+def node_diagnostics(t: Tables):
+    rows = node_runs(t).withColumn("output_type", F.when(F.col("node_type") == "output", "DOCUMENT"))
+    return ops.node_diagnostics(rows).select("run_id", "node_type", "duration_ms", "status", "warning_code", "recommendation")
+
+
+@query(
+    "node_percentiles",
+    NODE_RUNS
+    + """, b AS (SELECT node_type, duration_ms - duration_ms % CAST(10 ** greatest(length(duration_ms::VARCHAR) - 3, 0) AS BIGINT) AS v FROM node_runs)
+SELECT node_type, count(*) AS executions, min(v) FILTER (i * 100 >= c * 50) AS p50_ms, min(v) FILTER (i * 100 >= c * 95) AS p95_ms, min(v) FILTER (i * 100 >= c * 99) AS p99_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY v) AS i, count(*) OVER (PARTITION BY node_type) AS c FROM b) GROUP BY node_type""",
+)
+def node_percentiles(t: Tables):
+    """Histograms stored by run and node, merged by node."""
+    by_run = ops.duration_histogram(node_runs(t), ("run_id", "node_type"))
+    return ops.duration_percentiles(ops.merge_histograms(by_run))
+
+
+@query(
+    "run_list",
+    NODE_RUNS
+    + """, r AS (SELECT o_orderkey, concat('r', o_orderkey) AS run_id, o_custkey, o_orderdate, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey
+  WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, concat('r', o_orderkey) DESC LIMIT 200)
+SELECT r.run_id, concat('w', o_custkey) AS workflow_id, any_value(c_name) AS workflow_name, any_value(o_orderstatus) AS status,
+  CAST(any_value(o_orderdate) AS VARCHAR) AS created_at, count(n.run_id) AS nodes, count(n.error) AS failed_nodes, coalesce(sum(n.output_count), 0)::BIGINT AS output_count,
+  CASE WHEN o_orderkey % 3 = 1 THEN 'E1' END AS error_code
+FROM r JOIN customer ON c_custkey = o_custkey LEFT JOIN node_runs n USING (run_id) GROUP BY r.run_id, o_custkey, o_orderkey""",
+)
+def run_list(t: Tables):
+    k = F.col("o_orderkey")
+    runs = t.orders.select(
+        F.concat(F.lit("r"), k).alias("run_id"),
+        F.concat(F.lit("w"), "o_custkey").alias("workflow_id"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(k % 3 == 1, F.lit('{"code": "E1"}')).when(k % 3 == 2, F.lit('{"code": ""}')).alias("error_json"),
+    )
+    workflows = t.customer.select(F.concat(F.lit("w"), "c_custkey").alias("workflow_id"), F.col("c_name").alias("name"))
+    return ops.run_list(runs, workflows, node_runs(t), status="F").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "llm_usage",
     """SELECT role AS provider, concat('m', turn % 3) AS model, count(*) AS calls, sum(len(string_split(text, ' ')))::BIGINT AS input_tokens,
