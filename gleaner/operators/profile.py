@@ -250,3 +250,104 @@ def repeating_candidates(
     ]
     kept = out if limit is None else top_per_key(out, [key], [F.col("count").desc(), F.col("selector")], limit)
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def selector_candidates(nodes: DataFrame, candidates: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """``css``, ``xpath``, ``confidence`` and ``count`` of every repeating selector.
+
+    The xpath asks for tag and classes of the first element that the selector matches, which may
+    have more classes than it names.  Class names stand as written, not escaped.  Elements meet
+    selectors as distinct class lists of a page, on one class of the selector.
+    ``candidates`` are those of ``repeating_candidates``; without them nodes are read for it too.
+    """
+    found = repeating_candidates(nodes, key) if candidates is None else candidates
+    lists = nodes.where(F.size("classes") > 0).groupBy(key, "tag", "classes").agg(F.min("node_id").alias("node_id"))
+    single = F.transform(
+        F.filter("classes", lambda c: F.char_length(c) >= 3),
+        lambda c: F.struct(F.concat(F.col("tag"), F.lit("."), c).alias("selector"), F.col("tag").alias("tag"), F.array(c).alias("want")),
+    )
+    compound = F.struct(
+        F.concat(F.lit("."), F.array_join("classes", ".")).alias("selector"), F.lit(None).cast("string").alias("tag"), F.col("classes").alias("want")
+    )
+    entries = F.when(F.size("classes") > 1, F.concat(F.array(compound), single)).otherwise(single)
+    meant = (
+        lists.select(key, F.explode(entries).alias("e"))
+        .groupBy(key, "e.selector")
+        .agg(F.min("e.tag").alias("__tag"), F.min("e.want").alias("__want"))
+    )
+    asked = found.select(key, "selector", "count", "field_population").join(meant, [key, "selector"])
+    held = lists.select(key, "tag", "classes", "node_id", F.explode(F.array_distinct("classes")).alias("__class"))
+    met = asked.withColumn("__class", F.get("__want", F.lit(0))).join(held, [key, "__class"])
+    met = met.where((F.col("__tag").isNull() | (F.col("__tag") == F.col("tag"))) & (F.size(F.array_except("__want", "classes")) == 0))
+    first = met.groupBy(key, "selector", "count", "field_population").agg(
+        F.min_by(F.struct("tag", "classes"), "node_id").alias("e")
+    )
+    parts = F.transform(
+        "e.classes", lambda c: F.concat(F.lit("[contains(concat(' ', normalize-space(@class), ' '), ' "), c, F.lit(" ')]"))
+    )
+    return first.select(
+        key,
+        F.col("selector").alias("css"),
+        F.concat(F.lit("//"), "e.tag", F.array_join(parts, "")).alias("xpath"),
+        F.least(F.lit(1.0), 0.5 + F.col("field_population") / 2).alias("confidence"),
+        "count",
+    )
+
+
+def suggested_extractor(nodes: DataFrame, candidates: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """The best candidate of each page with selectors for its fields.
+
+    ``fields`` holds ``name``, ``selector`` and ``attribute`` (none: the text) of ``url``, ``title``,
+    ``image`` and ``source_published_at``, as far as the first container has them.  The title is the
+    text of the first link, else a heading.  Pages without a candidate have no row.  Titles need the
+    text of links: ``dom_nodes(..., text_for=("a",))``.
+    """
+    found = repeating_candidates(nodes, key) if candidates is None else candidates
+    best = found.where("rank = 1").select(key, "selector", "count")
+    compound = F.concat(F.lit("."), F.array_join("classes", "."))
+    long_enough = F.filter("classes", lambda c: F.char_length(c) >= 3)
+    own = ((F.size("classes") > 1) & (compound == F.col("selector"))) | F.array_contains(
+        F.transform(long_enough, lambda c: F.concat(F.col("tag"), F.lit("."), c)), F.col("selector")
+    )
+    # One row a page: its best selector and that selector's first container.
+    box = (
+        nodes.where(F.size("classes") > 0).join(best, key).where(own)
+        .groupBy(key, "selector", "count").agg(F.min_by(F.struct("node_id", "end_id"), "node_id").alias("box"))
+    )
+    attr = lambda name: F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
+    inner = F.col("node_id") > F.col("box.node_id")
+    roles = {
+        "link": (F.col("tag") == "a") & (attr("href") != ""),
+        "heading": inner & (F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6") | (attr("itemprop") == "headline")),
+        "image": inner & (F.col("tag") == "img") & F.try_element_at("attrs", F.lit("src")).isNotNull(),
+        "date": inner
+        & (((F.col("tag") == "time") & F.try_element_at("attrs", F.lit("datetime")).isNotNull()) | (attr("itemprop") == "datePublished")),
+    }
+    element = F.struct("tag", "classes", F.trim(F.coalesce("text", F.lit(""))).alias("text"), (attr("datetime") != "").alias("dated"))
+    inside = nodes.join(box, key).where(F.col("node_id").between(F.col("box.node_id"), F.col("box.end_id")))
+    firsts = inside.groupBy(key, "selector", "count").agg(
+        *[F.min_by(F.when(c, element), F.when(c, F.col("node_id"))).alias(n) for n, c in roles.items()]
+    )
+
+    def field(name: str, role: str, otherwise: Column, attribute: Column) -> Column:
+        classes = F.col(f"{role}.classes")
+        place = F.when(F.size(classes) > 0, F.concat(F.lit("."), F.array_join(classes, "."))).otherwise(otherwise)
+        return F.struct(F.lit(name).alias("name"), place.alias("selector"), attribute.alias("attribute"))
+
+    text = F.lit(None).cast("string")
+    here = {n: F.col(n).isNotNull() for n in roles}
+    fields = F.array(
+        F.when(here["link"], field("url", "link", F.lit("a[href]"), F.lit("href"))),
+        F.when(here["link"] & (F.col("link.text") != ""), field("title", "link", F.lit("a[href]"), text)).when(
+            here["heading"], field("title", "heading", F.col("heading.tag"), text)
+        ),
+        F.when(here["image"], field("image", "image", F.lit("img[src]"), F.lit("src"))),
+        F.when(here["date"], field("source_published_at", "date", F.col("date.tag"), F.when(F.col("date.dated"), "datetime"))),
+    )
+    return firsts.select(
+        key,
+        F.col("selector").alias("container_selector"),
+        F.array_compact(fields).alias("fields"),
+        here["link"].alias("follow_links"),
+        F.col("count").alias("candidate_count"),
+    )

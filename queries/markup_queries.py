@@ -649,6 +649,34 @@ def repeating_candidates(t: Tables):
     return found.select("page_id", "selector", "count", "field_count", "field_population", "descendant_count")
 
 
+@query(
+    "selector_candidates",
+    DOC_LINES_ORACLE
+    + """, g AS (SELECT doc_id, count(*) AS c, max(CASE WHEN item = 0 AND code % 2 = 0 THEN 1 ELSE 0 END) AS f, avg(CASE WHEN code % 2 = 0 THEN 1.0 ELSE 0 END) AS s
+  FROM lines GROUP BY doc_id HAVING count(*) >= 2)
+SELECT doc_id AS page_id, unnest(['div.offer', '.offer.b']) AS css,
+  '//div' || $$[contains(concat(' ', normalize-space(@class), ' '), ' offer ')][contains(concat(' ', normalize-space(@class), ' '), ' b ')]$$ AS xpath,
+  CASE WHEN f = 1 THEN 0.5 + round(s, 6) / 2 ELSE 1.0 END::DOUBLE AS confidence, c AS count FROM g
+UNION ALL SELECT doc_id, 'span.w-1/2', '//span' || $$[contains(concat(' ', normalize-space(@class), ' '), ' w-1/2 ')]$$, 0.5, c FROM g""",
+)
+def selector_candidates(t: Tables):
+    return profile.selector_candidates(dom.dom_nodes(doc_cards(t), text_for=()))
+
+
+@query(
+    "suggested_extractor",
+    DOC_LINES_ORACLE
+    + """, g AS (SELECT doc_id, count(*) AS c, max(CASE WHEN item = 0 AND code % 2 = 0 THEN 1 ELSE 0 END) AS f, avg(CASE WHEN code % 2 = 0 THEN 1.0 ELSE 0 END) AS s
+  FROM lines GROUP BY doc_id HAVING count(*) >= 2)
+SELECT doc_id AS page_id, '.offer.b' AS container_selector, f = 1 AS follow_links, c AS candidate_count, 'title' AS name,
+  CASE WHEN f = 1 THEN 'a[href]' ELSE 'h3' END AS selector, NULL::VARCHAR AS attribute FROM g
+UNION ALL SELECT doc_id, '.offer.b', true, c, 'url', 'a[href]', 'href' FROM g WHERE f = 1""",
+)
+def suggested_extractor(t: Tables):
+    found = profile.suggested_extractor(dom.dom_nodes(doc_cards(t), text_for=("a",)))
+    return found.select("page_id", "container_selector", "follow_links", "candidate_count", F.inline("fields"))
+
+
 @query(
     "rss_feed",
     """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN 'https://x.example/' || p_partkey ELSE 'https://y.example/' || p_partkey END AS url, p_name || ' & co' AS title,
