@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import markup, urls
 from gleaner.functions.binding import let
@@ -374,6 +375,24 @@ def document_record(pages: DataFrame, key: str = "page_id", url: str = "url", ti
     )
 
 
+def _shape(kind: T.DataType) -> str:
+    """Type of a plain column, in the words of JSON."""
+    if isinstance(kind, T.ArrayType):
+        return "array"
+    if isinstance(kind, (T.MapType, T.StructType)):
+        return "object"
+    if isinstance(kind, T.NumericType):
+        return "number"
+    return "boolean" if isinstance(kind, T.BooleanType) else "string"
+
+
+def _fits(value: Column, shape: Column, expected: str) -> Column:
+    if expected in ("number", "decimal"):
+        return (shape == "number") | parse_decimal(value).isNotNull()
+    wanted = {"string": "string", "text": "string", "object": "object", "json": "object", "array": "array"}.get(expected)
+    return F.lit(True) if wanted is None else shape == wanted
+
+
 def schema_first(
     df: DataFrame,
     candidates: Mapping[str, Sequence[Mapping[str, Any]]],
@@ -385,7 +404,10 @@ def schema_first(
     """Target columns from ordered candidates: ``(records, errors)``.
 
     A candidate has ``path`` (or a ready ``column``), or a constant ``value``, and
-    optional ``id``, ``valueType``, ``required``, ``minCoverage``.
+    optional ``id``, ``valueType`` (string, number, object, array), ``multiple``, ``required``,
+    ``minCoverage``.  ``type``, a column, names the type of a ready column where it differs by row.
+    Lists and objects are given as JSON text.  ``candidates.from_pages`` prepares candidates of
+    elements and JSON-LD.
     """
     columns: dict[str, Column] = {}
     evidence: list[Column] = []
@@ -400,10 +422,16 @@ def schema_first(
                 raw, pointer = F.lit(option.get("value")), "constant"
             else:
                 raw, pointer = path_column(df, str(option.get("path") or "")), str(option.get("path") or "")
-            value = raw.cast("string")
-            filled = value.isNotNull() & (value != "")
+            known = df.select(raw.alias("v")).schema["v"].dataType
+            nested = isinstance(known, (T.ArrayType, T.MapType, T.StructType))
+            value = F.to_json(raw) if nested else raw.cast("string")
             expected = str(option.get("valueType") or option.get("value_type") or "")
-            fits = parse_decimal(value).isNotNull() if expected in ("number", "decimal") else F.lit(True)
+            shape = option["type"] if "type" in option else F.lit(_shape(known))
+            if option.get("multiple"):
+                # Lists pass whatever their items are; an empty one is no value.
+                filled, fits = value.isNotNull() & (value != "[]"), shape == "array"
+            else:
+                filled, fits = value.isNotNull() & (value != ""), _fits(value, shape, expected)
             required = bool(option.get("required", True))
             minimum = float(option.get("minCoverage", option.get("min_coverage", 1.0 if required else 0.0)) or 0.0)
             coverage = F.when(filled, F.lit(1.0)).otherwise(F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import jsontext, markup as flat, urls
-from gleaner.operators import articles, dom, markup, profile, structure
+from gleaner.operators import articles, candidates, dom, markup, profile, structure
 from gleaner.operators.structure import Field, element, scope
 from gleaner.sources import pages as page_sources
 from queries.derived import CANON_STEPS
@@ -562,6 +562,42 @@ def schema_first(t: Tables):
     )
 
 
+@query(
+    "schema_first_kinds",
+    """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'part ' || p_partkey END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'ld' ELSE 'h1' END AS name_from,
+  '[' || p_size || ',' || (p_size + 1) || ']' AS prices, p_size::VARCHAR AS price, '["' || p_brand || '","' || p_partkey || '"]' AS cells,
+  CASE WHEN p_partkey % 2 = 0 THEN '/p/' || p_partkey END AS link, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'link:FIELD_CANDIDATES_EXHAUSTED' END AS errors FROM part""",
+)
+def schema_first_kinds(t: Tables):
+    """Candidates of elements, tables and JSON-LD, single and multiple."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    offers = F.array(F.struct(size.alias("price")), F.struct((size + 1).alias("price")))
+    html = F.concat(
+        F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.col("p_name").alias("name"), offers.alias("offers"))), F.lit("</script>"),
+        F.when(k % 3 != 0, F.concat(F.lit("<h1>part "), k, F.lit("</h1>"))).otherwise(F.lit("")),
+        F.lit("<table class=facts><tr><td>"), "p_brand", F.lit("</td><td>"), k, F.lit("</td></tr></table>"),
+        F.when(k % 2 == 0, F.concat(F.lit("<a href='/p/"), k, F.lit("'>more</a>"))).otherwise(F.lit("")),
+    )
+    pages = t.part.select(k.alias("page_id"), html.alias("html")).repartition("page_id")
+    rows, spec = candidates.from_pages(
+        pages,
+        dom.dom_nodes(pages, tags=("h1", "table", "td", "a"), text_for=("h1", "td")),
+        {
+            "name": [{"id": "h1", "kind": "dom", "selector": element("h1")}, {"id": "ld", "kind": "json_ld", "path": "$.name"}],
+            "prices": [{"kind": "json_ld", "path": "$.offers[*].price", "multiple": True}],
+            "price": [{"kind": "json_ld", "path": "$.offers[0].price", "valueType": "number"}],
+            "cells": [{"kind": "table", "selector": element("table", classes=["facts"]).descendant("td"), "multiple": True}],
+            "link": [{"kind": "css", "selector": element("a"), "attribute": "href", "required": True}],
+        },
+    )
+    records, errors = markup.schema_first(rows.withColumn("_seq", F.col("page_id")), spec)
+    found = errors.select("_seq", F.concat_ws(":", "field", "code").alias("errors"))
+    return records.join(found, "_seq", "left").select(
+        F.col("_seq").alias("page_id"), "name", F.try_element_at("_evidence", F.lit("name"))["id"].alias("name_from"), "prices", "price", "cells", "link",
+        F.coalesce("errors", F.lit("")).alias("errors"),
+    )
+
+
 @query(
     "shell_score",
     f"""SELECT page_id, length({clean("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")})::BIGINT AS body_text_len,
