@@ -91,7 +91,7 @@ def _has_text(attrs: dict[str, str]) -> bool:
 def article_record(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", source_name: str = "", language: str = "",
     paths: Mapping[str, Path] | None = None, listing_title: str | None = None, listing_date: str | None = None,
-    record_id: str | None = None, attachment_base: str | None = None,
+    record_id: str | None = None, attachment_base: str | None = None, closed_references: bool = False,
 ) -> DataFrame:
     """One article a page.
 
@@ -99,12 +99,14 @@ def article_record(
     text, the listing's title, or the first of ``h1``, ``itemprop=headline`` and ``og:title`` with text.  The
     date is the listing's where it has an ISO day, the path's, the first dated element in page
     order, or JSON-LD.  The body is the path's element or the first by rule; other articles of the
-    page stay out of it.  Attachments are document links inside the body.
+    page stay out of it.  Attachments are document links inside the body.  Texts of elements are read
+    with ``closed_references`` or without (``dom.dom_nodes``); the body's references are always closed ones.
     """
     given = dict(paths or {})
     nodes = dom.dom_nodes(
         pages, key, html, text_for=_wanted({n: p for n, p in given.items() if n != "body"}, ("h1", "time", "a"), _has_text),
         html_for=_wanted({n: p for n, p in given.items() if n == "body"}, ("article", "main", "body"), _is_body),
+        closed_references=closed_references,
     )
     named = {f"__{n}": p for n, p in given.items()}
     meta = F.col("tag") == "meta"

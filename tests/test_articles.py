@@ -83,3 +83,9 @@ def test_relative_attachments_are_resolved(spark):
     attached, misses = frontier.attach_related(records, spark.createDataFrame([(u, "text") for u in known], "url string, text string"), page="page")
     assert sorted(r["url"] for r in attached.collect()) == sorted(known)
     assert misses.count() == 30 and misses.where("page_id = 2").first()["url"] == "https://x.org/e/f1.pdf"
+
+
+def test_title_with_cut_reference(spark):
+    data = pages(spark, "<h1>a &amp b&amp</h1><article><p>c&amp</p></article>")
+    row = one(articles.article_record(data, closed_references=True))
+    assert (row["title"], row["body_text"]) == ("a &amp b&amp", "c&amp")
