@@ -272,6 +272,7 @@ def card_clusters(
 
     A container repeats from ``least`` items on.  ``most`` and ``limit``, off by default, leave
     out larger clusters and lower ranks; ``card_clusters`` without them lists what they exclude.
+    ``exact`` holds the averages before rounding.
     """
     signature = class_signature()
     link = (F.col("tag") == "a") & F.try_element_at("attrs", F.lit("href")).isNotNull()
@@ -304,6 +305,7 @@ def card_clusters(
         F.bround("link", 3).alias("link_fraction"),
         F.bround("signal", 3).alias("signal_fraction"),
         F.bround("descendants", 1).alias("descendant_count"),
+        F.struct("average", "link", "signal").alias("exact"),
         F.least(F.bround("average", 0), F.lit(2000.0)).alias("__text"),
         "first_node",
     )
@@ -313,9 +315,13 @@ def card_clusters(
     return kept.drop("__text", "first_node")
 
 
-def cluster_passes() -> Column:
-    """Structural bar for automatic selection: link cards or signal-rich panels."""
-    text, link, signal = F.col("avg_text_length"), F.col("link_fraction"), F.col("signal_fraction")
+def cluster_passes(exact: bool = False) -> Column:
+    """Structural bar for automatic selection: link cards or signal-rich panels.
+
+    The shown, rounded figures meet the bar; with ``exact`` those before rounding do.
+    """
+    shown = ("avg_text_length", "link_fraction", "signal_fraction")
+    text, link, signal = (F.col(c) for c in (("exact.average", "exact.link", "exact.signal") if exact else shown))
     return ((text >= 40) & (link >= 0.2)) | ((text >= 60) & (signal >= 0.3))
 
 

@@ -129,3 +129,11 @@ def test_references_without_semicolon(spark):
     node = dom.dom_nodes(data, closed_references=True).first()
     assert node["text"] == "x &amp y &copyz &#38 <i> &lt; &nosuch; &ampz;" and node["attrs"] == {"title": "a&amp b<"}
     assert dom.dom_nodes(data).first()["text"] == "x & y ©z & <i> &lt; &nosuch; &z;"
+
+
+def test_cluster_bar_before_rounding(spark):
+    # 24 cards of 40 letters and one of 39: 39.96 on average, shown as 40.0.
+    cards = "".join(f"<div class=offer><a href=/>{'x' * n}</a></div>" for n in [40] * 24 + [39])
+    found = markup.card_clusters(dom.dom_nodes(pages(spark, cards)))
+    row = found.where("selector = 'div.offer'").select("avg_text_length", markup.cluster_passes().alias("shown"), markup.cluster_passes(exact=True).alias("exact")).first()
+    assert tuple(row) == (40.0, True, False)
