@@ -137,3 +137,18 @@ def test_cluster_bar_before_rounding(spark):
     found = markup.card_clusters(dom.dom_nodes(pages(spark, cards)))
     row = found.where("selector = 'div.offer'").select("avg_text_length", markup.cluster_passes().alias("shown"), markup.cluster_passes(exact=True).alias("exact")).first()
     assert tuple(row) == (40.0, True, False)
+
+
+def test_plain_tags_read_as_the_standard_parser_does(monkeypatch):
+    texts = (
+        "<ul><li class='a b' ID=x>1<li>2 &amp; 3<br/>4</ul>\n<a href=/q/>5</a><p>a<table><tr><td colspan=2>c</table> < tail &amp",
+        "<i a=1 A=2 b>x</i><!-- <b> --><a t='x>y' href='?a&lt;b'>y</a></p><img src=z /><title><b></title><p>end",
+    )
+    plain = [list(dom._node_rows(t, None, "all", "all", closed)) for t in texts for closed in (False, True)]
+    read = []
+    monkeypatch.setattr(dom._Builder, "_plain", lambda self, text: read.append(text) or 0)
+    assert plain == [list(dom._node_rows(t, None, "all", "all", closed)) for t in texts for closed in (False, True)] and len(read) == 4
+    monkeypatch.undo()
+    # A page of plain tags leaves nothing to the standard parser.
+    builder = dom._Builder("<ul><li class='a b'>1<li>2 &amp; 3<br/>4</ul>")
+    assert builder._plain(builder.source) == len(builder.source)
