@@ -257,12 +257,16 @@ def cron_values(field: Column, low: int, high: int) -> Column:
 def cron_occurrences(schedules: DataFrame, start: str, end: str) -> DataFrame:
     """One row per (schedule, matching minute) in ``[start, end)``, UTC.
 
-    Zones shift by quarter hours, so each schedule is expanded to quarter hours,
-    checked in local time, and only then to its minutes.
+    Zones shift by quarter hours, so each distinct (cron, timezone) is expanded to quarter hours,
+    checked in local time, and only then to its minutes; schedules that share both meet its minutes
+    in a join, whose rows are the result's.
     """
     parts = F.split(F.trim(F.col("cron")), " +")
     fields = {"minutes": (0, 0, 59), "hours": (1, 0, 23), "days": (2, 1, 31), "months": (3, 1, 12), "weekdays": (4, 0, 6)}
-    parsed = schedules.where("enabled").withColumns(
+    enabled = schedules.where("enabled")
+    # One small file is one task: dealt out anew, every core makes rows.
+    same = enabled.select("schedule_id", "cron", "timezone").repartition("schedule_id")
+    parsed = enabled.select("cron", "timezone").distinct().withColumns(
         {name: cron_values(F.get(parts, F.lit(i)), low, high) for name, (i, low, high) in fields.items()}
     )
     first, last = (F.lit(v).cast("timestamp_ntz") for v in (start, end))
@@ -281,10 +285,10 @@ def cron_occurrences(schedules: DataFrame, start: str, end: str) -> DataFrame:
     minutes = F.filter(F.col("minutes"), lambda m: (m >= begin) & (m < begin + 15))
     exact = due.withColumn("minute", F.explode(minutes))
     planned = exact.select(
-        "schedule_id",
-        (F.col("slot") + F.make_dt_interval(mins=F.col("minute") - F.minute("local"))).alias("planned_at"),
+        "cron", "timezone", (F.col("slot") + F.make_dt_interval(mins=F.col("minute") - F.minute("local"))).alias("planned_at")
     )
-    return planned.where((F.col("planned_at") >= first) & (F.col("planned_at") < last))
+    inside = planned.where((F.col("planned_at") >= first) & (F.col("planned_at") < last))
+    return same.join(inside, ["cron", "timezone"]).select("schedule_id", "planned_at")
 
 
 def batch_targets(workflows: DataFrame, sources: DataFrame) -> DataFrame:

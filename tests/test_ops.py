@@ -49,3 +49,14 @@ def test_run_list_without_runs_or_nodes(spark):
     assert got == [("r1", "w1", "one", "FAILED", 5, 2, 1, 4, "X"), ("r2", "w1", "one", "SUCCESS", 5, 0, 0, 0, None)]
     assert [r["run_id"] for r in ops.run_list(runs, workflows, nodes, limit=1).collect()] == ["r2"]
     assert ops.run_list(runs.limit(0), workflows, nodes).count() == 0
+
+
+def test_cron_work_is_that_of_distinct_rules(spark):
+    rows = spark.range(500).selectExpr("id AS schedule_id", "IF(id % 5 = 0, '7 3 * * *', '*/30 4 * * *') AS cron", "'Asia/Kathmandu' AS timezone", "id % 5 < 2 AS enabled")
+    found = ops.cron_occurrences(rows, "2024-01-01T00:00:00", "2024-01-03T00:00:00")
+    got = found.groupBy("planned_at").count().orderBy("planned_at").collect()
+    days = ("2024-01-01", "2024-01-02")
+    assert [(str(r[0]), r[1]) for r in got] == [(f"{d} {h}", 100) for d in days for h in ("21:22:00", "22:15:00", "22:45:00")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Rules are made distinct before they are expanded.
+    assert plan.index("Generate explode") < plan.rindex("Aggregate [cron")
