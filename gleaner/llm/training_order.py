@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.scan import mix, stored
 
 NONE = -(1 << 63)
+ROWS = 2048  # sequences of a message from Python, at least
 
 
 @dataclass(frozen=True)
@@ -103,26 +104,44 @@ def token_table(frame: DataFrame, path: str, pattern: str, key: str, text: str,
         end, task, place = tool.n_vocab, TaskContext.get().partitionId(), 0
         if end >= 1 << (8 * s.width):
             raise ValueError(f"ids up to {end} don't fit {s.width} bytes")
+        held, rows = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal rows, place
+            records = np.concatenate(held)
+            starts = np.arange(rows + 1, dtype=np.int32) * s.stride
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(rows, task, np.int32)),
+                    pa.array(np.arange(place, place + rows)),
+                    pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(starts), pa.py_buffer(records)]),
+                ],
+                ["task", "place", "record"],
+            )
+            place += rows
+            held.clear()
+            rows = 0
+            return out
+
         for batch in batches:
-            for key_of, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*tool.encode_ordinary(value.as_py()), end], s.kind)
+            for key_of, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = tool.encode_ordinary(value.as_py())
+                ids.append(end)
                 parts = -(-len(ids) // s.length)
+                records = np.empty((parts, s.stride), np.uint8)
                 filled = np.full(parts * s.length, end, s.kind)
                 filled[: len(ids)] = ids
-                document = key_of.as_py()
                 head = np.zeros(parts, np.dtype([("d", "<i8"), ("p", "<i4"), ("n", "<i4")]))
-                head["d"], head["p"] = NONE if document is None else document, np.arange(parts)
+                head["d"], head["p"] = NONE if key_of is None else key_of, np.arange(parts)
                 head["n"] = np.minimum(len(ids) - np.arange(parts) * s.length, s.length)
-                records = np.hstack([head.view(np.uint8).reshape(parts, 16), filled.view(np.uint8).reshape(parts, -1)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(parts, task, np.int32)),
-                        pa.array(np.arange(place, place + parts)),
-                        pa.array([r.tobytes() for r in records], pa.binary()),
-                    ],
-                    ["task", "place", "record"],
-                )
-                place += parts
+                records[:, :16], records[:, 16:] = head.view(np.uint8).reshape(parts, 16), filled.view(np.uint8).reshape(parts, -1)
+                held.append(records)
+                rows += parts
+                # A message to Spark costs more than a short document: some 2 MB go at once.
+                if rows >= ROWS:
+                    yield flush()
+        if rows:
+            yield flush()
 
     docs = frame.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return stored(docs.mapInArrow(work, "task int, place long, record binary"))

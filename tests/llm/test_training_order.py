@@ -46,3 +46,11 @@ def test_reader_goes_on_at_any_slot(spark):
 
 def test_empty_table(spark):
     assert shards(token_table(empty(spark), PATH, PATTERN, "doc_id", "text", Settings())).collect() == []
+
+
+def test_messages_of_any_size_give_the_same_table(spark, monkeypatch):
+    s, frame = Settings(length=16, shard=8), awkward(spark).coalesce(1)
+    whole = token_table(frame, PATH, PATTERN, "doc_id", "text", s).orderBy("task", "place").collect()
+    monkeypatch.setattr(training_order, "ROWS", 3)
+    cut = token_table(frame, PATH, PATTERN, "doc_id", "text", s).orderBy("task", "place").collect()
+    assert whole == cut and [r["place"] for r in whole] == list(range(len(whole)))
