@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.graph import components
-from gleaner.llm.scan import bit_arrays, bit_rows, complete, holds, mix, passes, runs, signed, stored, windows
+from gleaner.llm.scan import SMALL_BATCH_BYTES, batch_bytes, bit_arrays, bit_rows, complete, holds, mix, passes, runs, signed, stored, windows
 
 # Roles of a segment row: probe and index of the own band, index only, probe of the band
 # below; the same of a segment with neighbourhood; the neighbourhoods; a set short of units.
@@ -208,18 +208,24 @@ def _rows(frame: DataFrame, s: Settings) -> DataFrame:
                 rows = np.array([r for r in rows if sets.size[r] and names[r] not in seen], np.int64)
                 seen.update(names[rows].tolist())
                 for sig, node, size, slack, role in _segment_rows(sets, rows, names, s):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(signed(sig)),
-                            pa.array(signed(node)),
-                            pa.array(size.astype(np.int32)),
-                            pa.array(slack.astype(np.int32)),
-                            pa.array(role.astype(np.int8)),
-                        ],
-                        ["sig", "node", "size", "slack", "role"],
-                    )
+                    columns = (sig, node, packed(size, slack, role))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(c)) for c in columns], ["sig", "node", "packed"])
 
-    return frame.select("_text").mapInArrow(work, "sig long, node long, size int, slack int, role tinyint")
+    # Most rows of the join: three columns are shuffled, not five.
+    found = frame.select("_text").mapInArrow(work, "sig long, node long, packed long").repartition("sig")
+    return found.select("sig", "node", *unpacked("packed"))
+
+
+def packed(size: np.ndarray, slack: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """The three in 64 bits: a text of 2 GB has fewer than 2^30 words, and slack is from -2^28 to less than 2^30."""
+    return size.astype(np.uint64) << np.uint64(34) | (slack + (1 << 28)).astype(np.uint64) << np.uint64(3) | role.astype(np.uint64)
+
+
+def unpacked(column: str):
+    """Columns size, slack and role of a packed one."""
+    slack = F.shiftright(column, 3).bitwiseAND(F.lit((1 << 31) - 1)) - (1 << 28)
+    role = F.col(column).bitwiseAND(F.lit(7))
+    return [F.shiftrightunsigned(column, 34).cast("int").alias("size"), slack.cast("int").alias("slack"), role.cast("tinyint").alias("role")]
 
 
 def _nodes(frame: DataFrame, s: Settings) -> DataFrame:
@@ -250,7 +256,7 @@ def _texts(frame: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             yield from bit_rows(batch.column(0).to_numpy().view(np.uint64), s.filter_bits, 2)
 
-    asked = bit_arrays(nodes.select("node").mapInArrow(fill, "part int, bits binary, again binary"), s.filter_bits)[0]
+    asked = bit_arrays(nodes.select("node").mapInArrow(fill, "part int, bits binary, again binary"), s.filter_bits, twice=False)[0]
     shared = frame.sparkSession.sparkContext.broadcast(asked)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +311,9 @@ def _shared(rows: DataFrame, s: Settings) -> DataFrame:
     allow a link; ``larger`` says that the set isn't the smaller one, so that it is the probe.
     Where more have it, a row keeps ``sig``, the least of the sets, and their number, the ``cost``.
     """
-    group = Window.partitionBy("sig")
+    # One order for all columns: the rows are sorted once, before the windows make them wide.
+    order = Window.partitionBy("sig").orderBy("node")
+    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     index, probe = F.col("role").isin(*INDEXED), F.col("role").isin(*PROBES)
     seen = rows.select(
         "*",
@@ -314,7 +322,7 @@ def _shared(rows: DataFrame, s: Settings) -> DataFrame:
         F.max("node").over(group).alias("most"),
         F.min("role").over(group).alias("kind"),
         *[f(F.when(c, F.col("node"))).over(group).alias(n + m) for c, n in ((index, "i"), (probe, "p")) for f, m in ((F.min, "0"), (F.max, "1"))],
-        F.lag("node").over(group.orderBy("node")).alias("previous"),
+        F.lag("node").over(order).alias("previous"),
         (F.sum("size").over(group) - F.col("size")).alias("others"),
     )
     # Two shortened segments that are equal say nothing: they may differ in two tokens.
@@ -455,9 +463,9 @@ def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settin
 
     order = Window.partitionBy("node", "lower").orderBy("cost", "sig").rowsBetween(Window.unboundedPreceding, -1)
     bought = probes.where("sig IS NOT NULL").withColumn("before", F.coalesce(F.sum("gain").over(order), F.lit(0)) + F.col("cheap"))
-    bought = bought.where((F.col("gain") == 0) | (F.col("before") < F.col("lacking"))).select("sig", "node", "label", "role")
+    bought = stored(bought.where((F.col("gain") == 0) | (F.col("before") < F.col("lacking"))).select("sig", "node", "label", "role"))
     index = rows.where(F.col("sig").isNotNull() & F.col("role").isin(*INDEXED)).select("sig", "node", "label", "role")
-    index = index.join(bought.select("sig").distinct(), "sig", "left_semi")
+    index = stored(index.join(bought.select("sig").distinct(), "sig", "left_semi"))
     met = _met(bought, index, known, s)
     return near.unionByName(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -465,6 +473,7 @@ def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settin
 def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """Per row: ``key``, ``n_shingles`` and ``component_id``, the least key reachable by links."""
     s = settings or Settings()
+    batch_bytes(frame.sparkSession, SMALL_BATCH_BYTES)
     docs = frame.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     nodes = stored(_nodes(docs, s))  # one row a document, and small
     shared = stored(_shared(_rows(docs, s), s))

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from llm_data import awkward, empty, sentence, table
 
@@ -150,3 +151,18 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r["a"]: r["b"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 130)}, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_units_are_sorted_once_and_narrow(spark):
+    s = jaccard.Settings()
+    docs = spark.createDataFrame([(1, "a b c d e f g h i")], "id long, _text string")
+    plan = jaccard._shared(jaccard._rows(docs, s), s)._jdf.queryExecution().sparkPlan().toString()
+    executed = jaccard._shared(jaccard._rows(docs, s), s)._jdf.queryExecution().executedPlan().toString()
+    assert "packed" in plan and executed.count("Sort [") == 1 and executed.count("Exchange hashpartitioning(sig") == 1
+
+
+def test_packed_columns_keep_their_values(spark):
+    size, slack, role = np.array([1, 2**30 - 1, 7]), np.array([-(2**28), 2**30 - 1, 0]), np.array([0, 7, 3])
+    values = jaccard.packed(size, slack, role).view(np.int64).tolist()
+    frame = spark.createDataFrame([(v,) for v in values], "p long").select(*jaccard.unpacked("p"))
+    assert [tuple(r) for r in frame.collect()] == list(zip(size.tolist(), slack.tolist(), role.tolist(), strict=True))
