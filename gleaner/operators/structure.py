@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import field_name
 from gleaner.operators.markup import dedupe_headers, table_records, table_rows
+from gleaner.session import cut_finely
 
 OPERATORS = {"=": lambda c, v: c == v, "^=": lambda c, v: c.startswith(v), "$=": lambda c, v: c.endswith(v), "*=": lambda c, v: c.contains(v)}
 
@@ -115,10 +116,11 @@ def reach(nodes: DataFrame, paths: Mapping[str, Path | Sequence[Path]], key: str
             any_test = any_test | F.col(f"__t{a}_{j}")
     if not any(step.axis == "+" for _, steps in chains for step in steps):
         rows = rows.where(any_test)
-    # Only the ends of paths need their content from here on.
-    heavy = [c for c in ("text", "html", "inner") if c in rows.columns]
+    # Only the ends of paths are returned: of the others, the joins need the place alone.
+    heavy = [c for c in nodes.columns if c not in (key, "node_id", "end_id", "parent_id")]
     rows = rows.withColumns({c: F.when(last, F.col(c)) for c in heavy})
     if longest > 1:
+        cut_finely(nodes.sparkSession)
         rows = rows.repartition(key)
     rows = rows.withColumns({f"__r{a}": F.col(f"__t{a}_0") for a in range(len(chains))})
     page = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)

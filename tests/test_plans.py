@@ -81,3 +81,18 @@ def test_no_nested_loops(spark, name):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["at_second"](spark, "/root/testdata/sf0.001"))
     assert "GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_path_joins_are_cut_finely_until_the_next_query(spark):
+    """A fixed number of ranges would give each task a share that grows with the pages."""
+    from gleaner.operators import dom, structure
+    from gleaner.session import INITIAL_PARTITIONS, tune
+
+    tune(spark)
+    pages = spark.createDataFrame([(1, "u", "<div><ul><li id=x>a<b>c</b></li></ul></div>")], "page_id long, url string, html string")
+    found = structure.reach(dom.dom_nodes(pages), {"hit": structure.element("ul").child("li").descendant("b")})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 2000), REPARTITION_BY_COL" in plan
+    assert [(r["tag"], r["text"]) for r in found.collect()] == [("b", "c")]
+    tune(spark)
+    assert spark.conf.get(INITIAL_PARTITIONS, None) is None
