@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, decontaminate, jaccard, langid, substring
-from gleaner.llm.scan import may_hold, prepare, stored, table
+from gleaner.llm.scan import SMALL_BATCH_BYTES, batch_bytes, may_hold, prepare, stored, table
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -22,7 +22,7 @@ def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told clearly."""
-    prepare(spark)
+    batch_bytes(prepare(spark), SMALL_BATCH_BYTES)
     rows, c = _renamed(docs)
     model = langid.fit(rows, c["text"], c["lang"], c["doc_id"])
     found = langid.predict(rows, model, c["text"], tuple(c.values()))

@@ -60,3 +60,13 @@ def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_language_id_reads_small_batches(spark):
+    """Its executors keep what they took, and the next stage sorts beside it."""
+    import corpus_pipeline
+    from gleaner.llm.scan import SMALL_BATCH_BYTES
+
+    docs = spark.createDataFrame([(1, "de", "ein Wort")], "doc_id long, lang string, text string")
+    corpus_pipeline.language_id(spark, docs, "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(SMALL_BATCH_BYTES)
