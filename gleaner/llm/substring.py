@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.scan import Runs, bit_arrays, bit_rows, complete, holds, may_hold, mix, passes, runs, signed, stored, windows
+from gleaner.llm.scan import SMALL_BATCH_BYTES, Runs, batch_bytes, bit_arrays, bit_rows, complete, holds, may_hold, mix, passes, runs, signed, stored, windows
 
 
 @dataclass(frozen=True)
@@ -159,6 +159,8 @@ def remove_repeats(
     Where nothing is removed, ``kept_text`` still has single spaces between its words.
     """
     settings = settings or Settings()
+    # A task holds some 70 bytes a word of its batch where most windows are candidates.
+    batch_bytes(frame.sparkSession, SMALL_BATCH_BYTES)
     docs = frame.select(
         *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)],
         F.coalesce(F.col(text), F.lit("")).alias("_text"),

@@ -70,3 +70,12 @@ def test_may_hold_never_denies_a_value(spark):
     ids = {r["id"] for r in found}
     assert set(range(-500, 500)) <= ids and len(ids) < 1500
     assert not spark.range(9).where(may_hold(values.limit(0))(F.col("id"))).count()
+
+
+def test_a_task_holds_small_batches(spark):
+    """Where most windows are candidates, a batch takes many times its bytes."""
+    from gleaner.llm.scan import PASS_BYTES, SMALL_BATCH_BYTES, prepare
+
+    substring.remove_repeats(table(prepare(spark), ["a b"] * 3))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(SMALL_BATCH_BYTES)
+    assert PASS_BYTES <= 1 << 18
