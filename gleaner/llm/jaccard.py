@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.graph import components
-from gleaner.llm.scan import SMALL_BATCH_BYTES, batch_bytes, bit_arrays, bit_rows, complete, holds, mix, passes, runs, signed, stored, windows
+from gleaner.llm.scan import SMALL_BATCH_BYTES, batch_bytes, complete, may_hold, mix, passes, runs, signed, stored, windows
 
 # Roles of a segment row: probe and index of the own band, index only, probe of the band
 # below; the same of a segment with neighbourhood; the neighbourhoods; a set short of units.
@@ -99,9 +99,9 @@ class Sets:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, s: Settings):
         words = runs(data, offsets, lower=True)
         count = np.diff(words.first)
-        places, _ = complete(words.first, s.words)
+        places, full = complete(words.first, s.words)
         token = windows(words.hash, s.words)[places]
-        owner = np.searchsorted(words.first, places, side="right") - 1
+        owner = np.repeat(np.arange(len(count)), full)
         short = []
         for size in range(1, s.words):
             rows = np.flatnonzero(count == size)
@@ -110,11 +110,22 @@ class Sets:
         if short:
             token = np.concatenate([token, *[t for t, _ in short]])
             owner = np.concatenate([owner, *[r for _, r in short]])
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        self.token, self.owner = token[new], owner[new]
+            order = np.argsort(owner, kind="stable")
+            token, owner = token[order], owner[order]
+        # Few tokens recur in a text: one sort of (text, token) hashes finds them.
+        pair = mix(token + mix(owner.astype(np.uint64)))
+        ranked = np.sort(pair)
+        again = ranked[1:][ranked[1:] == ranked[:-1]]
+        if len(again):
+            again = np.unique(again)
+            at = np.searchsorted(again, pair)
+            often = np.flatnonzero(again[np.minimum(at, len(again) - 1)] == pair)
+            often = often[np.lexsort((token[often], owner[often]))]
+            old = (token[often][1:] == token[often][:-1]) & (owner[often][1:] == owner[often][:-1])
+            keep = np.ones(len(token), bool)
+            keep[often[1:][old]] = False
+            token, owner = token[keep], owner[keep]
+        self.token, self.owner = token, owner
         self.first = np.searchsorted(self.owner, np.arange(len(count) + 1))
         self.size = np.diff(self.first)
 
@@ -229,7 +240,7 @@ def unpacked(column: str):
 
 
 def _nodes(frame: DataFrame, s: Settings) -> DataFrame:
-    """Key, size, set name and sketch of every row."""
+    """Key, text hash, size, set name and sketch of every row."""
     kind = frame.schema["_key"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,48 +249,32 @@ def _nodes(frame: DataFrame, s: Settings) -> DataFrame:
                 sets = Sets(data, offsets, s)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(rows.start, rows.stop - rows.start),
+                        *[batch.column(i).slice(rows.start, rows.stop - rows.start) for i in (0, 2)],
                         pa.array(sets.size.astype(np.int64)),
                         pa.array(signed(sets.names())),
                         pa.array(list(sets.sketches(s)), pa.list_(pa.int64())),
                     ],
-                    ["_key", "size", "node", "sketch"],
+                    ["_key", "digest", "size", "node", "sketch"],
                 )
 
-    return frame.select("_key", "_text").mapInArrow(work, f"_key {kind}, size long, node long, sketch array<long>")
+    digest = F.xxhash64("_text").alias("digest")
+    return frame.select("_key", "_text", digest).mapInArrow(work, f"_key {kind}, digest long, size long, node long, sketch array<long>")
 
 
-def _texts(frame: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, text) of the asked nodes, one text each; a bit array spares most other texts the shuffle."""
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from bit_rows(batch.column(0).to_numpy().view(np.uint64), s.filter_bits, 2)
-
-    asked = bit_arrays(nodes.select("node").mapInArrow(fill, "part int, bits binary, again binary"), s.filter_bits, twice=False)[0]
-    shared = frame.sparkSession.sparkContext.broadcast(asked)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()
-            for rows, data, offsets in passes(batch.column(0)):
-                names = Sets(data, offsets, s).names()
-                may = [i for i in np.flatnonzero(holds(shared.value, names, 2)) if int(names[i]) not in seen]
-                may = list({int(names[i]): i for i in may}.values())
-                seen.update(int(names[i]) for i in may)
-                if may:
-                    text = batch.column(0).take(pa.array([rows.start + i for i in may]))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(names[may])), text], ["node", "text"])
-
-    found = frame.select("_text").mapInArrow(work, "node long, text string")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def _texts(frame: DataFrame, nodes: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """(node, text) of the asked nodes, one text each, told by its hash; a bit array spares most other texts the shuffle."""
+    asked = stored(nodes.join(known, "node").select("node", "digest"))
+    digest = F.xxhash64("_text")
+    may = may_hold(asked.select("digest"), s.filter_bits)(digest)
+    texts = frame.select("_text", digest.alias("digest")).where(may).groupBy("digest").agg(F.first("_text").alias("text"))
+    return asked.join(texts, "digest").select("node", "text")
 
 
-def _verified(frame: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+def _verified(frame: DataFrame, pairs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """Those of the pairs (``a``, ``b``) whose sets are similar enough."""
     pairs = stored(pairs.select("a", "b").distinct())
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(frame, ends, s)
+    texts = _texts(frame, ends, known, s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,11 +472,11 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     docs = frame.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     nodes = stored(_nodes(docs, s))  # one row a document, and small
     shared = stored(_shared(_rows(docs, s), s))
-    known = stored(nodes.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    known = stored(nodes.where("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "digest")]))
     # First the sets that each set meets most, then what is left between components.
-    links = _verified(docs, _first_links(shared, known, s), s)
+    links = _verified(docs, _first_links(shared, known, s), known, s)
     label = components(links)
-    more = _verified(docs, _candidates(shared, known, label, s).unionByName(_thin(nodes, shared, s)), s)
+    more = _verified(docs, _candidates(shared, known, label, s).unionByName(_thin(nodes, shared, s)), known, s)
     label = components(links.unionByName(more))
 
     named = nodes.where("size > 0").groupBy("node").agg(F.min("_key").alias("least"))

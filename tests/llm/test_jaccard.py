@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from llm_data import awkward, empty, sentence, table
+from pyspark.sql import functions as F
 
 from gleaner.llm import jaccard
 from gleaner.llm.graph import components
@@ -166,3 +167,23 @@ def test_packed_columns_keep_their_values(spark):
     values = jaccard.packed(size, slack, role).view(np.int64).tolist()
     frame = spark.createDataFrame([(v,) for v in values], "p long").select(*jaccard.unpacked("p"))
     assert [tuple(r) for r in frame.collect()] == list(zip(size.tolist(), slack.tolist(), role.tolist(), strict=True))
+
+
+def test_texts_are_fetched_without_building_all_sets(spark, monkeypatch):
+    """Candidates' texts are told by a stored hash of the text; equal texts bring one row."""
+    s = jaccard.Settings()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f"] * 40 + ["A b c d e f", "other", ""])], "_key long, _text string").repartition(5)
+    nodes = jaccard._nodes(docs, s)
+    known = nodes.where("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "digest")])
+    asked = nodes.where("_key = 40").select("node")
+    monkeypatch.setattr(jaccard, "Sets", None)
+    rows = jaccard._texts(docs, asked, known, s).collect()
+    assert [r["text"].lower() for r in rows] == ["a b c d e f"]
+
+
+def test_sets_hold_each_token_of_a_text_once():
+    texts = ["a b c d e a b c d e a b c d e", "a b c d e", "a b", "a b", "", "x y z x y z x y z", "a b c d e f"]
+    data = "".join(texts).encode()
+    sets = jaccard.Sets(np.frombuffer(data, np.uint8), np.cumsum([0] + [len(t) for t in texts]), jaccard.Settings())
+    assert sets.size.tolist() == [5, 1, 1, 1, 0, 3, 2]
+    assert all(len(set(sets.token[a:b].tolist())) == b - a for a, b in zip(sets.first, sets.first[1:], strict=False))
