@@ -105,3 +105,21 @@ def test_wide_spans_are_flagged(spark):
     html = f"<table><tr><td colspan=1500>a<td>b</tr><tr><td colspan={'9' * 5000} rowspan={'9' * 5000}>c<td>d</tr><tr><td colspan=0x>e</tr></table>"
     rows = dom.table_grid(pages(spark, html)).orderBy("row_index").select(F.size("cells").alias("n"), "cut").collect()
     assert [(r["n"], r["cut"]) for r in rows] == [(1001, True), (1001, True), (1001, False)]
+
+
+def test_scripts_and_styles_keep_the_rest_of_a_page_plain():
+    """What follows them is read by the one pattern; their ends are those of the standard parser."""
+
+    class Standard(dom._Builder):
+        def _plain(self, text):
+            return 0
+
+    def nodes(kind, html):
+        tree = kind(html)
+        tree.read()
+        return [(n.tag, n.end, n.outer, n.inner, tree.text_of(n)) for n in tree.nodes]
+
+    page = '<html><head><SCRIPT type="a">if (x<1) "<p>"</Script><style>b{}</style></head><body><p>1</p></body></html>'
+    assert dom._Builder(page)._plain(page) == len(page)
+    for html in (page, "<script>a</script >b<p>", "<script>a<!--</script>--></script><p>b", "<script>a</scriptx><p>", "<style/><p>a</style>b", "<p>a<style>"):
+        assert nodes(dom._Builder, html) == nodes(Standard, html)
