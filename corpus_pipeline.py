@@ -76,9 +76,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded bytes of each document."""
-    prepare(spark)
+    batch_bytes(prepare(spark), SMALL_BATCH_BYTES)
     rows, c = _renamed(docs)
-    found = bpe.digests(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, c["text"], c["doc_id"])
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.digests(rows, path, public_tokenizers.PATTERN, c["text"], c["doc_id"], bpe.SMALL_MEMORY)
     return found.withColumnRenamed(c["doc_id"], "doc_id")
 
 

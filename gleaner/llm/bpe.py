@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,11 +26,37 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Distinct pieces, and stretches between spaces, a worker remembers before it starts afresh.
-MEMORY = 600_000
+# Pieces, stretches between spaces, and pairs of tokens that a worker remembers; twice as many at most.
+MEMORY = 300_000
+# Where other steps of the same executor have left their memory in use: a word may be worked out again.
+SMALL_MEMORY = 50_000
 NEVER = 1 << 60
 
 
+class Recent(dict):
+    """Values by key, worked out by ``make`` when asked for.
+
+    Once it holds ``limit`` keys they become the old ones, from which those asked for again
+    are taken over.  So words of every text stay, and words that occur once go.
+    """
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make = make
+        self.limit = limit
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE and the compatibility of token pairs.
 
@@ -38,7 +64,7 @@ class Vocabulary:
     these parts from one byte up, each with the rank of the merge that absorbs it.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memory: int = MEMORY):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -58,7 +84,7 @@ class Vocabulary:
         for token in self.heads:
             self.endings.add_word(token.decode("latin-1"), (ranks[token], len(token)))
         self.endings.make_automaton()
-        self.pairs: dict[int, bool] = {}
+        self.pairs = Recent(lambda key: self.compatible(self.tokens[key >> 32], self.tokens[key & 0xFFFFFFFF]), memory)
 
     def merge(self, data: bytes, below: int) -> list[bytes]:
         """Merge the lowest-ranked neighbours first, by merges of a rank under ``below``."""
@@ -101,7 +127,7 @@ class Prefixes:
     def _fill(self, to: int) -> None:
         """Extend ``last`` to the prefix of length ``to``: longest token first, one is valid."""
         last, vocabulary = self.last, self.vocabulary
-        tokens, pairs, done = vocabulary.tokens, vocabulary.pairs, len(last)
+        pairs, done = vocabulary.pairs, len(last)
         base = max(0, done + 1 - vocabulary.longest)  # no token that ends behind ``done`` starts earlier
         for end, (rank, size) in vocabulary.endings.iter(self.data[base:to].decode("latin-1")):
             end += base
@@ -109,16 +135,8 @@ class Prefixes:
                 continue
             if end > done:
                 break
-            if size <= end:
-                before = last[end - size]
-                key = before << 32 | rank
-                valid = pairs.get(key)
-                if valid is None:
-                    if len(pairs) > MEMORY:
-                        pairs.clear()
-                    valid = pairs[key] = vocabulary.compatible(tokens[before], tokens[rank])
-                if not valid:
-                    continue
+            if size <= end and not pairs[last[end - size] << 32 | rank]:
+                continue
             last.append(rank)
             done += 1
         if done < to:
@@ -159,28 +177,25 @@ class Prefixes:
 class Codec:
     """Encode texts piece by piece and decode ids."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memory: int = MEMORY):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(t): int(i) for t, i in (line.split() for line in file if line.strip())}
-        self.vocabulary = Vocabulary(ranks)
+        self.vocabulary = Vocabulary(ranks, memory)
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces = Recent(self.piece, memory)
+        self.known = Recent(lambda x: self.stretch(" " + x), memory)
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            data = piece.encode()
-            # A piece that is a token stands for itself, also where no merges lead to it.
-            whole = self.vocabulary.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).ids())
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        data = piece.encode()
+        # A piece that is a token stands for itself, also where no merges lead to it.
+        whole = self.vocabulary.ranks.get(data)
+        return (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).ids())
 
     def stretch(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.piece, self.split(text))))
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            return self.piece(pieces[0])  # remembered as a stretch
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text.
@@ -193,20 +208,15 @@ class Codec:
         different = set(rest)
         if first[-1:].isspace() or not all(x and not x[0].isspace() and not x[-1].isspace() for x in different):
             return list(self.stretch(text))
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for x in different.difference(known):
-            known[x] = self.stretch(" " + x)
-        return [*self.stretch(first), *chain.from_iterable(map(known.__getitem__, rest))]
+        return [*self.stretch(first), *chain.from_iterable(map(self.known.__getitem__, rest))]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, memory: int = MEMORY) -> Codec:
+    return Codec(path, pattern, memory)
 
 
 def _columns(frame: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -243,12 +253,14 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...]
     return frame.select(*keep, ids).mapInArrow(work, schema)
 
 
-def digests(frame: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def digests(
+    frame: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", memory: int = MEMORY
+) -> DataFrame:
     """Encode and decode every text in one pass; key, number of ids, digests of ids and bytes."""
     schema = f"`{key}` {frame.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path, pattern)
+        tool = codec(path, pattern, memory)
         for batch in batches:
             rows = []
             for value in batch.column("_text"):

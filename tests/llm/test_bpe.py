@@ -45,6 +45,18 @@ def test_long_text_edit_falls_in_step(codec):
     assert edited.ids() == bpe.Prefixes(codec.vocabulary, edited.data).ids()
 
 
+def test_memory_is_bounded_and_keeps_words_that_recur(codec, reference):
+    tool, asked = bpe.Codec(PATH, public_tokenizers.PATTERN, 100), []
+    make = tool.known.make
+    tool.known.make = lambda x: asked.append(x) or make(x)
+    for i in range(30):
+        text = " ".join(f"the q{i}x{k} again, z{i}{k}" for k in range(60))
+        assert tool.encode(text) == reference.encode_ordinary(text)
+        for recent in (tool.known, tool.pieces, tool.vocabulary.pairs):
+            assert len(recent) <= 100 and len(recent.old) <= 100
+    assert asked.count("again,") == 1
+
+
 def test_awkward_rows(spark, codec, reference):
     frame = awkward(spark)
     got = sorted((tuple(r) for r in bpe.digests(frame, PATH, public_tokenizers.PATTERN).collect()), key=str)
