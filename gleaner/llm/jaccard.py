@@ -18,8 +18,9 @@ among any ``H + 1`` segments one is the same in both sets.
   candidates; the rest meet their texts and are counted exactly.
 
 Equal sets are one node.  Groups of near copies don't become all pairs: each set is first
-verified with the few sets that it meets most; what is linked is one component, and only
-candidates between different components are verified after that.  So links inside a known
+verified with the few sets that it meets most, then, for units of large groups, with a few
+of those behind each; what is linked is one component, and only candidates between different
+components are verified after that.  So links inside a known
 component are not looked at, and components are exact.
 
 Sets and tokens are known by 64-bit hashes; the counts of a candidate are exact but for a
@@ -62,6 +63,9 @@ class Settings:
     sketch: int = 16  # 64-bit words; changes no result
     first: int = 3  # sets that a set is compared with at first; changes no result
     least: int = 32  # units a set carries to bring a pair up once; changes no result
+    few: int = 8  # sets that a unit of a large group is compared with at a time; changes no result
+    turns: int = 4  # most times that it is; changes no result
+    enough: int = 1000  # pairs that are left to the last comparison of all; changes no result
 
     def budget(self, total):
         """Most different tokens of sets of ``total`` tokens together."""
@@ -411,6 +415,28 @@ def _least(rows: DataFrame, s: Settings) -> DataFrame:
     return ranked.groupBy("node").agg(*[F.collect_list(F.when(c, F.col("sig"))).alias(n) for c, n in ((~less, "full"), (less, "near"))])
 
 
+def _named(known: DataFrame, label: DataFrame) -> DataFrame:
+    """The sets with their component so far, ``label``."""
+    found = known.join(label.select(F.col("a").alias("node"), F.col("b").alias("_label")), "node", "left")
+    return found.withColumn("label", F.coalesce("_label", "node")).drop("_label")
+
+
+def _few(bought: DataFrame, index: DataFrame, known: DataFrame, s: Settings, turn: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components: the bought units of large groups with ``s.few`` sets of each.
+
+    Which sets these are differs from unit to unit and from turn to turn, so a set meets many.
+    """
+    large = F.col("cost") > 8 * s.few
+    order = Window.partitionBy("sig").orderBy(F.xxhash64("sig", "node", F.lit(turn)), "node")
+    some = index.where(large).withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.few)
+    sides = [
+        x.join(known, "node").select("sig", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "size", "sketch")])
+        for x, n in ((bought.where(large), "p"), (some, "i"))
+    ]
+    met = sides[0].join(sides[1], (sides[0]["sig"] == sides[1]["sig"]) & (F.col("p_label") != F.col("i_label")) & _like("p_", "i_", s))
+    return met.select(F.greatest("p_node", "i_node").alias("a"), F.least("p_node", "i_node").alias("b")).distinct()
+
+
 def _met(bought: DataFrame, index: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """Pairs (``a``, ``b``) of different components that share a bought unit, hardly any twice.
 
@@ -435,11 +461,11 @@ def _met(bought: DataFrame, index: DataFrame, known: DataFrame, s: Settings) ->
     return met.select(F.col("p_node").alias("a"), F.col("i_node").alias("b"))
 
 
-def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components that the probes' cheapest ``H + 1`` units bring up.
+def _units(shared: DataFrame, label: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The probes' cheapest ``H + 1`` units: pairs that one brings up alone, bought units and the sets behind them.
 
     A unit behind which only sets of the own component stand costs nothing: it can't bring
-    up a new link.
+    up a new link.  That holds for the components of later on, too, as they only grow.
     """
 
     def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
@@ -454,13 +480,19 @@ def _candidates(shared: DataFrame, known: DataFrame, label: DataFrame, s: Settin
     alive = stored(_lacking(rows))
     probes = _probes(rows).select("*", _lower().alias("lower"), _gain().alias("gain")).join(alive, ["node", "lower"])
     near = probes.where("sig IS NULL").select(F.col("node").alias("a"), F.col("partner").alias("b")).distinct()
-    near = _sides(near, known).where((F.col("a_size") >= F.col("b_size")) & _like("a_", "b_", s)).select("a", "b")
 
     order = Window.partitionBy("node", "lower").orderBy("cost", "sig").rowsBetween(Window.unboundedPreceding, -1)
     bought = probes.where("sig IS NOT NULL").withColumn("before", F.coalesce(F.sum("gain").over(order), F.lit(0)) + F.col("cheap"))
-    bought = stored(bought.where((F.col("gain") == 0) | (F.col("before") < F.col("lacking"))).select("sig", "node", "label", "role"))
-    index = rows.where(F.col("sig").isNotNull() & F.col("role").isin(*INDEXED)).select("sig", "node", "label", "role")
+    bought = stored(bought.where((F.col("gain") == 0) | (F.col("before") < F.col("lacking"))).select("sig", "node", "role", "cost"))
+    index = rows.where(F.col("sig").isNotNull() & F.col("role").isin(*INDEXED)).select("sig", "node", "role", "cost")
     index = stored(index.join(bought.select("sig").distinct(), "sig", "left_semi"))
+    return near, bought, index
+
+
+def _candidates(near: DataFrame, bought: DataFrame, index: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """All pairs of different components that these units bring up."""
+    fit = (F.col("a_label") != F.col("b_label")) & (F.col("a_size") >= F.col("b_size")) & _like("a_", "b_", s)
+    near = _sides(near, known).where(fit).select("a", "b")
     met = _met(bought, index, known, s)
     return near.unionByName(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -476,8 +508,16 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     # First the sets that each set meets most, then what is left between components.
     links = _verified(docs, _first_links(shared, known, s), known, s)
     label = components(links)
-    more = _verified(docs, _candidates(shared, known, label, s).unionByName(_thin(nodes, shared, s)), known, s)
-    label = components(links.unionByName(more))
+    near, bought, index = _units(shared, label, s)
+    # The sets of large groups meet few others at a time until few are of different components: the last look at all is short then.
+    for turn in range(s.turns):
+        pairs = stored(_few(bought, index, _named(known, label), s, turn))
+        if pairs.count() < s.enough:
+            break
+        label = components(label.unionByName(_verified(docs, pairs, known, s)))
+    rest = _candidates(near, bought, index, _named(known, label), s)
+    more = _verified(docs, rest.unionByName(_thin(nodes, shared, s)), known, s)
+    label = components(label.unionByName(more))
 
     named = nodes.where("size > 0").groupBy("node").agg(F.min("_key").alias("least"))
     named = named.join(label.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")

@@ -81,6 +81,23 @@ def test_group_of_near_copies_is_one_component(spark):
     assert found(table(spark, [t for _, t in rows])) == brute(rows)
 
 
+def test_links_inside_a_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Also where the sets met first link nothing, a set is compared with few of a large group."""
+    chance, texts, looked = random.Random(8), [], []
+    base = sentence(chance, 300, 5000).split()
+    for _ in range(200):
+        copy = list(base)
+        for _ in range(chance.randrange(0, 7)):
+            copy[chance.randrange(len(copy))] = f"v{chance.randrange(9999)}"
+        texts.append(" ".join(copy))
+    verify = jaccard._verified
+    monkeypatch.setattr(jaccard, "_first_links", lambda shared, known, s: known.selectExpr("node AS a", "node AS b").limit(0))
+    monkeypatch.setattr(jaccard, "_verified", lambda docs, pairs, *rest: looked.append(pairs.distinct().count()) or verify(docs, pairs, *rest))
+    options = {"settings": jaccard.Settings(few=1, enough=1)} if hasattr(jaccard.Settings, "few") else {}
+    assert found(table(spark, texts), **options) == brute(list(enumerate(texts)))
+    assert 0 < sum(looked) < len(texts) ** 2 // 5, looked
+
+
 def test_near_copies_under_the_threshold_are_brought_up_once(spark, monkeypatch):
     chance, texts, met = random.Random(4), [], []
     base = sentence(chance, 300, 5000).split()
